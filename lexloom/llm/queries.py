@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, toxicity
+from . import decontamination, jaccard_join, language_id, packing, toxicity
 from ._shared import held_out
 
 
@@ -23,6 +23,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -34,9 +38,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontamination.items_sha256().alias("items_sha256"), decontamination.contaminated().alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op9_toxicity, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op8_ngram_jaccard_join, op9_toxicity, op10_decontamination)}
 
 ORACLE_SQL = {
+    "op8_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM c JOIN n nx ON c.x = nx.r JOIN n ny ON c.y = ny.r WHERE 100 * k >= 90 * (nx.n + ny.n - k)),
+t AS (SELECT r AS x, r AS y FROM d UNION SELECT t.x, l.y FROM t JOIN l ON t.y = l.x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (r) JOIN (SELECT t.x, min(e.doc_id) AS component_id FROM t JOIN d e ON t.y = e.r GROUP BY t.x) m ON m.x = d.r
+""",
     "op10_decontamination": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), x -> x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), x -> x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
