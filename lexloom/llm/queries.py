@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, packing, toxicity
+from . import decontamination, jaccard_join, language_id, line_dedup, packing, toxicity
 from ._shared import held_out
 
 
@@ -23,6 +23,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_deleted", "words_deleted", F.length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(table(spark, sf_dir, "documents"))
 
@@ -38,7 +43,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontamination.items_sha256().alias("items_sha256"), decontamination.contaminated().alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op8_ngram_jaccard_join, op9_toxicity, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op6_line_dedup, op8_ngram_jaccard_join, op9_toxicity, op10_decontamination)}
 
 ORACLE_SQL = {
     "op8_ngram_jaccard_join": r"""
