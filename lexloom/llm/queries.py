@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, line_dedup, packing, toxicity
-from ._shared import held_out
+from . import decontamination, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, sharding, toxicity, url_filter
+from ._shared import held_out, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.learn(docs)
@@ -23,11 +29,28 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_deleted", "words_deleted", F.length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents arrive in a new store and are compacted; each with its shard and the hash of its text as read back."""
+    store = sharding.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.append(table(spark, sf_dir, "documents"))
+    version = store.compact()
+    store.vacuum()
+    return sharding.placed(store).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "shard_id", F.lit(version).cast("long").alias("version"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(table(spark, sf_dir, "documents"))
 
@@ -43,9 +66,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontamination.items_sha256().alias("items_sha256"), decontamination.contaminated().alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op6_line_dedup, op8_ngram_jaccard_join, op9_toxicity, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_best_fit_packing, op4_quality_classifier, op5_url_filters, op6_line_dedup, op7_sharding, op8_ngram_jaccard_join, op9_toxicity, op10_decontamination)}
 
 ORACLE_SQL = {
+    "op1_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS w, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g),
+p AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM h WHERE n > 1) GROUP BY r),
+m AS (SELECT w.r, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN p USING (r)),
+x AS (SELECT r, doc_id, source, trim(unnest(string_split(regexp_replace(regexp_replace(lower(t), '[0-9]', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)))) AS l FROM d),
+c AS (SELECT source, l, count(DISTINCT doc_id) AS n FROM x WHERE l <> '' GROUP BY source, l),
+b AS (SELECT c.source, l FROM c JOIN (SELECT source, count(DISTINCT doc_id) AS n FROM d GROUP BY source) s ON c.source IS NOT DISTINCT FROM s.source WHERE c.n >= 20 AND c.n >= 0.01 * s.n),
+k AS (SELECT x.r, sum(length(x.l)) AS line_chars, sum(CASE WHEN b.l IS NULL THEN 0 ELSE length(x.l) END) AS removed_chars FROM x LEFT JOIN b ON x.source IS NOT DISTINCT FROM b.source AND x.l = b.l GROUP BY x.r),
+z AS (SELECT d.doc_id, m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CAST(line_chars AS BIGINT) AS line_chars, CAST(removed_chars AS BIGINT) AS removed_chars FROM d JOIN m USING (r) JOIN k USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND line_chars - removed_chars >= 0.3 * line_chars AS kept, line_chars, removed_chars FROM z
+""",
     "op8_ngram_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
@@ -70,4 +108,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
 """,
 }
-ORACLE_SQL = {k: v.replace("x -> x", "lambda x: x") for k, v in ORACLE_SQL.items()}
+ORACLE_SQL = {k: v.replace("x -> ", "lambda x: ") for k, v in ORACLE_SQL.items()}
