@@ -83,7 +83,7 @@ def bag(text: str | None, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
         at = rows_of(w, rows)
         for r in at:
             share[r] += DAMPED[min(n, 4)] / (len(at) * total)
-    return np.fromiter(share, np.int64, len(share)), np.fromiter(share.values(), np.float32, len(share))
+    return np.fromiter(share, np.int32, len(share)), np.fromiter(share.values(), np.float32, len(share))
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, seed: int = 0) -> Model:
@@ -138,16 +138,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     order = F.xxhash64("doc_id")
     each = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(sample // 2) for y in (0, 1)]
     chosen = F.broadcast(each[0].unionByName(each[1]))  # at most `sample` rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id").mapInArrow(_bags, "doc_id long, y int, rows array<int>, shares array<float>").collect()
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id").mapInArrow(_bags, "doc_id long, y int, rows binary, shares binary").collect()
     rows.sort(key=lambda r: (r[0], len(r[2])))
-    return fit([(np.array(r[2], np.int64), np.array(r[3], np.float32)) for r in rows], np.array([r[1] for r in rows]), prior)
+    return fit([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in rows], np.array([r[1] for r in rows]), prior)
 
 
 def _bags(batches):
     for b in batches:
         out = [bag(t.as_py()) for t in b.column("text")]
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("y"), pa.array([x[0].astype(np.int32) for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.list_(pa.float32()))],
+            [b.column("doc_id"), b.column("y"), pa.array([x[0].tobytes() for x in out], pa.binary()), pa.array([x[1].tobytes() for x in out], pa.binary())],
             names=["doc_id", "y", "rows", "shares"],
         )
 
