@@ -35,6 +35,8 @@ _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S, _T, _M1, _M2 = np.uint64(33), np.uint64(29), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Sets, and bytes of differences, that a block has at most on average.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
+#: Below this percentage the parts would hold too few members; a set is then entered under its least members instead.
+PARTS_FROM = 85
 #: Ratio of the bounds of a size class.
 STEP = 1.4
 CACHE = 500_000
@@ -95,6 +97,8 @@ class Cutter:
 
     def keys(self, members: np.ndarray) -> np.ndarray:
         n = len(members)
+        if self.percent < PARTS_FROM:  # linked sets share one of the members that may be lost, and one more
+            return members[: n - -(-self.percent * n // 100) + 1] if n else members
         k = bisect_right(self.bounds, n) - 1
         if k < 0:
             return members[:0]

@@ -44,11 +44,13 @@ class Model:
 
 def _relative(counts: list[list[int]], languages: int, kinds: list[int] | None = None) -> np.ndarray:
     """Log frequencies for each language, with one added to each count, less their mean over the languages."""
-    c = np.array(counts, dtype=np.float64).reshape(-1, languages) + 1
+    if not counts:
+        return np.zeros((0, languages), np.float32)
+    c = np.array(counts, dtype=np.float64) + 1
     kind = np.zeros(len(c), int) if kinds is None else np.array(kinds)
-    total = np.stack([np.bincount(kind, c[:, k], kind.max(initial=0) + 1) for k in range(languages)], 1) if languages else c
-    scores = np.log(c) - np.log(total[kind]) if len(c) else c
-    return (scores - scores.mean(1, keepdims=True) if scores.size else scores).astype(np.float32)
+    total = np.stack([np.bincount(kind, c[:, k]) for k in range(languages)], 1)
+    scores = np.log(c) - np.log(total[kind])
+    return (scores - scores.mean(1, keepdims=True)).astype(np.float32)
 
 
 class _Known(dict):
