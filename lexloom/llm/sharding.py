@@ -153,6 +153,8 @@ class Store:
 
 def placed(store: Store) -> DataFrame:
     """The rows of the newest version with shard_id, the number of their shard in the manifest."""
+    if not store.manifest()["shards"]:
+        return store.read().withColumn("shard_id", F.lit(None).cast("long"))
     manifest = f"{store.path}/manifests/v{store.version():012d}.json"
     shards = store.spark.read.schema("shards array<struct<file: string>>").json(manifest).select(F.posexplode("shards").alias("shard_id", "shard"))
     number = shards.select(F.substring_index("shard.file", "/", -1).alias("name"), F.col("shard_id").cast("long").alias("shard_id"))
