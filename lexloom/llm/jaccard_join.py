@@ -274,7 +274,7 @@ def groups(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     probes = of.where("outside").withColumns({"i": place("probes"), "probe": F.lit(True)}).withColumn("j", every("others"))
     others = of.withColumns({"j": place("others"), "probe": F.lit(False)}).withColumn("i", every("probes"))
-    blocks = probes.unionByName(others).groupBy("hub", "i", "j")
+    blocks = probes.unionByName(others).repartition("hub", "i", "j").groupBy("hub", "i", "j")  # else a hub's blocks share a task
     found = stage(blocks.applyInPandas(_derived(percent), "a long, b long"), "links")
     over = connected_components(found).select(F.col("node").alias("comp"), F.col("comp").alias("last"))
     comps = comps.join(over, "comp", "outer").select(F.coalesce("node", "comp").alias("node"), F.coalesce("last", "comp").alias("comp"))
