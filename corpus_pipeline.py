@@ -29,13 +29,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return left.select(*docs.columns)
 
 
-def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = 90, size: int = 3) -> DataFrame:
     """Of each group of linked documents the one with the least id; all without words, and all without id."""
-    found = jaccard_join.groups(docs)
+    found = jaccard_join.groups(docs, percent, size)
     others = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
+def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near copies share 80 % of their five-word shingles; the 90 % of three words are the contract of op8 alone."""
+    return keep_one_of_each_group(spark, docs, sf_dir, percent=80, size=5)
+
+
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontamination.find_overlaps(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text")), table(spark, sf_dir, "benchmark"), keep=["doc"])
     return found.where(~decontamination.contaminated()).select("doc.*")
@@ -48,7 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", keep_civil),
     ("line_dedup", drop_repeated_lines),
-    ("ngram_jaccard_join", keep_one_of_each_group),
+    ("ngram_jaccard_join", keep_one_near_copy),
     ("benchmark_decontamination", keep_uncontaminated),
     ("best_fit_packing", pack),
 ]

@@ -36,7 +36,9 @@ _S, _T, _M1, _M2 = np.uint64(33), np.uint64(29), np.uint64(0xFF51AFD7ED558CCD),
 #: Sets, and bytes of differences, that a block has at most on average.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Below this percentage the parts would hold too few members; a set is then entered under its least members instead.
-PARTS_FROM = 85
+PARTS_FROM = 80
+#: Below this percentage parts hold three or four members; more of them may be empty, and their keys have 48 bits.
+LARGE_PARTS_FROM = 85
 #: Ratio of the bounds of a size class.
 STEP = 1.4
 CACHE = 500_000
@@ -106,12 +108,12 @@ class Cutter:
         top = self.bounds[k] - 1
         if k and n <= top * 100 // self.percent:  # it may link with smaller sets, in their class
             out = np.concatenate([out, self.keys_in(members, k - 1)])
-        return out
+        return out if self.percent >= LARGE_PARTS_FROM else out >> np.uint64(16)
 
     def keys_in(self, members: np.ndarray, k: int) -> np.ndarray:
         top = self.bounds[k + 1] - 1
         different = most_different(top, top * 100 // self.percent, self.percent)
-        spare = 1 + different // 32
+        spare = 1 + different // (32 if self.percent >= LARGE_PARTS_FROM else 8)
         parts = different + 1 + spare
         out, cut = [], 0
         while True:

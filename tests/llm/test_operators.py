@@ -348,6 +348,30 @@ def test_groups(spark, percent):
     assert got == brute_groups(data, percent)
 
 
+def test_linked_sets_share_a_list_at_80():
+    rng, cutter = np.random.default_rng(3), jaccard_join.Cutter(80)
+    for n in [*range(1, 60), 100, 333, 1000, 5000] * 4:
+        members = np.unique(rng.integers(0, 1 << 64, 2 * n, dtype=np.uint64, endpoint=False))
+        lost = int(rng.integers(0, n - -(-80 * n // 100) + 1))
+        for other in (n - lost, (100 * (n - lost) // 80)):  # as small, and as large, as a set may be that keeps n - lost
+            a, b = members[rng.permutation(len(members))[:n]], np.zeros(0, np.uint64)
+            more = max(0, min(other - (n - lost), (n - lost) * 100 // 80 - n))
+            b = np.concatenate([a[lost:], np.setdiff1d(members, a)[:more]])
+            assert 100 * (n - lost) >= 80 * (n + more)
+            assert n < 4 and lost + more == 0 or np.intersect1d(cutter.keys(np.sort(a)), cutter.keys(np.sort(b))).size or len(a) == len(b) == n - lost
+    long = np.sort(rng.integers(0, 1 << 64, 10000, dtype=np.uint64, endpoint=False))
+    other = np.sort(np.concatenate([long[:100], rng.integers(0, 1 << 64, 9900, dtype=np.uint64, endpoint=False)]))
+    assert np.intersect1d(cutter.keys(np.sort(jaccard_join.mixed(long))), cutter.keys(np.sort(jaccard_join.mixed(other)))).size <= 2  # a shared passage fills no list
+
+
+def test_groups_at_80_of_five_words(spark):
+    rng = random.Random(80)
+    texts = [t for _ in range(10) for t in copies(rng, 10, rng.choice([4, 9, 12, 40, 90, 200]), 4)] + ["a", "a", "A b", "", None]
+    data = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.groups(spark.createDataFrame(data, "doc_id long, text string"), 80, 5).collect()}
+    assert got == brute_groups(data, 80, 5)
+
+
 def test_blocks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)
     rng = random.Random(9)

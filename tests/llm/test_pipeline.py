@@ -45,3 +45,18 @@ def test_run(spark, sf):
     got = P.run(spark, sf).collect()
     assert check_places(got, 2048) > 0 and [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "best_fit_packing"]
     assert P.ORACLE_SQL is None and decontamination.PATTERN_WORDS and words("a b") == ["a", "b"]
+
+
+def test_near_copies_between_80_and_90(spark, sf):
+    """Two separate changes in 100 words: 86 of 106 five-word shingles, but 92 of 104 three-word ones."""
+    near_copy = dict(P.STAGES)["ngram_jaccard_join"]
+    base = [f"w{i}" for i in range(100)]
+    edit = lambda *at: " ".join(f"e{i}" if i in at else w for i, w in enumerate(base))
+    texts = [edit(), edit(30, 60), edit(20, 50, 80), " ".join(f"v{i}" for i in range(100)), "", edit(31, 61)]
+    want = brute_groups(list(enumerate(texts)), 80, 5)
+    assert want[1][1] == 0 and want[2][1] == 2 and brute_groups(list(enumerate(texts)), 90)[1][1] == 1
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], table(spark, sf, "documents").schema)
+    assert {r.doc_id for r in near_copy(spark, d, sf).collect()} == {i for i, (_, c) in want.items() if c == i}
+    d = table(spark, sf, "documents")
+    want = brute_groups([(r.doc_id, r.text) for r in d.collect()], 80, 5)
+    assert {r.doc_id for r in near_copy(spark, d, sf).collect()} == {i for i, (_, c) in want.items() if c == i}
