@@ -55,9 +55,9 @@ def base_failed() -> Column:
 
 
 def line_hashes(text: str) -> Column:
-    """Hash of the normalised form and length of each line with a word, in order."""
+    """Hash of the normalised form, length and position of each line with a word, in order."""
     normal = f"regexp_replace(regexp_replace(lower({text}), '[0-9]', '0'), '[\\\\x20\\\\x09\\\\x0B-\\\\x0D]+', ' ')"
-    return F.expr(f"transform(filter(transform(split({normal}, '\\n', -1), l -> trim(l)), l -> l <> ''), l -> named_struct('h', xxhash64(l), 'c', length(l)))")
+    return F.expr(f"transform(filter(transform(split({normal}, '\\n', -1), (l, p) -> named_struct('l', trim(l), 'p', p)), x -> x.l <> ''), x -> named_struct('h', xxhash64(x.l), 'c', length(x.l), 'p', x.p))")
 
 
 def frequent_lines(rows: DataFrame, min_docs: int, min_share: float) -> DataFrame:
@@ -68,19 +68,35 @@ def frequent_lines(rows: DataFrame, min_docs: int, min_share: float) -> DataFram
     return counts.join(hosts, counts["host"].eqNullSafe(hosts["host"])).where(F.col("n") >= min_share * F.col("n_host")).select(counts["host"], "h")
 
 
+def without_frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """The columns of docs, `text` without its lines over the limits, then the measures of the whole text, line_chars and chars_left.
+
+    Lines that stay are joined as they were, blank ones included. Null text stays null, and counts as empty. Columns of
+    docs that are named as one of the counts are replaced. Rows that share a doc_id and host are one document for the
+    counts of lines, a row without doc_id is one of its own. Needs doc_id, text and host.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), F.col(host).cast("string").alias("host"))
+    found = measures("t")
+    rows = numbered(rows).withColumns(found).withColumn("lines", line_hashes("t")).drop("t")
+    rows = stage(rows.withColumn("doc", F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("row "), F.col("rid")))), "measures")
+    bad = frequent_lines(rows, min_docs, min_share)
+    each = rows.select("rid", "host", F.explode("lines").alias("l")).select("rid", "host", "l.h", "l.p")
+    gone = each.join(bad, each["host"].eqNullSafe(bad["host"]) & (each["h"] == bad["h"]), "left_semi").groupBy("rid").agg(F.collect_list("p").alias("gone"))
+    left = F.expr("array_join(filter(split(row.text, '\\n', -1), (l, p) -> not array_contains(gone, p)), '\n')")
+    out = rows.join(gone, "rid", "left").withColumn("left", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left))
+    chars = F.expr("aggregate(lines, 0L, (a, l) -> a + l.c)")
+    again = F.aggregate(line_hashes("left"), F.lit(0).cast("long"), lambda a, x: a + x["c"])
+    counts = {c: F.col(c) for c in found} | {"line_chars": chars, "chars_left": F.when(F.col("gone").isNull(), chars).otherwise(again)}
+    return out.select(*[F.col("left").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in counts], *[v.alias(k) for k, v in counts.items()])
+
+
 def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """doc_id, the measures, base_failed, line_chars, removed_chars, kept of each row of docs.
 
-    Null text counts as empty and has no words. Rows that share a doc_id and host are one document for the counts of
-    lines, a row without doc_id is one of its own; each row gets its own verdict. Only doc_id, text and host are read.
+    What was removed is counted from the remaining texts of without_frequent_lines(). Each row gets its own verdict.
+    Only doc_id, text and host are read.
     """
-    rows = numbered(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), F.col(host).cast("string").alias("host")))
-    rows = rows.withColumns(measures("t")).withColumn("lines", line_hashes("t")).drop("t")
-    rows = stage(rows.withColumn("doc", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("rid")))), "measures")
-    bad = frequent_lines(rows, min_docs, min_share)
-    each = rows.select("rid", "host", F.explode("lines").alias("l")).select("rid", "host", "l.h", "l.c")
-    removed = each.join(bad, each["host"].eqNullSafe(bad["host"]) & (each["h"] == bad["h"]), "left_semi").groupBy("rid").agg(F.sum("c").cast("long").alias("removed_chars"))
-    out = rows.withColumn("line_chars", F.expr("aggregate(lines, 0L, (a, l) -> a + l.c)")).drop("lines").join(removed, "rid", "left")
-    out = out.withColumn("removed_chars", F.coalesce("removed_chars", F.lit(0).cast("long"))).withColumn("base_failed", base_failed())
-    enough = F.col("line_chars") - F.col("removed_chars") >= min_left * F.col("line_chars")
+    out = without_frequent_lines(docs.select(*dict.fromkeys(["doc_id", "text", host])), host, min_docs, min_share)
+    out = out.withColumn("removed_chars", F.col("line_chars") - F.col("chars_left")).withColumn("base_failed", base_failed())
+    enough = F.col("chars_left") >= min_left * F.col("line_chars")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & enough).alias("kept"), "line_chars", "removed_chars")

@@ -77,6 +77,13 @@ def test_frequent_lines_deplete(spark):
     assert all(x.removed_chars == 0 for x in quality_rules.judge(one, min_docs=2, min_share=0.0).collect())  # one document, three rows
 
 
+def test_frequent_lines_go(spark):
+    texts = [f"Own {chr(97 + i)}\n\nCookie  Notice {i % 10}\n last {chr(97 + i)} " for i in range(20)] + ["cookie notice 7", None, "", "cookie\nnotice"]
+    got = {r.doc_id: r for r in quality_rules.without_frequent_lines(docs(spark, *texts), min_docs=15, min_share=0.5).collect()}
+    assert [got[i].text for i in range(24)] == [f"Own {chr(97 + i)}\n\n last {chr(97 + i)} " for i in range(20)] + ["", None, "", "cookie\nnotice"]
+    assert (got[3].line_chars, got[3].chars_left) == (26, 11) and (got[20].line_chars, got[20].chars_left) == (15, 0) and got[3].source == "s"
+
+
 def test_quality_rules_odd(spark):
     r = quality_rules.judge(odd(spark)).collect()
     assert len(r) == 10 and sum(x.kept for x in r) == 0 and all(x.kept is not None for x in r)
