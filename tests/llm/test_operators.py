@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, empty and repeated rows, and clashing names."""
 
 import collections
+import math
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.llm import decontamination, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, sharding, toxicity, url_filter
-from lexloom.llm._shared import held_out, stage
+from lexloom.llm._shared import hadoop, held_out, shared_dir, stage
 from lexloom.llm.queries import ORACLE_SQL, QUERIES
 
 from ..compare import rows, sql
@@ -418,8 +419,7 @@ def test_toxicity(spark):
     got = {r.doc_id: r.score for r in toxicity.score(d, m, ["doc_id"]).collect()}
     out = [(got[i] >= 0.3, y) for i, y in lab if zlib.crc32(str(i).encode()) % 4 == 2]
     assert len(out) > 60 and sum(a == bool(b) for a, b in out) / len(out) > 0.9
-    known = toxicity._Known(m.weights)
-    assert m.score("balo scoundrell mire", known) > m.score("balo mire", known)
+    assert m.score("balo scoundrell mire") > m.score("balo mire")
 
 
 def test_toxicity_held_out_accuracy(spark):
@@ -427,7 +427,24 @@ def test_toxicity_held_out_accuracy(spark):
     lab = {r.doc_id: r.toxic for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
     held = [r for r in QUERIES["op9_toxicity"](spark, big).collect() if r.held_out and r.doc_id in lab]
     hit = sum(r.predicted and lab[r.doc_id] for r in held)
-    assert hit / max(1, sum(lab[r.doc_id] for r in held)) > 0.65 and hit / max(1, sum(r.predicted for r in held)) > 0.7
+    assert hit / max(1, sum(lab[r.doc_id] for r in held)) > 0.7 and hit / max(1, sum(r.predicted for r in held)) > 0.72
+    assert abs(sum(r.score for r in held) / sum(lab[r.doc_id] for r in held) - 1) < 0.25  # calibrated
+
+
+def test_toxicity_scores_are_the_means_of_words():
+    """Scores by vectors against a plain sum over words and n-grams; bags survive packing."""
+    rng = np.random.default_rng(1)
+    m = toxicity.Model(rng.normal(size=toxicity.ROWS), -0.3)
+    for text in ("a", "naïve naïve IDIOT x2", "জনগণ of বাংলাদেশ", "\U0001F600 ok \ud800 end", "w " * 3000 + "long"):
+        ws = toxicity.words(text)
+        each = [float(m.weights[toxicity.rows_of([w])[0]].mean()) for w in ws]
+        assert math.isclose(m.score(text), 1 / (1 + math.exp(0.3 - sum(each) / len(each))), rel_tol=1e-5)
+        used, share = toxicity.bag(text)
+        again = toxicity.unpacked(*toxicity.packed(used, share))
+        assert (again[0] == used).all() and np.allclose(again[1], share, rtol=2e-3) and math.isclose(share.sum(), 1, rel_tol=1e-4)
+        assert len(toxicity.rows_of(["জনগণ"])[0]) == 1 + sum(max(0, 6 - n + 1) for n in range(3, 7))  # characters, not bytes
+    dense = np.full(toxicity.ROWS, 1 / toxicity.ROWS, np.float32)
+    assert np.allclose(toxicity.unpacked(*toxicity.packed(np.arange(toxicity.ROWS), dense))[1], dense, rtol=2e-3)
 
 
 def test_toxicity_odd(spark):
@@ -435,7 +452,7 @@ def test_toxicity_odd(spark):
     r = toxicity.score(odd(spark), m).collect()
     assert len(r) == 10 and all(0 <= x.score <= 1 for x in r)
     none = toxicity.learn(docs(spark), labels(spark).limit(0))
-    assert none.score(None, toxicity._Known(none.weights)) < 0.01 and toxicity.score(docs(spark), none).count() == 0
+    assert none.score(None) < 0.01 and toxicity.score(docs(spark), none).count() == 0
 
 
 # ---- decontamination
@@ -480,4 +497,6 @@ def test_decontamination_odd(spark):
 
 
 def test_stage_is_in_the_shared_folder(spark):
-    assert stage(docs(spark, "a"), "x").inputFiles()[0].startswith(spark.conf.get("spark.checkpoint.dir"))
+    inside, top = (hadoop(spark, p) for p in (stage(docs(spark, "a"), "x").inputFiles()[0], shared_dir(spark)))
+    plain = lambda x: x[0].makeQualified(x[1]).toUri().getPath()
+    assert plain(inside).startswith(plain(top) + "/")
