@@ -1,25 +1,25 @@
 """Jaccard self-join of word n-gram sets by set relations: position-blocked index lists and incremental answers.
 
-Two sets link when 100 * |intersection| >= percent * |union|. Then their difference has at most
-(100 - percent) / (100 + percent) * (n + m) members.
-
-Index lists. The hash space is cut into more parts than that difference allows, so two linked sets agree on at least
-one whole part. A set is entered once for each part, under (size class, position of the part, hash of its content):
-a list holds only sets that agree on the block at that position, and a set's lists at other positions are never
-searched. Lists of one set are skipped. A set whose parts are empty too often for that argument is entered once more
-with another cut, as often as it takes; for a pair, the less irregular of the two decides, so no link is lost.
-
-Answers. The sets of a list are compared with one of them, the list's hub, which yields links and each set's
+Two sets link when 100 * |intersection| >= percent * |union|. A set's members are ordered by their hashes, so that for
+two linked sets each next member of the union is a common one with a chance of percent in 100 at least.
+
+Index lists. There is a list for each of a set's least members. A list is cut into blocks by what stands at the next
+positions, the `run` members from there on; a set is held against its own block of a list, and the other blocks, and
+blocks of one set, are skipped. So a passage that many sets share fills few blocks. A set enters as many lists as it
+takes for two linked sets to meet in a block but with a chance of 2^-64, that of two given members having one hash; a
+set with few members enters the lists of all of them, in a ring, where they meet for certain: of the union of c common
+and d other members the longest run of common ones has c / d members at least. Nothing depends on how many sets a list
+or a block has.
+
+Answers. The sets of a block are compared with one of them, the block's hub, which yields links and each set's
 difference from the hub. Sets that now belong to one component need no comparison. Any other pair of a hub's sets is
 answered from the answers of the hub: the overlap follows from both overlaps with the hub and the two differences,
-without the sets themselves. The sets outside the hub's component are held against all sets of the hub in blocks of
-bounded size; a block reports the components that it joins, not its pairs. Nothing is collected.
+without the sets themselves. The sets outside the hub's component are held against all sets of the hub in parts of
+bounded size; a part reports the components that it joins, not its pairs. Nothing is collected.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,12 +35,8 @@ _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S, _T, _M1, _M2 = np.uint64(33), np.uint64(29), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Sets, and bytes of differences, that a block has at most on average.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
-#: Below this percentage the parts would hold too few members; a set is then entered under its least members instead.
-PARTS_FROM = 80
-#: Below this percentage parts hold three or four members; more of them may be empty, and their keys have 48 bits.
-LARGE_PARTS_FROM = 85
-#: Ratio of the bounds of a size class.
-STEP = 1.4
+#: The longest run that cuts a list into blocks, and the bits of the chance that linked sets meet in no block.
+RUN, BITS = 3, 64
 CACHE = 500_000
 
 
@@ -75,67 +71,40 @@ def shingles(text: str | None, known: _Hashes, size: int = 3) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def most_different(n: int, m: int, percent: int) -> int:
-    return (100 - percent) * (n + m) // (100 + percent)
-
-
-def classes(percent: int) -> list[int]:
-    """The least sizes of the size classes. Smaller sets link with equal sets only."""
-    if percent >= 100:
-        return []
-    out = [1]
-    while most_different(out[0], out[0] + 1, percent) < 1:
-        out[0] += 1
-    while out[-1] < 1 << 34:
-        out.append(int(out[-1] * STEP) + 1)
-    return out
-
-
-class Cutter:
-    """List keys of a set."""
-
-    def __init__(self, percent: int):
-        self.percent, self.bounds, self.edges = percent, classes(percent), {}
-
-    def keys(self, members: np.ndarray) -> np.ndarray:
-        n = len(members)
-        if self.percent < PARTS_FROM:  # linked sets share one of the members that may be lost, and one more
-            return members[: n - -(-self.percent * n // 100) + 1] if n else members
-        k = bisect_right(self.bounds, n) - 1
-        if k < 0:
-            return members[:0]
-        out = self.keys_in(members, k)
-        top = self.bounds[k] - 1
-        if k and n <= top * 100 // self.percent:  # it may link with smaller sets, in their class
-            out = np.concatenate([out, self.keys_in(members, k - 1)])
-        return out if self.percent >= LARGE_PARTS_FROM else out >> np.uint64(16)
-
-    def keys_in(self, members: np.ndarray, k: int) -> np.ndarray:
-        top = self.bounds[k + 1] - 1
-        different = most_different(top, top * 100 // self.percent, self.percent)
-        spare = 1 + different // (32 if self.percent >= LARGE_PARTS_FROM else 8)
-        parts = different + 1 + spare
-        out, cut = [], 0
-        while True:
-            h = members if not cut else np.sort(mixed(members + np.uint64(cut) * _TWO))
-            at = np.searchsorted(h, self.edge(parts))
-            ends = np.append(at[1:], len(h))
-            full = np.flatnonzero(ends > at)
-            content = np.add.reduceat(mixed(h + _TWO), at[full])
-            out.append(mixed(content * _ONE + full.astype(np.uint64) * _TWO + np.uint64((cut << 16) + k)))
-            if parts - len(full) <= spare:
-                return np.concatenate(out)
-            cut += 1
-
-    def edge(self, parts: int) -> np.ndarray:
-        if parts not in self.edges:
-            self.edges[parts] = np.array([(i << 64) // parts for i in range(parts)], dtype=np.uint64)
-        return self.edges[parts]
+def run_length(percent: int) -> int:
+    """Members of a run: no more than linked sets are sure to have in common next to one another."""
+    return max(1, min(RUN, percent // (100 - percent))) if percent < 100 else RUN
+
+
+def lists_entered(percent: int, run: int, bits: int = BITS) -> int:
+    """The least k such that k + run - 1 trials, each a success with the chance of percent in 100, hold no `run`
+    successes in a row with a chance of at most 2^-bits."""
+    p = percent / 100
+    if p >= 1:
+        return 1
+    in_row, k = [0.0] * run, 1 - run  # chances by the successes that the trials end on
+    in_row[0] = 1.0
+    while sum(in_row) > 2.0**-bits or k < 1:
+        in_row, k = [(1 - p) * sum(in_row)] + [p * x for x in in_row[:-1]], k + 1
+    return k
+
+
+def block_keys(members: np.ndarray, run: int, lists: int) -> np.ndarray:
+    """A key for each list that a set enters and its block there."""
+    n = len(members)
+    if not n:
+        return members
+    starts = n if n < lists + run else lists  # all, in a ring, or the least
+    key = np.zeros(starts, np.uint64)
+    for i in range(run):
+        key = key * _ONE + members[np.arange(i, i + starts) % n]
+    return mixed(key + _TWO)
 
 
 def _entered(size: int, percent: int, seed: int):
-    def run(batches):
-        known, cutter = _Hashes(seed), Cutter(percent)
+    def entered(batches):
+        known, run = _Hashes(seed), run_length(percent)
+        lists = lists_entered(percent, run)
         for b in batches:
             n, node, check, keys = [], [], [], []
             for text in b.column("text"):
@@ -144,10 +113,10 @@ def _entered(size: int, percent: int, seed: int):
                 raw = members.tobytes()
                 node.append(xxhash.xxh64_intdigest(raw, seed) - (1 << 63) if len(members) else None)
                 check.append(xxhash.xxh64_intdigest(raw, seed + 1) - (1 << 63) if len(members) else None)
-                keys.append(cutter.keys(members).view(np.int64))
+                keys.append(block_keys(members, run, lists).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "check", "keys"])
 
-    return run
+    return entered
 
 
 def _members(size: int, seed: int):

@@ -356,20 +356,25 @@ def test_groups(spark, percent):
     assert got == brute_groups(data, percent)
 
 
-def test_linked_sets_share_a_list_at_80():
-    rng, cutter = np.random.default_rng(3), jaccard_join.Cutter(80)
-    for n in [*range(1, 60), 100, 333, 1000, 5000] * 4:
-        members = np.unique(rng.integers(0, 1 << 64, 2 * n, dtype=np.uint64, endpoint=False))
-        lost = int(rng.integers(0, n - -(-80 * n // 100) + 1))
-        for other in (n - lost, (100 * (n - lost) // 80)):  # as small, and as large, as a set may be that keeps n - lost
-            a, b = members[rng.permutation(len(members))[:n]], np.zeros(0, np.uint64)
-            more = max(0, min(other - (n - lost), (n - lost) * 100 // 80 - n))
-            b = np.concatenate([a[lost:], np.setdiff1d(members, a)[:more]])
-            assert 100 * (n - lost) >= 80 * (n + more)
-            assert n < 4 and lost + more == 0 or np.intersect1d(cutter.keys(np.sort(a)), cutter.keys(np.sort(b))).size or len(a) == len(b) == n - lost
-    long = np.sort(rng.integers(0, 1 << 64, 10000, dtype=np.uint64, endpoint=False))
-    other = np.sort(np.concatenate([long[:100], rng.integers(0, 1 << 64, 9900, dtype=np.uint64, endpoint=False)]))
-    assert np.intersect1d(cutter.keys(np.sort(jaccard_join.mixed(long))), cutter.keys(np.sort(jaccard_join.mixed(other)))).size <= 2  # a shared passage fills no list
+@pytest.mark.parametrize("percent", [50, 60, 75, 80, 90, 95])
+def test_linked_sets_meet_in_a_block(percent):
+    """Pairs at the very edge of a link, of sets as small and as large as may be, below and above the ring's size."""
+    rng, run = np.random.default_rng(3), jaccard_join.run_length(percent)
+    lists = jaccard_join.lists_entered(percent, run)
+    keys = lambda x: jaccard_join.block_keys(np.sort(x), run, lists)
+    for n in [*range(1, 60), *range(lists - 3, lists + 8), 333, 1000, 5000] * 4:
+        members = np.unique(rng.integers(0, 1 << 64, 3 * n + 3, dtype=np.uint64, endpoint=False))
+        members = members[rng.permutation(len(members))]
+        others = n * (100 - percent) // percent  # members that are not common
+        lost = int(rng.integers(0, others + 1))
+        a, b = members[: n + lost], np.concatenate([members[:n], members[n + lost : n + others]])
+        assert 100 * n >= percent * (n + others)
+        assert (others == 0 and (np.sort(a) == np.sort(b)).all()) or np.intersect1d(keys(a), keys(b)).size
+    assert jaccard_join.lists_entered(80, 1) == 28 and jaccard_join.lists_entered(90, 3) < jaccard_join.lists_entered(80, 3) < 130
+    long = rng.integers(0, 1 << 64, 10000, dtype=np.uint64, endpoint=False)
+    other = np.concatenate([long[:100], rng.integers(0, 1 << 64, 9900, dtype=np.uint64, endpoint=False)])
+    if percent >= 80:
+        assert np.intersect1d(keys(long), keys(other)).size <= 1  # a shared passage fills no block
 
 
 def test_groups_at_80_of_five_words(spark):
