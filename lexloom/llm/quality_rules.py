@@ -5,8 +5,10 @@ of each line are counted. A line is over the limits if it stands in at least `mi
 `min_share` of the documents of its host; such lines are removed, and a document that keeps less than `min_left` of
 the characters of its lines is depleted.
 
-All of it is DataFrame functions. The texts are read once: measures and line hashes go to a table in the shared
-folder, which the counts and the verdicts are taken from.
+All of it is DataFrame functions. The texts are read twice and never shuffled or staged: once for the counts of
+(host, line hash), and once for the measures and the removal. In between only the lines over the limits are kept, one
+row a host: at least `min_share` of a host's documents have each of them, so a host has at most 1 / `min_share` times
+its documents' mean number of lines.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WORD_CHAR, WORD_GAP, numbered, stage
+from ._shared import WORD_CHAR, WORD_GAP, stage
 
 MIN_DOCS, MIN_SHARE, MIN_LEFT = 20, 0.01, 0.3
 #: Of the measures: the least number of words, and the most repeated words in 100.
 MIN_WORDS, MAX_REPEATED = 20, 30
 WINDOW = 8
+#: Lines over the limits that are broadcast at most; where there are more, documents meet them in a salted join.
+BROADCAST_LINES, SALTS = 2_000_000, 64
 _GAP, _CHAR = (x.replace("\\", "\\\\") for x in (WORD_GAP, WORD_CHAR))
 
 
@@ -60,30 +64,43 @@ def line_hashes(text: str) -> Column:
     return F.expr(f"transform(filter(transform(split({normal}, '\\n', -1), (l, p) -> named_struct('l', trim(l), 'p', p)), x -> x.l <> ''), x -> named_struct('h', xxhash64(x.l), 'c', length(x.l), 'p', x.p))")
 
 
-def frequent_lines(rows: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """(host, h) of the lines over the limits, from rows with doc, host and lines. A null host is a host of its own."""
-    each = rows.select("host", "doc", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, h) of the lines over the limits. A null host is a host of its own.
+
+    Rows that share a doc_id and host are one document; a row without doc_id is one of its own.
+    """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id()))
+    rows = docs.select(F.col(host).cast("string").alias("host"), name.alias("doc"), F.col("text").cast("string").alias("t"))
+    each = rows.select("host", "doc", F.explode(F.array_distinct(F.transform(line_hashes("t"), lambda x: x["h"]))).alias("h"))
     counts = each.distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     hosts = rows.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
     return counts.join(hosts, counts["host"].eqNullSafe(hosts["host"])).where(F.col("n") >= min_share * F.col("n_host")).select(counts["host"], "h")
 
 
-def without_frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def without_frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The columns of docs, `text` without its lines over the limits, then the measures of the whole text, line_chars and chars_left.
 
     Lines that stay are joined as they were, blank ones included. Null text stays null, and counts as empty. Columns of
     docs that are named as one of the counts are replaced. Rows that share a doc_id and host are one document for the
     counts of lines, a row without doc_id is one of its own. Needs doc_id, text and host.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), F.col(host).cast("string").alias("host"))
-    found = measures("t")
-    rows = numbered(rows).withColumns(found).withColumn("lines", line_hashes("t")).drop("t")
-    rows = stage(rows.withColumn("doc", F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("row "), F.col("rid")))), "measures")
-    bad = frequent_lines(rows, min_docs, min_share)
-    each = rows.select("rid", "host", F.explode("lines").alias("l")).select("rid", "host", "l.h", "l.p")
-    gone = each.join(bad, each["host"].eqNullSafe(bad["host"]) & (each["h"] == bad["h"]), "left_semi").groupBy("rid").agg(F.collect_list("p").alias("gone"))
-    left = F.expr("array_join(filter(split(row.text, '\\n', -1), (l, p) -> not array_contains(gone, p)), '\n')")
-    out = rows.join(gone, "rid", "left").withColumn("left", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left))
+    bad = stage(frequent_lines(docs, host, min_docs, min_share), "frequent")
+    small = bad.count() <= broadcast_lines
+    bad = bad.groupBy(F.col("host").alias("of")).agg(F.collect_list("h").alias("bad"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).cast("string").alias("host"))
+    if small:
+        rows = rows.join(F.broadcast(bad), rows["host"].eqNullSafe(bad["of"]), "left")
+    else:  # one host may hold a third of the rows
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("row.doc_id", "row.text"), F.lit(SALTS)).cast("int"))
+        bad = bad.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.join(bad, rows["host"].eqNullSafe(bad["of"]) & (rows["salt"] == bad["to"]), "left")
+    found = measures("coalesce(cast(row.text as string), '')")
+    lines = line_hashes("coalesce(cast(row.text as string), '')")
+    rows = rows.select("row", lines.alias("lines"), "bad", *[v.alias(k) for k, v in found.items()])
+    rows = rows.withColumn("hit", F.when(F.col("bad").isNotNull(), F.array_intersect(F.transform("lines", lambda x: x["h"]), "bad")))
+    rows = rows.withColumn("gone", F.when(F.size("hit") > 0, F.expr("transform(filter(lines, l -> array_contains(hit, l.h)), l -> l.p)")))
+    left = F.expr("array_join(filter(split(cast(row.text as string), '\\n', -1), (l, p) -> not array_contains(gone, p)), '\n')")
+    out = rows.withColumn("left", F.when(F.col("gone").isNull(), F.col("row.text").cast("string")).otherwise(left))
     chars = F.expr("aggregate(lines, 0L, (a, l) -> a + l.c)")
     again = F.aggregate(line_hashes("left"), F.lit(0).cast("long"), lambda a, x: a + x["c"])
     counts = {c: F.col(c) for c in found} | {"line_chars": chars, "chars_left": F.when(F.col("gone").isNull(), chars).otherwise(again)}

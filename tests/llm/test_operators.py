@@ -83,6 +83,8 @@ def test_frequent_lines_go(spark):
     got = {r.doc_id: r for r in quality_rules.without_frequent_lines(docs(spark, *texts), min_docs=15, min_share=0.5).collect()}
     assert [got[i].text for i in range(24)] == [f"Own {chr(97 + i)}\n\n last {chr(97 + i)} " for i in range(20)] + ["", None, "", "cookie\nnotice"]
     assert (got[3].line_chars, got[3].chars_left) == (26, 11) and (got[20].line_chars, got[20].chars_left) == (15, 0) and got[3].source == "s"
+    joined = quality_rules.without_frequent_lines(docs(spark, *texts), min_docs=15, min_share=0.5, broadcast_lines=0)  # the salted join
+    assert sorted(map(str, joined.collect())) == sorted(map(str, got.values()))
 
 
 def test_quality_rules_odd(spark):
