@@ -22,8 +22,10 @@ def ship(module_name: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -38,9 +40,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     top = f"{shared_dir(spark)}/lexloom-{spark.sparkContext.applicationId}"
-    if top not in _to_delete:
-        _to_delete.add(top)
-        atexit.register(_delete, spark, top)
+    delete_at_end(spark, top)
     path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -49,6 +49,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 _to_delete: set[str] = set()
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver ends."""
+    if path not in _to_delete:
+        _to_delete.add(path)
+        atexit.register(_delete, spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         delete_path(spark, path)

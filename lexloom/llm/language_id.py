@@ -2,24 +2,28 @@
 
 Words that are frequent enough in the training documents have a log frequency for each language. Any other word is
 scored by the longest of its character n-grams that are known, from LONGEST letters down to one. Counts are taken over
-all training documents by grouped aggregation; only the most frequent words and n-grams, a fixed number, reach the
-driver and, as a broadcast, the executors.
+all training documents by grouped aggregation. The model, which the driver collects and the executors get as a
+broadcast, is a table of bounded size: each language has the same share of it, and within its n-grams each length has,
+which the language's own most frequent ones fill. What a language keeps so depends on its own texts and on the number
+of languages, not on how much there is of the others.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import held_out, ship, stage
 
-#: Words and n-grams that the model holds at most, the least count of a word, the longest n-gram, the most languages.
-WORDS, GRAMS, LEAST, LONGEST, LANGUAGES = 60_000, 60_000, 3, 4, 256
+#: Words and n-grams that the model holds at most, dealt evenly to the languages; the least count of a word in its
+#: language, the longest n-gram, the most languages.
+WORDS, GRAMS, LEAST, LONGEST, LANGUAGES = 120_000, 120_000, 3, 4, 256
 UNKNOWN = "und"
 CACHE = 200_000
 _RUN = re.compile(r"[^\W\d_]+")
@@ -100,7 +104,9 @@ def identify(text: str | None, known: _Known) -> tuple[str, float]:
 def learn(docs: DataFrame, words_kept: int = WORDS, grams_kept: int = GRAMS) -> Model:
     """Counts the words of all documents that have a language and text and are not held out.
 
-    Ties in frequency go to the word that sorts first. Without such documents the model knows no language.
+    Ties in frequency go to the word that sorts first. Without such documents the model knows no language. Repeated
+    rows count each; texts of any length are counted whole. Over LANGUAGES languages are an error, as a table shared by
+    so many would hold too few words of each. Only doc_id, text and lang are read.
     """
     train = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     each = train.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
@@ -110,19 +116,33 @@ def learn(docs: DataFrame, words_kept: int = WORDS, grams_kept: int = GRAMS) ->
         raise ValueError(f"over {LANGUAGES} languages")
     marked = F.concat(F.lit("<"), "word", F.lit(">"))
     size = F.length(marked)
-    grams = F.flatten(F.array(*[F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i, n=n: F.substring(marked, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(1, LONGEST + 1)]))
+    grams = F.flatten(F.array(*[F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), partial(_cut, marked, n))).otherwise(F.array().cast("array<string>")) for n in range(1, LONGEST + 1)]))
     pieces = counts.select(F.explode(grams).alias("gram"), "lang", "n").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    return Model(languages, _top(counts, "word", languages, words_kept, LEAST), _top(pieces, "gram", languages, grams_kept, LEAST))
+    if not languages:
+        return Model([], {}, {})
+    known = _top(counts, "word", languages, [(F.lit(True), words_kept // len(languages))])
+    each = grams_kept // (len(languages) * LONGEST)
+    return Model(languages, known, _top(stage(pieces, "grams"), "gram", languages, [(F.length("gram") == n, each) for n in range(1, LONGEST + 1)]))
 
 
-def _top(counts: DataFrame, key: str, languages: list[str], most: int, least: int) -> dict[str, list[int]]:
-    wide = counts.groupBy(key).agg(F.sum("n").alias("n"), *[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"c{i}") for i, x in enumerate(languages)])
-    rows = wide.where(F.col("n") >= least).orderBy(F.desc("n"), key).limit(most).drop("n").collect()
-    return {r[0]: list(r[1:]) for r in rows}
+def _cut(text: Column, n: int, at: Column) -> Column:
+    return F.substring(text, at, F.lit(n))
+
+
+def _top(counts: DataFrame, key: str, languages: list[str], kinds: list[tuple[Column, int]]) -> dict[str, list[int]]:
+    """Counts by language of the most frequent keys of each language and kind, as many as the kind's number."""
+    own = [counts.where((F.col("lang") == x) & kind & (F.col("n") >= LEAST)).orderBy(F.desc("n"), key).limit(most).select(key) for x in languages for kind, most in kinds]
+    chosen = F.broadcast(reduce(DataFrame.unionByName, own).distinct())  # no more than the table holds
+    wide = counts.join(chosen, key, "left_semi").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
+    return {r[0]: [r[1].get(x, 0) for x in languages] for r in wide.orderBy(key).collect()}
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all) with lang_pred and score of each whole text; `und` and 0 for null and texts without a letter."""
+    """The columns `keep` of docs (all) with lang_pred and score of each whole text, however long.
+
+    `und` and 0 for null and texts without a letter. Of languages that tie the first in order is taken. Repeated rows
+    get the same answer each; columns of docs named as the two new ones are replaced.
+    """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     source = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = source.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema

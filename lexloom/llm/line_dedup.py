@@ -57,13 +57,13 @@ def fingerprints(lines: str, min_words: int) -> Column:
 
 
 def _windows(back: bool, min_words: int) -> Column:
-    """Spans with `min_words` words, [first, last] by index in `lines`, that hold an index of `hits`."""
+    """Spans with `min_words` words, [first, last] by index in `lines`, that hold a hit; next_hit: the first one from each index on."""
     rows = f"reverse(slice(lines, greatest(i - {min_words} + 2, 1), least(i + 1, {min_words})))" if back else f"slice(lines, i + 1, {min_words})"
     size = f"aggregate({rows}, named_struct('w', 0, 'n', 0), (a, y) -> if(a.w >= {min_words}, a, named_struct('w', a.w + y.w, 'n', a.n + 1)), a -> if(a.w >= {min_words}, a.n, 0))"
     span = "named_struct('first', i - n + 1, 'last', i)" if back else "named_struct('first', i, 'last', i + n - 1)"
     return F.expr(
         f"""filter(transform(sequence(0, size(lines) - 1), i -> transform(array({size}), n -> if(n = 0, null, {span}))[0]),
-              s -> s is not null and exists(hits, h -> h between s.first and s.last))"""
+              s -> s is not null and coalesce(get(next_hit, s.first) <= s.last, false))"""
     )
 
 
@@ -78,25 +78,36 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     marks = stage(marks, "marks")
     seen = marks.groupBy("h").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.min("i").alias("first"), F.max("i").alias("last"))
     again = seen.where("lo <> hi or first <> last").select("h")
-    hits = marks.join(again, "h", "left_semi").groupBy("rid").agg(F.collect_set("i").alias("hits"))
-    spans = rows.select("rid", F.col("row.doc_id").alias("doc_id"), "lines").join(hits, "rid")
+    hits = marks.join(again, "h", "left_semi").groupBy("rid").agg(F.array_sort(F.collect_set("i")).alias("hits"))
+    next_hit = F.expr("flatten(transform(hits, (h, k) -> array_repeat(h, h - coalesce(get(hits, k - 1), -1))))")
+    spans = rows.select("rid", F.col("row.doc_id").alias("doc_id"), "lines").join(hits.select("rid", next_hit.alias("next_hit")), "rid")
     spans = spans.select("rid", "doc_id", "lines", F.explode(F.array_distinct(F.concat(_windows(False, min_words), _windows(True, min_words)))).alias("s"))
     content = F.transform(F.slice("lines", F.col("s.first") + 1, F.col("s.last") - F.col("s.first") + 1), lambda x: F.struct(x["h"], x["c"]))
     spans = stage(spans.select("rid", "doc_id", "s.first", "s.last", F.xxhash64(content).alias("k1"), F.xxhash64(F.lit(1), content).alias("k2")), "spans")
+    # staged, so that both sides of the join are plain shuffles, of which a common window's is split
     start = spans.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "rid", "first")).alias("start"), F.count("*").alias("n")).where("n > 1").drop("n")
+    start = stage(start, "starts")
     later = spans.join(start, ["k1", "k2"]).where((F.col("rid") != F.col("start.rid")) | (F.col("first") != F.col("start.first")))
     gone = later.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last")))).alias("deleted"))
     return rows.join(gone, "rid", "left").withColumn("deleted", F.coalesce("deleted", F.array().cast("array<int>")))
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The columns of docs, `text` without its repeated lines, then n_lines, n_deleted and words_deleted, of lines with a word.
+def deduped(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """`row`, a struct of docs' columns, then `text` without its repeated lines, n_lines, n_deleted and words_deleted, of lines with a word.
 
-    Lines that stay are joined as they were, blank ones included. Null text stays null. Columns of docs that are named
-    as one of the counts are replaced. Needs doc_id and text.
+    Lines that stay are joined as they were, blank ones included. Null text stays null. Needs doc_id and text.
     """
     out = repeated_lines(docs, min_words)
-    left = F.expr("transform(array(transform(deleted, i -> lines[i].p)), g -> array_join(filter(split(row.text, '\\n', -1), (l, p) -> not array_contains(g, p)), '\n'))[0]")
-    counts = {"n_lines": F.size("lines").cast("long"), "n_deleted": F.size("deleted").cast("long"), "words_deleted": F.expr("aggregate(deleted, 0L, (a, i) -> a + lines[i].w)")}
+    left = F.expr(
+        """transform(array(split(row.text, '\\n', -1)), ls -> array_join(
+             transform(array_except(sequence(0, size(ls) - 1), transform(deleted, i -> lines[i].p)), p -> ls[p]), '\n'))[0]"""
+    )
     text = F.when(F.size("deleted") == 0, F.col("row.text")).otherwise(left).alias("text")
-    return out.select(*[text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in counts], *[v.alias(k) for k, v in counts.items()])
+    counts = (F.size("lines").cast("long").alias("n_lines"), F.size("deleted").cast("long").alias("n_deleted"), F.expr("aggregate(deleted, 0L, (a, i) -> a + lines[i].w)").alias("words_deleted"))
+    return out.select("row", text, *counts)
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The columns of docs with the new text, and the counts of deduped(), which replace columns of their names."""
+    counts = ("n_lines", "n_deleted", "words_deleted")
+    return deduped(docs, min_words).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in counts], *counts)

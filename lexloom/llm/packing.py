@@ -275,15 +275,18 @@ def places(entries: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, tries=TRIES) -> DataFrame:
-    """The pieces with sequence_id and offset. Columns doc_id, piece and length are needed; others are kept.
+    """The pieces with sequence_id and offset. Column length is needed; others are kept, but those named as the two new ones.
 
-    Every piece is placed once, repeated rows included. A table without rows gives none. Lengths lie in 1..capacity.
+    Every piece is placed once, repeated rows included. A table without rows gives none. Lengths lie in 1..capacity,
+    others, and nulls, are an error. Which of several pieces of one length goes where is by the rows' order.
     """
-    spark = pieces.sparkSession
-    pieces = stage(numbered(pieces), "pieces")
+    spark, kept = pieces.sparkSession, [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    pieces = stage(numbered(pieces.select(F.struct(*kept).alias("row"), F.col("length").cast("long").alias("length"))), "pieces")
     histogram = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram:
+        if length is None or not 0 < length <= capacity:
+            raise ValueError(f"a piece of length {length}")
         counts[length] = n
     table = spark.sparkContext.broadcast(places(plan(counts, capacity, tries)))
     salts = max(32, int(counts.max(initial=0)) // RANKED)
@@ -292,8 +295,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, tries=TRIES) -> DataFrame:
     sizes = salted.groupBy("length", "salt").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = ranked.join(sizes.select("length", "salt", before.alias("before")), ["length", "salt"])
-    kept = [c for c in pieces.columns if c != "rid"]
-    schema = ranked.select(*kept, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
+    schema = ranked.select("row", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
     def place(batches):
         rows = table.value
@@ -304,9 +306,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, tries=TRIES) -> DataFrame:
             r = rows[np.searchsorted(keys, length * wide + rank, side="right") - 1]
             nth = rank - r[:, 1]
             new = [pa.array(r[:, 3] + nth // r[:, 4], pa.int64()), pa.array(r[:, 5] + nth % r[:, 4] * length, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *new], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("row"), *new], names=schema.names)
 
-    return ranked.select(*kept, (F.col("nth") + F.col("before")).cast("long").alias("rank")).mapInArrow(place, schema)
+    placed = ranked.select("row", "length", (F.col("nth") + F.col("before")).cast("long").alias("rank")).mapInArrow(place, schema)
+    return placed.select(*[F.col("row")[c].alias(c) for c in kept], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ A logistic regression on measures of a text gives each document's own evidence.
 by path within the host: grouped sums of what is known of each document, its label if the model may see it, else its
 probability. The spread between hosts beyond what chance explains sets how far a host's rate is drawn to the global
 one, and in the same way the paths to their host. A document's score is its own evidence, moved by the posterior of
-its path, from which its own part is taken out.
+its path, from which its own part is taken out, in the path as in the host.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from ._shared import held_out, numbered, ship, stage
 #: Labelled documents that the regression is fitted on at most.
 SAMPLE = 8000
 RIDGE, ROUNDS = 1.0, 25
+NO_SPREAD = 1e12
 FEATURES = ("log words", "mean word length", "symbols a word", "capitals a letter", "digits a character", "bars a word", "exclamations a word", "distinct words a root of words", "repeated lines", "commonest word", "stops a word", "bias")
 _UPPER = {c: None for c in range(128) if not chr(c).isupper()}
 
@@ -96,21 +97,25 @@ def _scored(shared):
 def strength(groups: DataFrame) -> float:
     """How many documents the prior of a group weighs: the variance within groups over the one between them.
 
+    Without any spread between groups beyond chance it is NO_SPREAD, by which all are drawn to the prior in full.
+
     groups: n, s and q, the number, sum and sum of squares of each group, and `up`, the rate that it is drawn to.
     """
     g = groups.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("inside"), F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("up")) ** 2).alias("between"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
-    if not g["k"] or g["n"] <= g["k"]:
+    if not g["k"] or g["n"] <= g["k"]:  # no group has two documents
         return 1.0
     inside = max(g["inside"] / (g["n"] - g["k"]), 1e-9)
     between = (g["between"] - g["k"] * inside) / max(g["n"] - g["nn"] / g["n"], 1e-9)
-    return min(max(inside / max(between, 1e-9), 1.0), 1e4)
+    return inside / between if between > inside / NO_SPREAD else NO_SPREAD
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", label: str = "quality", sample: int = SAMPLE, cut: float = 0.5) -> DataFrame:
     """doc_id, held_out, doc_score, host_score, path_score, score and kept of each row of docs; scores from 0 to 1.
 
+    host_score and path_score are of the other documents there: a document's own label or probability is in neither.
+
     Null hosts are a host of their own, null paths a path of their own. Null and empty texts are scored by the bias.
-    Without labels doc_score is a half. Repeated rows count each. Only doc_id, text, host and path are read.
+    Without labels doc_score is a half. Repeated rows count each. A table without rows gives none. Only doc_id, text, host and path are read.
     """
     model, known = learn(docs, labels, label, sample)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
@@ -123,11 +128,12 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     total = hosts.agg(F.sum("s") / F.sum("n")).first()[0]
     base = min(max(0.5 if total is None else total, 1e-6), 1 - 1e-6)
     at_host = strength(hosts.withColumn("up", F.lit(base)))
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("s") + at_host * base) / (F.col("n") + at_host)).alias("host_score"))
+    hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("n_host"), F.col("s").alias("s_host"))
     paths = paths.join(hosts, paths["host"].eqNullSafe(hosts["h"])).drop("h")
-    at_path = strength(paths.withColumn("up", F.col("host_score")))
-    paths = paths.select(F.col("host").alias("h"), F.col("path").alias("f"), "n", "s", "host_score")
+    at_path = strength(paths.withColumn("up", (F.col("s_host") + at_host * base) / (F.col("n_host") + at_host)))
+    paths = paths.select(F.col("host").alias("h"), F.col("path").alias("f"), "n", "s", "n_host", "s_host")
     out = rows.join(paths, rows["host"].eqNullSafe(paths["h"]) & rows["path"].eqNullSafe(paths["f"]))
+    out = out.withColumn("host_score", (F.col("s_host") - F.col("v") + at_host * base) / (F.col("n_host") - 1 + at_host))
     others = (F.col("s") - F.col("v") + at_path * F.col("host_score")) / (F.col("n") - 1 + at_path)
     odds = lambda p: F.log(F.greatest(p, F.lit(1e-6)) / F.greatest(1 - p, F.lit(1e-6)))
     out = out.withColumn("path_score", others)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, sharding, toxicity, url_filter
-from ._shared import held_out, shared_dir
+from ._shared import delete_at_end, held_out, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.append(table(spark, sf_dir, "documents"))
     version = store.compact()
     store.vacuum()
+    delete_at_end(spark, store.path)
     return sharding.placed(store).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "shard_id", F.lit(version).cast("long").alias("version"))
 
 

@@ -5,9 +5,12 @@ compaction puts the live shards into tiers by size, each tier `fan_in` times the
 have gathered `fan_in` shards or more into files of about the target size; shards of the target size are left alone.
 The merge is one scan, in which Spark packs whole shards into tasks of the target size, so nothing is shuffled.
 
-A version is a manifest, the list of its live shards. It is written under a temporary name and renamed, and the rename
-fails if that version exists: readers see the old version or the new one, and of two writers one wins. Shards of the
-version before stay until `vacuum`. A job that dies leaves at most files that no manifest names.
+A version is a manifest. It names lists, files that hold the shards of a write, so that a commit writes its own shards
+and the names of the lists, however many shards there are; lists of finished shards are never read again by writers.
+The manifest is written under a temporary name and linked or renamed to its own by a call that fails if that version
+exists: readers see the old version or the new one, and of two writers one wins. Stores on file systems without such
+a call are refused. Shards of the version before stay until `vacuum`. A job that dies leaves at most files that no
+manifest names. Nulls, repeated rows and very long texts are stored as they are; a table without rows adds no shard.
 
 All of it is DataFrame functions and the file system's own calls.
 """
@@ -18,7 +21,8 @@ import json
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -43,27 +47,62 @@ class Store:
         names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
         return max([int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")], default=0)
 
-    def manifest(self, version: int | None = None) -> dict:
-        version = self.version() if version is None else version
-        if not version:
-            return {"version": 0, "schema": None, "shards": []}
-        fs, p = hadoop(self.spark, f"{self.path}/manifests/v{version:012d}.json")
+    def _get(self, name: str):
+        fs, p = hadoop(self.spark, f"{self.path}/manifests/{name}")
         stream = fs.open(p)
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def commit(self, base: int, shards: list[dict], schema: str) -> int:
-        """Version base + 1 with these live shards."""
-        fs, p = hadoop(self.spark, f"{self.path}/manifests/v{base + 1:012d}.json")
-        _, tmp = hadoop(self.spark, f"{self.path}/manifests/.tmp-{uuid.uuid4().hex}")
-        stream = fs.create(tmp, False)
-        stream.write(bytearray(json.dumps({"version": base + 1, "schema": schema, "shards": shards}).encode()))
+    def _put(self, name: str, what) -> None:
+        fs, p = hadoop(self.spark, f"{self.path}/manifests/{name}")
+        stream = fs.create(p, False)
+        stream.write(bytearray(json.dumps(what).encode()))
         stream.close()
-        if fs.exists(p) or not fs.rename(tmp, p):
-            fs.delete(tmp, False)
-            raise Conflict(f"version {base + 1} exists")
+
+    def manifest(self, version: int | None = None) -> dict:
+        """The version, its schema and its lists: name, number of shards, and whether all of them are finished."""
+        version = self.version() if version is None else version
+        return self._get(f"v{version:012d}.json") if version else {"version": 0, "schema": None, "lists": []}
+
+    def shards(self, version: int | None = None, finished: bool | None = None) -> list[dict]:
+        """The live shards; finished: only those of finished lists, or of the others."""
+        return [s for x in self.manifest(version)["lists"] if finished in (None, x["finished"]) for s in self._get(x["name"])]
+
+    def _lists(self, shards: list[dict]) -> list[dict]:
+        """Writes the shards into a list of finished ones and one of the others."""
+        out = []
+        for finished in (True, False):
+            part = [s for s in shards if (2 * s["bytes"] >= self.target) == finished]
+            if part:
+                out.append({"name": f"list-{uuid.uuid4().hex}.json", "shards": len(part), "finished": finished})
+                self._put(out[-1]["name"], part)
+        return out
+
+    def commit(self, base: int, lists: list[dict], schema: str) -> int:
+        """Version base + 1 with these lists."""
+        name, tmp = f"v{base + 1:012d}.json", f".tmp-{uuid.uuid4().hex}"
+        fs, p = hadoop(self.spark, f"{self.path}/manifests/{name}")
+        _, t = hadoop(self.spark, f"{self.path}/manifests/{tmp}")
+        jvm, scheme = self.spark._jvm, fs.makeQualified(p).toUri().getScheme()
+        if scheme not in ("file", "hdfs", "viewfs"):
+            raise NotImplementedError(f"{scheme} has no rename that fails if the new name exists")
+        self._put(tmp, {"version": base + 1, "schema": schema, "lists": lists})
+        try:
+            if scheme == "file":  # a hard link is made only if the name is free
+                files = jvm.java.nio.file
+                files.Files.createLink(*[files.Paths.get(x.toUri().getPath(), self.spark._sc._gateway.new_array(jvm.String, 0)) for x in (p, t)])
+            else:
+                options = self.spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration()).rename(t, p, options)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in str(e.java_exception):
+                raise
+            raise Conflict(f"version {base + 1} exists") from None
+        finally:
+            fs.delete(t, False)
         return base + 1
 
     # ---- shards
@@ -83,7 +122,7 @@ class Store:
         schema = df.schema.json()
         if now["schema"] not in (None, schema):
             raise ValueError("the store has another schema")
-        return self.commit(now["version"], now["shards"] + self._write(df, "arrival"), schema)
+        return self.commit(now["version"], now["lists"] + self._lists(self._write(df, "arrival")), schema)
 
     def tiers(self, shards: list[dict]) -> dict[int, list[dict]]:
         """The unfinished shards, under half the target, by tier."""
@@ -99,27 +138,23 @@ class Store:
         Each round leaves fewer shards, at most one for each half target's bytes of a merged tier and one more.
         """
         while True:
-            now = self.manifest()
-            full = [t for t in self.tiers(now["shards"]).values() if len(t) >= self.fan_in]
+            now, open_ = self.manifest(), self.shards(finished=False)
+            full = [t for t in self.tiers(open_).values() if len(t) >= self.fan_in]
             if not full:
                 return now["version"]
             gone = {s["file"] for t in full for s in t}
             merged = [s for t in full for s in self._merge([x["file"] for x in t], now["schema"])]
             if len(merged) >= len(gone):  # they are as full as the session's settings allow
                 return now["version"]
-            self.commit(now["version"], [s for s in now["shards"] if s["file"] not in gone] + merged, now["schema"])
+            left = self._lists([s for s in open_ if s["file"] not in gone] + merged)
+            self.commit(now["version"], [x for x in now["lists"] if x["finished"]] + left, now["schema"])
 
     def _merge(self, files: list[str], schema: str) -> list[dict]:
         """One scan over whole shards, packed into tasks of the target size; a task writes a file."""
-        packing = {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
-        before = {k: self.spark.conf.get(k, None) for k in packing}
-        try:
-            for k, v in packing.items():
-                self.spark.conf.set(k, v)
-            return self._write(self._scan(files, schema), "merged")
-        finally:
-            for k, v in before.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+        session = self.spark.newSession()  # its settings are its own
+        for k, v in {"spark.sql.files.maxPartitionBytes": self.target, "spark.sql.files.openCostInBytes": 0, "spark.sql.files.minPartitionNum": 1}.items():
+            session.conf.set(k, str(v))
+        return self._write(session.read.schema(StructType.fromJson(json.loads(schema))).parquet(*files), "merged")
 
     def _scan(self, files: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*files)
@@ -129,15 +164,15 @@ class Store:
         now = self.manifest(version)
         if now["schema"] is None:
             raise ValueError("the store is empty")
-        if not now["shards"]:
+        if not now["lists"]:
             fields = StructType.fromJson(json.loads(now["schema"])).fields
             return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
-        return self._scan([s["file"] for s in now["shards"]], now["schema"])
+        return self._scan([s["file"] for s in self.shards(now["version"])], now["schema"])
 
     def vacuum(self) -> int:
-        """Deletes files that the newest version doesn't name, and old manifests; how many files. No writer may be at work."""
+        """Deletes files that the newest version doesn't name, old manifests and lists; how many files of data. No writer may be at work."""
         now = self.manifest()
-        live, gone = {s["file"] for s in now["shards"]}, 0
+        live, gone = {s["file"] for s in self.shards(now["version"])}, 0
         fs, data = hadoop(self.spark, f"{self.path}/data")
         for folder in fs.listStatus(data) if fs.exists(data) else []:
             files = [s.getPath() for s in fs.listStatus(folder.getPath())]
@@ -146,16 +181,21 @@ class Store:
             for f in [folder.getPath()] if len(dead) == len(parts) else dead:
                 fs.delete(f, True)
             gone += len(dead)
-        for v in range(1, now["version"]):
-            fs.delete(hadoop(self.spark, f"{self.path}/manifests/v{v:012d}.json")[1], False)
+        names = {f"v{now['version']:012d}.json", *(x["name"] for x in now["lists"])}
+        for s in fs.listStatus(hadoop(self.spark, f"{self.path}/manifests")[1]) if now["version"] else []:
+            if s.getPath().getName() not in names:
+                fs.delete(s.getPath(), False)
         return gone
 
 
 def placed(store: Store) -> DataFrame:
-    """The rows of the newest version with shard_id, the number of their shard in the manifest."""
-    if not store.manifest()["shards"]:
-        return store.read().withColumn("shard_id", F.lit(None).cast("long"))
-    manifest = f"{store.path}/manifests/v{store.version():012d}.json"
-    shards = store.spark.read.schema("shards array<struct<file: string>>").json(manifest).select(F.posexplode("shards").alias("shard_id", "shard"))
-    number = shards.select(F.substring_index("shard.file", "/", -1).alias("name"), F.col("shard_id").cast("long").alias("shard_id"))
-    return store.read().withColumn("name", F.col("_metadata.file_name")).join(number, "name", "left").drop("name")
+    """The rows of the newest version with shard_id, the number of their shard; a stored column of that name is replaced."""
+    now, rows = store.manifest(), store.read()
+    kept = [c for c in rows.columns if c != "shard_id"]
+    if not now["lists"]:
+        return rows.select(*kept, F.lit(None).cast("long").alias("shard_id"))
+    files = [f"{store.path}/manifests/{x['name']}" for x in now["lists"]]
+    shards = store.spark.read.schema("file string").json(files).select(F.substring_index("file", "/", -1).alias("name"))
+    number = shards.select("name", F.row_number().over(Window.orderBy("name")).cast("long").alias("shard_id"))  # names of files only
+    rows = rows.select(F.struct(*kept).alias("row"), F.col("_metadata.file_name").alias("name"))
+    return rows.join(number, "name", "left").select("row.*", "shard_id")

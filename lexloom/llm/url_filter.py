@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import stage
+
 #: (host/path, verdict). A rule holds for its host and all hosts below, for paths that start with its path.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 FEATURES, SHORTEST, LONGEST = 1 << 13, 2, 5
@@ -49,19 +51,25 @@ def grams(host: str, path: str, shortest: int = SHORTEST, longest: int = LONGEST
 def fit(labelled: DataFrame, sample: int = SAMPLE):
     """A fitted pipeline from rows (host, path, label: 1 for block, 0), or None without rows of both labels.
 
-    Distinct (host, path) count once, as 1 if they have both labels; at most `sample` of them are used, those with the
-    least hash.
+    Distinct (host, path) count once, as 1 if they have both labels; at most `sample` of them are used, half of each
+    label where there are so many, those with the least hash. Each label weighs as much as it has addresses in all.
     """
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF
 
     rows = labelled.where("host is not null and path is not null and label in (0, 1)").groupBy("host", "path").agg(F.max("label").cast("double").alias("label"))
-    rows = rows.orderBy(F.xxhash64("host", "path"), "host", "path").limit(sample).withColumn("grams", grams("host", "path"))
-    if rows.select("label").distinct().count() < 2:
+    rows = stage(rows, "addresses")
+    counts = dict(rows.groupBy("label").count().collect())
+    if len(counts) < 2:
         return None
+    few = min(sample // 2, min(counts.values()))
+    take = {y: few if n == min(counts.values()) else min(n, sample - few) for y, n in counts.items()}
+    order = (F.xxhash64("host", "path"), "host", "path")
+    each = [rows.where(F.col("label") == y).orderBy(*order).limit(n).withColumn("weight", F.lit(counts[y] / n)) for y, n in sorted(take.items())]
+    rows = stage(each[0].unionByName(each[1]).withColumn("grams", grams("host", "path")), "labelled")
     hashing = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features")
-    return PipelineModel([hashing, LogisticRegression(regParam=0.001, maxIter=60).fit(hashing.transform(rows))])
+    return PipelineModel([hashing, LogisticRegression(regParam=0.001, maxIter=60, weightCol="weight").fit(hashing.transform(rows))])
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, sample: int = SAMPLE, cut: float = 0.5) -> DataFrame:
@@ -69,7 +77,8 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, samp
 
     labelled has url and label (1 for block); without it the URLs that a rule decides are the labels. A URL without a
     rule is blocked from a score of `cut` on, and allowed if there was nothing to learn from. Null URLs have empty
-    host and path. Only page_id and url are read.
+    host and path, and very long ones are read whole. A table without rows gives none. Only page_id and url are read,
+    so no other column can clash.
     """
     from pyspark.ml.functions import vector_to_array
 

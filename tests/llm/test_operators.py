@@ -107,6 +107,54 @@ def test_language(spark):
     assert [x[0] for x in got[:6]] == ["en", "fr", "en", "und", "und", "und"] and all(x[1] for x in got) and got[6][0] in ("en", "fr")
 
 
+def test_small_languages_keep_their_words(spark):
+    """A language with one document in a thousand has the same share of the table as one with the rest."""
+    rng = random.Random(7)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(4))
+    big, small = [word("abcdefgh") for _ in range(900)], [word("stuvwxyz") for _ in range(30)]
+    data = [(i, " ".join(rng.choices(big, k=30)), "en", "s", 0) for i in range(1000)]
+    data += [(1000 + i, " ".join(rng.choices(small, k=200)), "xx", "s", 0) for i in range(2)]
+    d = spark.createDataFrame([x for x in data if zlib.crc32(str(x[0]).encode()) % 4 != 2], DOCS)
+    m = language_id.learn(d, 100, 400)
+    assert m.languages == ["en", "xx"] and len(set(m.words) & set(small)) == len(set(small)) and 40 <= len(m.words) <= 100
+    assert len(m.grams) <= 400 and {len(g) for g in m.grams} == {1, 2, 3, 4}
+    again = language_id.learn(d.where("lang = 'xx'").unionByName(d.where("lang = 'en'").limit(100)), 100, 400)
+    assert set(again.words) & set(small) == set(m.words) & set(small)
+
+
+def test_language_scores_are_those_of_plain_sums(spark):
+    """Known words by their log frequency, others by the longest n-grams that are known, against dictionaries."""
+    texts = ["aa ab aa abc abcd"] * 3 + ["ba bb ba bbc abcd"] * 3
+    d = spark.createDataFrame([(i * 4 + 1, t, "x" if i < 3 else "y", "s", 0) for i, t in enumerate(texts)], DOCS).where(~held_out(F.col("doc_id")))
+    count = {k: collections.Counter(w for r in d.collect() if r.lang == k for w in r.text.split()) for k in "xy"}
+    m = language_id.learn(d)
+    assert set(m.words) == {w for k in "xy" for w, n in count[k].items() if n >= 3}
+    grams = {k: collections.Counter() for k in "xy"}
+    for k in "xy":
+        for w, n in count[k].items():
+            for size in range(1, 5):
+                for i in range(len(w) + 3 - size):
+                    grams[k][f"<{w}>"[i : i + size]] += n
+    relative = lambda c, keys: {q: np.array([math.log((c[k][q] + 1) / sum(c[k][x] + 1 for x in keys)) for k in "xy"]) for q in keys}
+    kept = {q for k in "xy" for q, n in grams[k].items() if n >= 3}
+    known, parts = relative(count, m.words), {}
+    for size in range(1, 5):
+        parts |= relative(grams, [q for q in kept if len(q) == size])
+    for text in ("aa", "bbcd aa", "zz", "abab bb bb", "q<"):
+        total = np.zeros(2)
+        for w in language_id.words(text):
+            found = known.get(w)
+            for size in range(min(4, len(w) + 2), 0, -1):
+                at = [parts[q] for i in range(len(w) + 3 - size) if (q := f"<{w}>"[i : i + size]) in parts]
+                if found is None and at:
+                    found = np.mean([x - x.mean() for x in at], 0)
+            found = np.zeros(2) if found is None else found - found.mean()
+            total += found
+        z = total / math.sqrt(len(language_id.words(text)))
+        got = language_id.identify(text, language_id._Known(m))
+        assert got[0] == "xy"[int(np.argmax(z))] and math.isclose(got[1], math.exp(z.max()) / np.exp(z).sum(), rel_tol=1e-5)
+
+
 def test_language_held_out_accuracy(spark):
     big = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang").collect()}
@@ -172,6 +220,14 @@ def test_plan_holds_each_length_once():
 
 
 def test_packing_odd(spark):
+    own = ("rid", "salt", "nth", "before", "rank", "row", "sequence_id", "offset")
+    d = spark.createDataFrame([(5, i, "mine") for i in range(9)], "length long, id long, rid string")
+    for c in own[1:]:
+        d = d.withColumn(c, F.lit("mine"))
+    got = packing.pack(d, 10).collect()
+    assert all(r[c] == "mine" for r in got for c in own[:-2]) and check_places(got, 10) == 5 and len(got) == 9
+    with pytest.raises(ValueError):
+        packing.pack(d.withColumn("length", F.lit(11)), 10)
     got = packing.pack_documents(odd(spark).select("doc_id", "text")).collect()
     assert check_places(got, 2048) >= 1 and sum(r.piece == 0 for r in got) == 10
     assert packing.pack_documents(docs(spark)).count() == 0
@@ -199,6 +255,33 @@ def test_sparse_sites_shrink(spark):
     assert not r[401].held_out and abs(r[401].host_score - r[1].host_score) < 0.2
 
 
+def test_own_label_is_taken_out(spark):
+    """host_score and path_score by plain sums over the other documents; a document's own label doesn't move its own."""
+    d = spark.createDataFrame([(i, "same text here", f"p{i % 3}", f"h{i % 4}", 0) for i in range(48)], DOCS)
+    lab = [(i, int(i % 4 < 2 or i % 5 == 0)) for i in range(48)]
+    run = lambda rows: {x.doc_id: x for x in quality_classifier.judge(d, spark.createDataFrame(rows, "doc_id long, quality int")).collect()}
+    r, y = run(lab), {}
+    for i, v in lab:
+        y[i] = r[i].doc_score if r[i].held_out else v
+    base, of = sum(y.values()) / 48, lambda f: {k: [y[i] for i in y if f(i) == k] for k in {f(i) for i in y}}
+
+    def strength(groups, up):
+        n, k = sum(map(len, groups.values())), len(groups)
+        inside = sum(sum(v * v for v in g) - sum(g) ** 2 / len(g) for g in groups.values()) / (n - k)
+        between = sum(len(g) * (sum(g) / len(g) - up[q]) ** 2 for q, g in groups.items())
+        between = (between - k * inside) / (n - sum(len(g) ** 2 for g in groups.values()) / n)
+        return inside / between if between > inside / 1e12 else 1e12
+
+    hosts, paths = of(lambda i: i % 4), of(lambda i: (i % 4, i % 3))
+    a = strength(hosts, dict.fromkeys(hosts, base))
+    b = strength(paths, {q: (sum(hosts[q[0]]) + a * base) / (len(hosts[q[0]]) + a) for q in paths})
+    for i in y:
+        h, p = hosts[i % 4], paths[i % 4, i % 3]
+        host = (sum(h) - y[i] + a * base) / (len(h) - 1 + a)
+        path = (sum(p) - y[i] + b * host) / (len(p) - 1 + b)
+        assert math.isclose(r[i].host_score, host, rel_tol=1e-6, abs_tol=1e-9) and math.isclose(r[i].path_score, path, rel_tol=1e-6, abs_tol=1e-9)
+
+
 def test_classifier_odd(spark):
     r = quality_classifier.judge(odd(spark), labels(spark)).collect()
     assert len(r) == 10 and all(0 <= x.score <= 1 for x in r)
@@ -229,6 +312,15 @@ def test_url_rules(spark, sf):
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or ("block" if r.block_score >= 0.5 else "allow"))
 
 
+def test_rare_blocks_are_learned(spark):
+    """With one block among hundreds of addresses the sample still has it; repeated rows and clashing columns change nothing."""
+    t = spark.createDataFrame([(f"http://s{i}.org/{'casino' if i < 3 else 'news'}/{i}", int(i < 3)) for i in range(900)], "url string, label int")
+    p = spark.createDataFrame([(0, "http://q.org/casino/9", "x"), (0, "http://q.org/casino/9", "x"), (1, None, "y")], "page_id long, url string, host string").withColumns({c: F.lit("mine") for c in ("path", "rule", "ruled", "grams", "features", "probability", "label", "weight")})
+    got = url_filter.judge(p, t, rules=(), sample=20, cut=0.05).collect()
+    assert [(r.page_id, r.host, r.verdict) for r in got] == [(0, "q.org", "block")] * 2 + [(1, "", "allow")]
+    assert url_filter.judge(p.limit(0), t).count() == 0 and url_filter.judge(p.limit(0)).count() == 0
+
+
 def test_url_model(spark):
     t = spark.createDataFrame([(f"http://s{i}.org/{'casino' if i % 2 else 'news'}/{i}", i % 2) for i in range(60)], "url string, label int")
     p = spark.createDataFrame([(0, "http://q.org/casino-royal/"), (1, "http://q.org/newspaper/")], "page_id long, url string")
@@ -295,17 +387,49 @@ def test_store_round_trip(spark, tmp_path):
     for k in range(4):
         s.append(whole.withColumn("batch", F.lit(k)).repartition(2))
     before = s.read().collect()
-    shards = len(s.manifest()["shards"])
+    shards = len(s.shards())
     assert s.version() == 4 and len(before) == 40
     v = s.compact()
-    assert v == 5 and len(s.manifest()["shards"]) < shards and sorted(map(str, s.read().collect())) == sorted(map(str, before))
+    assert v == 5 and len(s.shards()) < shards and sorted(map(str, s.read().collect())) == sorted(map(str, before))
     assert sorted(map(str, s.read(4).collect())) == sorted(map(str, before))  # the old version stays
-    assert s.compact() == v and sum(x["rows"] for x in s.manifest()["shards"]) == 40
+    assert s.compact() == v and sum(x["rows"] for x in s.shards()) == 40
     assert s.vacuum() > 0 and len(s.read().collect()) == 40
     with pytest.raises(sharding.Conflict):
         s.commit(4, [], s.manifest()["schema"])
     with pytest.raises(ValueError):
         s.append(whole)
+    assert s.version() == 5 and not [f for f in (tmp_path / "s/manifests").iterdir() if f.name.startswith(".tmp")]
+
+
+def test_placed_keeps_columns_that_clash(spark, tmp_path):
+    s = sharding.Store(spark, str(tmp_path / "s"))
+    s.append(odd(spark).withColumn("name", F.lit("mine")).withColumn("shard_id", F.lit("theirs")))
+    r = sharding.placed(s).collect()
+    assert len(r) == 10 and {x.name for x in r} == {"mine"} and all(x.shard_id >= 1 for x in r) and len(set(sharding.placed(s).columns)) == len(sharding.placed(s).columns)
+
+
+def test_one_of_two_writers_wins(spark, tmp_path):
+    s = sharding.Store(spark, str(tmp_path / "s"))
+    s.append(docs(spark, "a"))
+    other = sharding.Store(spark, s.path)
+    base = other.manifest()
+    s.append(docs(spark, "b"))
+    with pytest.raises(sharding.Conflict):
+        other.commit(base["version"], base["lists"], base["schema"])
+    assert {r.text for r in s.read().collect()} == {"a", "b"}
+
+
+def test_finished_shards_stay(spark, tmp_path):
+    s = sharding.Store(spark, str(tmp_path / "s"), target=4000, fan_in=2)
+    rng = random.Random(5)
+    for _ in range(6):
+        s.append(docs(spark, *["".join(rng.choice("abcdefghij") for _ in range(900)) for _ in range(2)]).repartition(1))
+    s.compact()
+    done = {x["file"] for x in s.shards(finished=True)}
+    for _ in range(2):
+        s.append(docs(spark, "x").repartition(1))
+    s.compact()
+    assert done and done <= {x["file"] for x in s.shards()} and s.read().count() == 14
 
 
 def test_store_of_nothing(spark, tmp_path):

@@ -41,6 +41,23 @@ def test_planted(spark, sf):
     assert {r.doc_id - 10**6 for r in P.keep_uncontaminated(spark, d, sf).collect()} == set(range(8)) - {5}
 
 
+def test_rows_that_share_an_id(spark, sf):
+    """Repeated rows leave one; of two texts with one id only the linked one goes; nulls, and columns named as the operators' own, stay."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, n_deleted string, words_deleted string, rid string, salt string, row string, score string, doc string"
+    mine = ("x",) * 8
+    texts = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "u v w x y z"), (2, "A b c d e f"), (None, "u v w x y z"), (None, None), (3, ""), (3, None)]
+    d = spark.createDataFrame([(i, t, "en", "s", 0, *mine) for i, t in texts], schema)
+    key = lambda rows: sorted(((r.doc_id, r.text) for r in rows), key=str)
+    got = P.keep_one_near_copy(spark, d, sf)
+    assert key(got.collect()) == sorted([(1, "a b c d e f"), (2, "u v w x y z"), (None, None), (3, ""), (3, None)], key=str)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, d, sf)
+        assert out.columns == d.columns and {x for r in out.collect() for x in r[5:]} == {"x"}, name
+        empty = stage(spark, d.limit(0), sf)
+        assert empty.columns == d.columns and empty.count() == 0, name
+    assert len(P.pack(spark, d, sf).collect()) == 8 and P.pack(spark, d.limit(0), sf).count() == 0
+
+
 def test_run(spark, sf):
     got = P.run(spark, sf).collect()
     assert check_places(got, 2048) > 0 and [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "best_fit_packing"]
