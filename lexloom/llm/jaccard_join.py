@@ -240,7 +240,8 @@ def groups(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:
     of = of.join(comps.select(F.col("node").alias("hub"), F.col("comp").alias("main")), "hub", "left").withColumn("outside", F.col("comp") != F.coalesce("main", "hub"))
     weight = F.length("more") + F.length("less")
     load = of.groupBy("hub").agg(*[F.ceil(F.greatest(F.sum(F.when(side, 1)) / BLOCK, F.sum(F.when(side, weight)) / BLOCK_BYTES)).cast("int").alias(name) for name, side in (("probes", F.col("outside")), ("others", F.lit(True)))])
-    of = of.join(load.where("probes > 0"), "hub").select("hub", "a", "comp", "n", "n_hub", "more", "less", "outside", "probes", "others")
+    load = stage(load.where("probes > 0"), "load")  # else a large hub's rows meet its sums in one task, which can't be split
+    of = of.join(load, "hub").select("hub", "a", "comp", "n", "n_hub", "more", "less", "outside", "probes", "others")
     place = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     probes = of.where("outside").withColumns({"i": place("probes"), "probe": F.lit(True)}).withColumn("j", every("others"))
