@@ -9,8 +9,11 @@ import re
 from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: Tags that end an open element of the same kind.
+#: Tags that end an open element of the same kind, through open elements within a line.
 SAME = {"p", "li", "tr", "td", "th", "option", "dt", "dd"}
+INLINE = {"a", "abbr", "b", "em", "font", "i", "label", "mark", "s", "small", "span", "strong", "sub", "sup", "u"}
+#: Tags that end an open paragraph.
+BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _PART = re.compile(r"([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:([*^$]?=)[\"']?([^\"'\]]*)[\"']?)?\]")
 
 
@@ -30,6 +33,13 @@ class Node:
                 todo.extend(reversed(n.children))
         return "".join(out)
 
+    def within(self, top: "Node") -> bool:
+        """Whether top is this node or above it."""
+        n = self
+        while n is not None and n is not top:
+            n = n.parent
+        return n is top
+
     def walk(self):
         todo = list(reversed(self.children))
         while todo:
@@ -50,8 +60,11 @@ class _Builder(HTMLParser):
         self.root = self.at = Node("#document", {}, None)
 
     def handle_starttag(self, tag, attrs):
-        if tag in SAME and self.at.tag == tag:
-            self.at = self.at.parent
+        n = self.at
+        while n.tag in INLINE and n.parent is not None:
+            n = n.parent
+        if (tag in SAME and n.tag == tag) or (tag in BLOCKS and n.tag == "p"):
+            self.at = n.parent
         node = Node(tag, dict(attrs), self.at)
         self.at.children.append(node)
         if tag not in VOID:
@@ -113,6 +126,10 @@ def select(root: Node, selector: str) -> list[Node]:
     return [n for n in root.walk() if fits(n)]
 
 
+def first(root: Node, selector: str) -> Node | None:
+    return next(iter(select(root, selector)), None)
+
+
 def without(root: Node, selectors: list[str]) -> Node:
     for s in selectors:
         for n in select(root, s):

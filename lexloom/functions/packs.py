@@ -51,7 +51,52 @@ class Pack:
     latin_digits: str = "[0-9]"
 
 
+@dataclass(frozen=True)
+class Pages:
+    """Where a site's pages hold what: lists of selectors in the order in which they are tried."""
+
+    title: tuple[str, ...] = ("h1",)
+    site_suffixes: tuple[str, ...] = ()
+    container: str = "body"
+    rows: str = "section"
+    row_title: str = "h2"
+    row_body: str = "p"
+    opening: tuple[str, ...] = ()
+    preamble: str = ""
+    preamble_not: str = ""
+    content: tuple[str, ...] = ()
+    fallback: tuple[str, ...] = ()
+    broader: tuple[str, ...] = ()
+    meta: tuple[str, ...] = ()
+    schedule: tuple[str, ...] = ()
+    excluded: tuple[str, ...] = ()
+    links: str = "a[href]"
+    link_id: str = r"(\d+)"
+    noise: tuple[str, ...] = ()
+
+
 # Fixed values from here on.
+LEGAL_PAGES = Pages(
+    title=("h1", ".bg-act-section h3", ".boxed-layout h3", ".boxed-layout h4", ".text-center h3", ".act-title", ".law-title", "#act-title", ".card-header h4", ".card-header h3", ".card-header h2", ".page-title", "h2.title", "h3.title", ".content-header h1", ".content-header h2", ".act-name", ".law-name"),
+    site_suffixes=(r"(?i)\s*[-|]\s*bdlaws.*$", r"(?i)\s*[-|]\s*Bangladesh.*$"),
+    container=".boxed-layout",
+    rows=".lineremoves",
+    row_title=".col-sm-3.txt-head",
+    row_body=".col-sm-9.txt-details",
+    opening=(".bg-act-section", ".bt-act-repealed", ".act-role-style"),
+    preamble=".lineremove",
+    preamble_not="lineremoves",
+    content=("#lawContent", ".law-content", ".act-details", ".act-content", ".law-body", ".card-body", ".content-body", "#act-content", ".act-text", ".law-text"),
+    fallback=(".boxed-layout", ".content-wrapper", ".main-content", "article", "main", '[role="main"]'),
+    broader=(".boxed-layout", "#lawContent", ".law-content", ".act-details", ".act-content", ".law-body", ".card-body", ".content-body", "#act-content", ".act-text", ".law-text", "article", ".article-content", "main", ".main-content", "body"),
+    meta=(".act-meta", ".law-header"),
+    schedule=("table.schedule", ".schedule", "#schedule", "table"),
+    excluded=("header", "nav", "footer", "aside", ".sidebar", ".navigation", ".menu", ".nav-menu", ".header-content", ".footer-content", ".search", ".search-box", ".search-form", ".search-results", '[role="search"]', ".related-links", ".breadcrumb", ".breadcrumbs", ".copyright", ".disclaimer", ".social-links", "script", "style", "noscript", "iframe", "object", "embed"),
+    links='a[href*="act-details"]',
+    link_id=r"act-details-(\d+)",
+    noise=("প্রিন্ট ভিউ", "(?m)^Top$", r"Copyright © \d{4}", "Legislative and Parliamentary Affairs Division"),
+)
+
 LEGAL = Pack(
     section_markers=("ধারা", "অধ্যায়", "তফসিল"),
     amendment_markers=("বিলুপ্ত", "সংশোধিত", "প্রতিস্থাপিত", "[***]"),
@@ -135,3 +180,10 @@ GENERIC = Pack(
     native="[À-ÿ]",
     native_digits="[²³¹]",
 )
+
+#: Pages of plain articles.
+GENERIC_PAGES = Pages(
+    container=".law", rows=".row", row_title=".head", row_body=".details", opening=(".opening",), preamble=".line", preamble_not="row",
+    content=("#content", ".act-content"), fallback=("article", "main"), broader=("#content", ".act-content", "article", "main", "body"), meta=(".meta",), schedule=("table.schedule", ".schedule"),
+    excluded=("header", "nav", "footer", "aside", ".ad", "script", "style", "noscript"), links='a[href*="act-"]', link_id=r"act-(\d+)", noise=("(?m)^Top$", r"Copyright © \d{4}"),
+)

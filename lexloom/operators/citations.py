@@ -16,17 +16,24 @@ def _group(text: Column, pattern: str, k: int) -> Column:
 def detect(docs: DataFrame, pack: Pack = LEGAL, key: str = "doc_id", text: str = "text", width: int = 50, negation_width: int = 20) -> DataFrame:
     """A row for each match of each family, overlaps included; see deduplicated().
 
-    Lines are searched one by one; position is absolute. Texts without any match are dropped before they are split.
+    Lines are searched one by one; position is absolute. Texts without any match are dropped before they are split,
+    lines without one before rows are made of them, and a row carries its line with `width` characters on both sides.
     """
     anything = "|".join(f"(?:{c.pattern})" for c in pack.citations.values())
-    hit = docs.where(F.col(text).rlike(anything)).select(key, F.col(text).alias("content"))
-    lines = hit.select(key, "content", F.split("content", "\n", -1).alias("lines"))
-    start = F.aggregate(F.slice("lines", 1, F.col("at")), F.lit(0), lambda n, x: n + F.length(x) + 1)
-    lines = lines.select(key, "content", "lines", F.posexplode("lines").alias("at", "line")).where(F.col("line").rlike(anything))
-    lines = lines.select(key, "content", "at", "line", start.alias("line_start"))
+    whole, reach = F.col(text), max(width, negation_width)
+    starts = F.concat(F.array(F.lit(0)), F.transform(T.find_all(whole, "\n"), lambda m: m["position"] + 1))
+    lines = docs.where(whole.rlike(anything)).select(key, whole.alias("__c"), F.arrays_zip(F.split(whole, "\n", -1).alias("line"), starts.alias("start")).alias("__l"))
+
+    def held(x):
+        from_ = F.greatest(x["start"] - reach, F.lit(0))
+        return F.struct(x["line"].alias("line"), x["start"].alias("line_start"), from_.alias("from"), F.substring(F.col("__c"), from_ + 1, x["start"] - from_ + F.length(x["line"]) + reach).alias("content"))
+
+    numbered = F.transform(F.col("__l"), lambda x, i: F.struct(x["line"].alias("line"), x["start"].alias("start"), (i + 1).alias("n")))
+    kept = F.filter(numbered, lambda x: x["line"].rlike(anything))
+    lines = lines.select(key, F.explode(F.transform(kept, lambda x: F.struct(x["n"].alias("line_number"), held(x).alias("at")))).alias("x")).select(key, "x.line_number", "x.at.*")
     found = T.find_each(F.col("line"), {k: c.pattern for k, c in pack.citations.items()})
-    rows = lines.select(key, "content", F.col("at").alias("line_at"), "line_start", F.explode(found).alias("m"))
-    rows = rows.select(key, "content", (F.col("line_at") + 1).alias("line_number"), (F.col("line_start") + F.col("m.position")).alias("position"), F.col("m.text").alias("citation_text"), F.col("m.kind").alias("pattern_type"))
+    rows = lines.select(key, "content", "from", "line_number", "line_start", F.explode(found).alias("m"))
+    rows = rows.select(key, "content", "from", "line_number", (F.col("line_start") + F.col("m.position")).alias("position"), F.col("m.text").alias("citation_text"), F.col("m.kind").alias("pattern_type"))
     parts = {"act_name": [], "citation_year": [], "citation_serial": [], "script": []}
     for kind, c in pack.citations.items():
         here, ct = F.col("pattern_type") == kind, F.col("citation_text")
@@ -35,12 +42,20 @@ def detect(docs: DataFrame, pack: Pack = LEGAL, key: str = "doc_id", text: str =
             parts[name].append(F.when(here, value))
     rows = rows.withColumns({name: F.coalesce(*v) for name, v in parts.items()})
     size = F.length("citation_text")
-    before, after = T.around(F.col("content"), F.col("position"), size, width)
-    near = F.substring("content", F.greatest(F.col("position") - negation_width, F.lit(0)) + 1, F.least(F.col("position"), F.lit(negation_width)) + negation_width)
+    at = F.col("position") - F.col("from")
+    before, after = T.around(F.col("content"), at, size, width)
+    near = F.substring("content", F.greatest(at - negation_width, F.lit(0)) + 1, F.least(at, F.lit(negation_width)) + negation_width)
     rows = rows.withColumns({"context_before": before, "context_after": after, "negation_word": negation(near, pack)})
     rows = rows.withColumn("negation_present", F.col("negation_word").isNotNull())
     rows = rows.withColumn("relation", F.when(F.col("negation_present"), "mention").otherwise(relation(F.concat_ws(" ", "context_before", "citation_text", "context_after"), pack)))
-    return rows.withColumn("confidence", confidence(F.col("act_name"), F.col("citation_year"), F.col("citation_serial"))).drop("content")
+    return rows.withColumn("confidence", confidence(F.col("act_name"), F.col("citation_year"), F.col("citation_serial"))).drop("content", "from")
+
+
+def short(c: Column, pack: Pack = LEGAL, kinds=(("BENGALI_ACT_SHORT", "bengali_citation"), ("ENGLISH_ACT_SHORT", "english_citation"))) -> Column:
+    """The short citations of a text by position: kind, position, text; at one place in the order of kinds."""
+    found = T.find_each(c, {name: pack.citations[kind].pattern for kind, name in kinds})
+    order = F.transform(found, lambda m, i: F.struct(m["position"].alias("position"), i.alias("i"), m["kind"].alias("kind"), m["text"].alias("text")))
+    return F.transform(F.array_sort(order), lambda m: F.struct(m["kind"].alias("kind"), m["position"].alias("position"), m["text"].alias("text")))
 
 
 def negation(near: Column, pack: Pack = LEGAL) -> Column:

@@ -7,29 +7,92 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.packs import LEGAL, Pack
-from . import markers, quality
+from . import citations, markers, quality
+from .html import risks as page_risks
 
 
-def act(docs: DataFrame, pack: Pack = LEGAL, key: str = "act_number", title: str = "title", content: str = "content_raw", url: str = "url", volume: str = "volume_number") -> DataFrame:
-    """The derived record of each captured act: three layers of text, hash, markers, language, regions and quality."""
+#: Statements that go with every act: what the text is, and what must not be read into it.
+STATEMENTS = {
+    "temporal_status": "historical_text", "temporal_disclaimer": "No inference of current legal force or applicability",
+    "html_capture_definition": "Browser-rendered DOM text nodes", "dom_extraction_method": "textContent",
+    "content_raw_disclaimer": "Represents browser-parsed DOM text via textContent, not raw HTML or server response bytes",
+    "reference_semantics": "string_match_only", "reference_warning": "Keywords detected in proximity to citation strings. No legal relationship, effect, direction, or applicability is implied.",
+    "negation_handling": "classification_suppression_only", "numeric_integrity": "best_effort_html_only", "numeric_warning": "Numeric expressions may be incomplete or malformed due to HTML source limitations",
+    "encoding_policy": "preserve_html_artifacts", "encoding_scope": "non-semantic, display-only",
+}
+
+
+def act(docs: DataFrame, pack: Pack = LEGAL, key: str = "act_number", title: str = "title", content: str = "content_raw", url: str = "url", volume: str = "volume_number", html: str | None = None, clean: bool = False) -> DataFrame:
+    """The derived record of each captured act: three layers of text, hash, references, status, markers, language, regions, schedules, risk and quality.
+
+    html: a column with the page, for extraction_risk and schedules; clean: content_corrected is the cleaned text.
+    Null content counts as empty text, which has no hash. Keys are the acts', and rows of one key are one act.
+    """
+    docs = docs.withColumn(content, F.coalesce(F.col(content).cast("string"), F.lit("")))
     c = F.col(content)
     bn, en = markers.language_ratios(c, pack)
     shown, _ = markers.editorial(c, pack)
-    out = quality.assess(docs, pack, content)
-    normal = T.nfc(c)
+    out = quality.assess(docs, pack, content).withColumn("__normal", T.nfc(c))
+    if clean:
+        fixed = quality.clean(out, pack, "__normal")
+        out = fixed.withColumns({"__corrected": F.col("content_corrected"), "flags": F.when(F.array_contains("cleaning_flags", "cleaning_applied"), F.array_append("flags", F.lit("cleaning_applied"))).otherwise(F.col("flags"))})
+    else:
+        out = out.withColumn("__corrected", F.col("__normal"))
+    refs = citations.deduplicated(citations.detect(docs, pack, key, content), key)
+    one = F.struct(
+        "citation_text", F.col("relation").alias("lexical_relation_type"), F.col("confidence").alias("lexical_relation_confidence"), "negation_present", "negation_word",
+        F.when(F.col("negation_present"), F.concat_ws(" ", "context_before", "citation_text", "context_after")).alias("negation_context"), F.col("position").cast("long").alias("position"), "context_before", "context_after",
+    )
+    refs = refs.groupBy(F.col(key).alias("__k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", one.alias("ref")))), lambda x: x["ref"]).alias("__refs"))  # bounded by one act's text
+    out = out.join(refs, F.col(key) == F.col("__k"), "left")
+    list_ = F.coalesce("__refs", F.array().cast(refs.schema["__refs"].dataType))
+    risk = page_risks(F.col(html)) if html else F.lit("")
+    page = F.col(html) if html else F.lit(None).cast("string")
+    tables = F.array_join(F.regexp_extract_all(page, F.lit(r"(?is)(<table.*?</table>)"), F.lit(1)), "")
     return out.select(
-        F.struct(F.col(key).cast("string").alias("internal_id")).alias("identifiers"), F.col(title).alias("title_raw"), T.nfc(F.col(title)).alias("title_normalized"),
-        c.alias("content_raw"), normal.alias("content_normalized"), normal.alias("content_corrected"), F.col(url).alias("url"), F.coalesce(volume, F.lit("unknown")).alias("volume_number"),
-        F.struct("completeness", "flags", "ml_risk_factors").alias("data_quality"), markers.protected_types(c, pack).alias("protected_sections"), markers.numeric_regions(c, pack).alias("numeric_regions"),
+        F.struct(F.col(key).cast("string").alias("internal_id"), F.lit("internal_id is the database identifier, not the legal citation number").alias("note")).alias("identifiers"),
+        F.col(title).alias("title_raw"), T.nfc(F.col(title)).alias("title_normalized"),
+        c.alias("content_raw"), F.col("__normal").alias("content_normalized"), F.col("__corrected").alias("content_corrected"), F.col(url).alias("url"), F.coalesce(F.nullif(F.col(volume), F.lit("")), F.lit("unknown")).alias("volume_number"),
+        markers.legal_status(c, pack)[0].alias("legal_status"),
+        F.struct(F.size(list_).cast("long").alias("count"), F.lit("pattern-based detection").alias("method"), F.lit("Detected via pattern matching. No legal force or applicability implied.").alias("disclaimer"), list_.alias("references")).alias("lexical_references"),
+        F.struct(F.lit("raw_html").alias("representation"), F.lit("verbatim_dom_capture").alias("extraction_method"), F.lit(False).alias("processed"), F.nullif(tables, F.lit("")).alias("html_content")).alias("schedules"),
+        markers.protected_types(c, pack).alias("protected_sections"),
+        F.transform(markers.numeric_regions(c, pack), lambda r: F.struct(r["start"].cast("long").alias("start"), r["end"].cast("long").alias("end"), r["type"].alias("type"), F.lit(True).alias("numeric_integrity_sensitive"))).alias("numeric_regions"),
+        F.struct("completeness", "flags", "ml_risk_factors").alias("data_quality"),
+        F.struct((risk != "").alias("possible_truncation"), F.when(risk == "", "none").otherwise(risk).alias("reason")).alias("extraction_risk"),
         markers.number_scripts(c, pack)["numeric_representation"].alias("numeric_representation"), F.struct(bn.alias("bn_ratio"), en.alias("en_ratio")).alias("language_distribution"),
         shown.alias("editorial_content_present"), markers.marker_frequency(c, pack).alias("marker_frequency"), T.content_hash(c).alias("content_raw_sha256"),
+        *[F.lit(v).alias(k) for k, v in STATEMENTS.items()],
     )
 
 
+def legacy_act(docs: DataFrame, pack: Pack = LEGAL, key: str = "act_number", title: str = "title", content: str = "content", metadata: str | None = None) -> DataFrame:
+    """key and json, the older shape of an act: metadata, title, number, content and plain marker counts."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    counts = F.create_map(*[x for name, n in markers.marker_counts(text(content), pack).items() for x in (F.lit(name), n)])
+    meta = F.col(metadata) if metadata else F.create_map().cast("map<string,string>")
+    return docs.select(key, F.to_json(F.struct(meta.alias("_metadata"), text(title).alias("title"), text(key).alias("act_number"), text(content).alias("content"), counts.alias("sections_detected"))).alias("json"))
+
+
+def corpus_act(rows: DataFrame, pack: Pack = LEGAL, names: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """The projection of an act into the corpus: each field from the first of its names that has a value that isn't empty.
+
+    marker_frequency falls back to zero counts, volume_number to unknown, all other fields to empty text.
+    """
+    names = names or {"act_number": ("actNumber", "act_number"), "title": ("title",), "content": ("content",), "url": ("url",), "volume_number": ("volumeNumber", "volume_number")}
+    there = set(rows.columns)
+    given = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    fields = [F.coalesce(*[given(c) for c in all_ if c in there], F.lit("unknown" if name == "volume_number" else "")).alias(name) for name, all_ in names.items()]
+    zero = F.create_map(*[x for name in pack.frequency for x in (F.lit(name), F.lit(0).cast("long"))])
+    counts = [F.col(c) for c in ("marker_counts", "marker_frequency", "sections_detected") if c in there]
+    return rows.select(*fields, F.coalesce(*counts, zero).alias("marker_frequency"))
+
+
 def volume_catalog(acts: DataFrame, volume: str, key: str, title: str) -> DataFrame:
-    """Each volume with its acts in order of their key; bounded by a volume."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(key).alias("act_number"), F.col(title).alias("title"))))
-    return acts.groupBy(volume).agg(F.count("*").alias("total_acts"), items.alias("acts"))
+    """A row for each act: its volume, the volume's number of acts, act_number and title; write it with write_by_volume()."""
+    counts = acts.groupBy(F.col(volume).alias("__v")).agg(F.count("*").alias("total_acts"))
+    rows = acts.select(volume, F.col(key).alias("act_number"), F.col(title).alias("title"))
+    return rows.join(counts, rows[volume].eqNullSafe(counts["__v"])).select(volume, "total_acts", "act_number", "title")
 
 
 def corpus(done: DataFrame, failed: DataFrame) -> DataFrame:
@@ -55,14 +118,30 @@ def errors(rows: DataFrame, required: list[str]) -> DataFrame:
     return rows.withColumn("errors", F.array_compact(F.array(*missing))).withColumn("valid", F.size("errors") == 0)
 
 
+def corpus_errors(rows: DataFrame) -> DataFrame:
+    """rows of the corpus with errors and valid.
+
+    All need act_number and title. Failed acts have null content_raw, a failure_reason and attempts; the others need
+    content, marker_frequency and volume_number. Empty texts are texts, but an empty failure_reason is none.
+    """
+    failed = F.coalesce(F.col("extraction_status") == "failed", F.lit(False))
+    there = lambda c: F.col(c).isNotNull() if c in rows.columns else F.lit(False)
+    checks = [(~there("act_number"), "act_number is not a string"), (~there("title"), "title is not a string")]
+    checks += [(failed & there("content_raw"), "failed act should have content_raw as null"), (failed & (~there("failure_reason") | (F.coalesce(F.col("failure_reason"), F.lit("")) == "" if "failure_reason" in rows.columns else F.lit(True))), "failed act missing failure_reason"), (failed & ~there("attempts"), "failed act missing attempts count")]
+    checks += [(~failed & ~there("content"), "content is not a string"), (~failed & ~there("marker_frequency"), "marker_frequency is not an object"), (~failed & ~there("volume_number"), "volume_number is null or undefined")]
+    return rows.withColumn("errors", F.array_compact(F.array(*[F.when(test, F.lit(said)) for test, said in checks]))).withColumn("valid", F.size("errors") == 0)
+
+
 def json_valid(c: Column) -> Column:
     """Whether a text is a JSON object; arrays, plain values and null are not."""
     return F.coalesce(F.trim(c).startswith("{") & F.try_parse_json(c).isNotNull(), F.lit(False))
 
 
-def file_name(key: Column, title: Column, at: Column) -> Column:
-    safe = F.regexp_replace(title, r'[<>:"/\\|?*\x00-\x1f]', "_")
-    return F.concat(F.lit("act_"), key.cast("string"), F.lit("_"), safe, F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(".json"))
+def file_name(kind: str, key: Column, at: Column, prefix: str = "corpus") -> Column:
+    """prefix_kind_key_yyyyMMdd_HHmmss.json, in the session's time zone; characters that file names can't have go."""
+    safe = T.trim(F.regexp_replace(key.cast("string"), r'[<>:"/\\|?*\x00-\x1f]', ""))
+    safe = F.coalesce(F.nullif(safe, F.lit("")), F.lit("unknown"))
+    return F.concat(F.lit(f"{prefix}_{kind}_"), safe, F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(".json"))
 
 
 def documents(stats: DataFrame, title: str) -> DataFrame:
@@ -73,5 +152,35 @@ def documents(stats: DataFrame, title: str) -> DataFrame:
     return stats.select(F.explode(F.create_map(F.lit("README.md"), readme, F.lit("CITATION.cff"), cff)).alias("name", "content"))
 
 
-def provenance_errors(required: list[str]) -> Column:
-    return F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
+def data_dictionary(df: DataFrame) -> list[tuple[str, str, bool]]:
+    """Name, type and whether it may be null of each field, those of structs by their path."""
+    out = []
+
+    def walk(fields, path):
+        for f in fields:
+            kind = f.dataType
+            while hasattr(kind, "elementType"):
+                kind = kind.elementType
+            out.append((path + f.name, f.dataType.simpleString(), f.nullable))
+            if hasattr(kind, "fields"):
+                walk(kind.fields, f"{path}{f.name}.")
+
+    walk(df.schema.fields, "")
+    return out
+
+
+#: What a provenance record must say.
+REQUIRED = ("source", "source_url", "scraped_at", "scraping_method", "tool", "tool_version", "language", "research_purpose", "robots_txt_status", "disclaimer")
+
+
+def provenance(url: Column, at: Column, source: str, tool: str, version: str, language: str = "bn", disclaimer: str = "Publicly available legal texts for academic research; not modified, not interpreted.") -> Column:
+    """The provenance record of a capture."""
+    said = {"source": source, "scraping_method": "manual page-level extraction", "tool": tool, "tool_version": version, "language": language, "research_purpose": "academic legal corpus construction", "robots_txt_status": "not_present", "disclaimer": disclaimer}
+    return F.struct(url.alias("source_url"), at.alias("scraped_at"), at.alias("extracted_at"), *[F.lit(v).alias(k) for k, v in said.items()])
+
+
+def provenance_errors(record: str, required: tuple[str, ...] = REQUIRED, fields: tuple[str, ...] | None = None) -> Column:
+    """The required fields that a record lacks, or has as null or empty text; fields: those that it has, all by default."""
+    given = required if fields is None else fields
+    lacks = lambda c: F.coalesce(F.col(f"{record}.{c}").cast("string"), F.lit("")) == "" if c in given else F.lit(True)
+    return F.array_compact(F.array(*[F.when(lacks(c), F.lit(c)) for c in required]))

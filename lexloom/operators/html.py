@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dom
 from ..functions import text as T
+from ..functions.packs import LEGAL_PAGES
 from . import urls
 
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
@@ -29,19 +30,33 @@ def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
 
 
 def volume_links(found: DataFrame, site: urls.Site) -> DataFrame:
-    """The links to acts: id, title, year (the first four digits of the title), absolute url of the details page."""
+    """The links to acts: id, title, year, absolute url of the details page."""
     rows = found.withColumn("act_number", urls.number(F.col("href"), r"act-(?:details-)?(\d+)\.html")).where("act_number is not null")
     url = F.regexp_replace(urls.absolute(F.col("href"), site.base), r"act-(\d+)\.html", "act-details-$1.html")
-    return rows.withColumns({"url": url, "year": F.nullif(F.regexp_extract("title", r"(\d{4})", 1), F.lit(""))})
+    return rows.withColumns({"url": url, "year": year_of(F.col("title"))})
+
+
+def year_of(title: Column) -> Column:
+    """The first year of the 20th or 21st century in Latin digits, else in Bengali ones, else empty."""
+    latin, bengali = (F.regexp_extract(title, p, 1) for p in ("(20[0-9]{2}|19[0-9]{2})", "(২০[০-৯]{2}|১৯[০-৯]{2})"))
+    return F.when(latin != "", latin).otherwise(F.coalesce(bengali, F.lit("")))
 
 
 def catalog(rows: DataFrame, key: str, title: str = "title", order: str = "link_at") -> DataFrame:
-    """One row for each key, that with the longest title, the first of these; titles that are only a number or shorter than 5 go."""
+    """One row for each key, that with the longest title, the first of these; titles that are only a number or shorter than 5 go.
+
+    by_number() puts the rows in order.
+    """
     good = rows.where((F.length(title) >= 5) & ~F.col(title).rlike("^[0-9০-৯]+$"))
     w = Window.partitionBy(key).orderBy(F.length(title).desc(), order)
     return good.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def by_number(rows: DataFrame, key: str = "act_number") -> DataFrame:
+    """Rows by the number that the key begins with, those without one last."""
+    return rows.orderBy(F.expr(f"try_cast(regexp_extract({key}, '^[0-9]+', 0) as bigint)").asc_nulls_last(), key)
+
+
 def chronological(rows: DataFrame, year: str = "year", key: str = "act_number") -> DataFrame:
     """Years falling, those that are no number last as 0; then ids rising."""
     return rows.orderBy(F.coalesce(F.expr(f"try_cast({year} as int)"), F.lit(0)).desc(), F.expr(f"try_cast({key} as bigint)"))
@@ -51,11 +66,11 @@ def alphabetical(rows: DataFrame, title: str = "title") -> DataFrame:
     return rows.orderBy(F.collate(title, "bn"))
 
 
-def noise_free(c: Column, noise=("Skip to main content", "Print", "Share")) -> Column:
-    """Without the site's own words on lines of their own, trimmed."""
-    for w in noise:
-        c = F.regexp_replace(c, f"(?m)^{w}$", "")
-    return T.trim(F.regexp_replace(c, "(?m)^Top$", ""))
+def noise_free(c: Column, noise=LEGAL_PAGES.noise) -> Column:
+    """Without what the patterns match, in their order, then trimmed."""
+    for p in noise:
+        c = F.regexp_replace(c, p, "")
+    return T.trim(c)
 
 
 def tag_text(html: Column, tag: str) -> Column:
@@ -102,8 +117,9 @@ def extract(pages: DataFrame, selectors: list[str], fallback: list[str], exclude
                 if hit:
                     break
             if not hit:
-                body = (dom.select(root, "body") or [root])[0]
+                body = dom.first(root, "body") or root
                 hit = (dom.without(body, excluded).text().strip(), "body", "body")
+                tries.append({"selector_order": len(tries) + 1, "selector": "body", "matched": bool(hit[0]), "element_count": 1})
             out.append((*hit, tries))
         return pd.DataFrame(out, columns=["content", "method", "selector", "attempts"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampType
 
 
 def stats(acts: DataFrame, volume: str = "volume_number", size: str = "content_length", at: str | None = None) -> DataFrame:
@@ -13,8 +14,10 @@ def stats(acts: DataFrame, volume: str = "volume_number", size: str = "content_l
 
 
 def volumes(acts: DataFrame, key: str, volume: str = "volume_number") -> DataFrame:
-    """Each volume with the sorted distinct acts taken from it; a volume's list is bounded by the volume."""
-    return acts.groupBy(volume).agg(F.countDistinct(key).alias("n_acts"), F.array_sort(F.collect_set(key)).alias("extracted_acts"))
+    """A row for each volume and distinct act taken from it, with the number of such acts; no volume is gathered in one row."""
+    rows = acts.select(volume, key).distinct()
+    counts = rows.groupBy(F.col(volume).alias("__v")).agg(F.count(key).alias("n_acts"))
+    return rows.join(counts, rows[volume].eqNullSafe(counts["__v"])).select(volume, key, "n_acts")
 
 
 def coverage(refs: DataFrame, acts: DataFrame, key: str) -> DataFrame:
@@ -41,10 +44,29 @@ def usage(used: Column, quota: Column) -> dict[str, Column]:
     return {"percent": p, "level": F.when(p >= 95, "critical").when(p >= 80, "warning").otherwise("healthy"), "may_write": p < 95}
 
 
-def running_usage(rows: DataFrame, group: str | None, order: list[str], size: str, quota: int) -> DataFrame:
-    """rows with the running total of size within a group, and its usage; the point where writing would stop."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("used", F.sum(size).over(w))
+def running_usage(rows: DataFrame, group: str | None, order: list[str], size: str, quota: int, blocks: int = 256) -> DataFrame:
+    """rows with the running total of size within a group, and its usage; the point where writing would stop.
+
+    Where the first column of the order is a number or time, its quantiles cut each group into `blocks` blocks: sums of
+    blocks, sums of the blocks before, then running totals within a block, so that no group is one task.
+    """
+    by = [F.col(group)] if group else [F.lit(0)]
+    kind = rows.schema[order[0]].dataType
+    cuts = None
+    if isinstance(kind, (NumericType, TimestampType, DateType)):
+        number = F.col(order[0]).cast("timestamp").cast("double") if isinstance(kind, (TimestampType, DateType)) else F.col(order[0]).cast("double")
+        cuts = rows.agg(F.percentile_approx(number, [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0]
+    if not cuts:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        out = rows.withColumn("used", F.sum(size).over(w))
+    else:
+        cut = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))])
+        out = rows.withColumns({"__g": by[0], "__b": F.size(F.filter(cut, lambda x: x < F.coalesce(number, F.lit(float("-inf")))))})
+        sums = out.groupBy(F.col("__g").alias("__h"), F.col("__b").alias("__c")).agg(F.sum(size).alias("__s"))
+        before = F.sum("__s").over(Window.partitionBy("__h").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1))
+        sums = sums.select("__h", "__c", F.coalesce(before, F.lit(0)).alias("__before"))
+        own = F.sum(size).over(Window.partitionBy("__g", "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        out = out.join(sums, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__b") == F.col("__c"))).withColumn("used", F.col("__before") + own).drop("__g", "__b", "__h", "__c", "__before")
     return out.withColumns(usage(F.col("used"), F.lit(quota)))
 
 

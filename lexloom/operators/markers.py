@@ -20,12 +20,11 @@ def marker_positions(docs: DataFrame, markers, key: str = "doc_id", text: str =
     lines = docs.where(F.col(text).rlike(literal(markers))).select(key, F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
     lines = lines.where(F.col("line").rlike(literal(markers)))
     found = T.find_each(F.col("line"), {m: re.escape(m) for m in markers})
-    out = lines.select(key, (F.col("at") + 1).alias("line_number"), "line", F.explode(found).alias("m"))
-    cols = [F.col(key), F.col("line_number"), F.col("m.kind").alias("marker"), F.col("m.position").alias("position")]
     if width is not None:
-        start = F.greatest(F.col("m.position") - width, F.lit(0))
-        cols.append(F.substring("line", start + 1, F.col("m.position") + F.length("m.text") + width - start).alias("context"))
-    return out.select(*cols)
+        found = T.with_context(F.col("line"), found, width)
+    out = lines.select(key, (F.col("at") + 1).alias("line_number"), F.explode(found).alias("m"))
+    cols = [F.col(key), F.col("line_number"), F.col("m.kind").alias("marker"), F.col("m.position").alias("position")]
+    return out.select(*cols, *([F.col("m.context").alias("context")] if width is not None else []))
 
 
 def marker_counts(c: Column, pack: Pack = LEGAL) -> dict[str, Column]:
@@ -44,14 +43,17 @@ def content_language(c: Column, pack: Pack = LEGAL) -> Column:
 
 def language_ratios(c: Column, pack: Pack = LEGAL) -> tuple[Column, Column]:
     """Shares of native and Latin letters among both, with two decimals; 0 and 0 without any."""
-    native, latin = T.count(c, pack.native), T.count(c, pack.latin)
-    both = native + latin
-    share = lambda n: F.when(both == 0, F.lit(0.0)).otherwise(T.round2(n / both))
-    return share(native), share(latin)
+    native, latin = T.letters(c, pack.native), T.letters(c, pack.latin)
+    shares = F.transform(F.array(F.struct(native.alias("n"), latin.alias("l"))), lambda x: F.struct(_share(x["n"], x["l"]).alias("n"), _share(x["l"], x["n"]).alias("l")))[0]  # each counted once
+    return shares["n"], shares["l"]
+
+
+def _share(n: Column, rest: Column) -> Column:
+    return F.when(n + rest == 0, F.lit(0.0)).otherwise(T.round2(n / F.greatest(n + rest, F.lit(1))))
 
 
 def number_scripts(c: Column, pack: Pack = LEGAL) -> dict[str, Column]:
-    bn, en = T.count(c, pack.native_digits), T.count(c, pack.latin_digits)
+    bn, en = T.letters(c, pack.native_digits), T.letters(c, pack.latin_digits)
     scripts = F.array_compact(F.array(F.when(bn > 0, F.lit("bn_digits")), F.when(en > 0, F.lit("en_digits"))))
     return {"bn_digits": bn, "en_digits": en, "numeric_representation": scripts, "is_mixed": (bn > 0) & (en > 0)}
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +23,9 @@ RISKS = {
 def encoding_issues(docs: DataFrame, pack: Pack = LEGAL, key: str = "doc_id", text: str = "text", width: int = 20) -> DataFrame:
     """A row for each wrongly decoded character: key, rule, position, found, context."""
     patterns = {k: p for k, (p, _) in pack.encoding.items()}
-    rows = docs.where(F.col(text).rlike("|".join(patterns.values()))).select(key, F.col(text).alias("c"), F.explode(T.find_each(F.col(text), patterns)).alias("m"))
-    start = F.greatest(F.col("m.position") - width, F.lit(0))
-    return rows.select(key, F.col("m.kind").alias("rule"), F.col("m.position").alias("position"), F.col("m.text").alias("found"), F.substring("c", start + 1, F.col("m.position") + F.length("m.text") + width - start).alias("context"))
+    found = T.with_context(F.col(text), T.find_each(F.col(text), patterns), width)
+    rows = docs.where(F.col(text).rlike("|".join(patterns.values()))).select(key, F.explode(found).alias("m"))
+    return rows.select(key, F.col("m.kind").alias("rule"), F.col("m.position").alias("position"), F.col("m.text").alias("found"), F.col("m.context").alias("context"))
 
 
 def ocr_issues(docs: DataFrame, pack: Pack = LEGAL, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -34,9 +36,11 @@ def ocr_issues(docs: DataFrame, pack: Pack = LEGAL, key: str = "doc_id", text: s
 def missing_schedules(docs: DataFrame, pack: Pack = LEGAL, key: str = "doc_id", text: str = "text", least: int = 500) -> DataFrame:
     """References with fewer than `least` trimmed characters after them; one for each place and wording."""
     patterns = {str(i): p for i, p in enumerate(pack.missing_schedules)}
-    rows = docs.where(F.col(text).rlike("|".join(f"(?:{p})" for p in patterns.values()))).select(key, F.col(text).alias("c"), F.explode(T.find_each(F.col(text), patterns)).alias("m"))
-    left = F.length(T.trim(F.substr(F.col("c"), F.col("m.position") + F.length("m.text") + 1)))
-    return rows.select(key, F.col("m.text").alias("schedule_type"), F.col("m.position").alias("position"), left.alias("chars_after")).where(F.col("chars_after") < least).distinct()
+    c = F.col(text)
+    left = lambda m: F.length(T.trim(F.substr(c, m["position"] + F.length(m["text"]) + 1)))
+    found = F.transform(T.find_each(c, patterns), lambda m: F.struct(m["text"].alias("schedule_type"), m["position"].alias("position"), left(m).alias("chars_after")))
+    rows = docs.where(c.rlike("|".join(f"(?:{p})" for p in patterns.values()))).select(key, F.explode(found).alias("m"))
+    return rows.select(key, "m.*").where(F.col("chars_after") < least).distinct()
 
 
 def flags(c: Column, pack: Pack = LEGAL, least: int = 500) -> Column:
@@ -96,56 +100,68 @@ def logged(changes: DataFrame, kind: str = "transformation_type") -> DataFrame:
     return changes.withColumn("risk_level", risk(F.col(kind))).withColumn("applied", F.col("risk_level") == "non-semantic").withColumn("flagged", ~F.col("applied"))
 
 
-def repair_encoding(c: Column, pack: Pack = LEGAL, regions: Column | None = None) -> Column:
-    """Each wrong character by its replacement, outside regions; all replacements keep the length."""
-    def change(part):
-        for p, to in pack.encoding.values():
-            part = F.regexp_replace(part, p, to)
-        return part
+def _to(text: str, match: Column) -> Column:
+    return F.lit(text)
 
-    return change(c) if regions is None else T.outside_regions(c, regions, change)
 
+def repair_encoding(c: Column, pack: Pack = LEGAL, regions: Column | None = None) -> Column:
+    """Each wrong character by its replacement, outside regions; all replacements keep the length."""
+    for p, to in pack.encoding.values():
+        c = F.regexp_replace(c, p, to) if regions is None else T.replace_outside(c, p, partial(_to, to), regions)
+    return c
 
-def correct_ocr(c: Column, pack: Pack, regions: Column) -> Column:
-    """Dictionary corrections outside numeric and protected regions."""
-    def change(part):
-        for wrong, right in pack.ocr.items():
-            part = F.replace(part, F.lit(wrong), F.lit(right))
-        return part
 
-    return T.outside_regions(c, regions, change) if pack.ocr else c
+def correct_ocr(c: Column, pack: Pack, *regions: Column) -> Column:
+    """Dictionary corrections outside the regions."""
+    for wrong, right in pack.ocr.items():
+        c = T.replace_outside(c, re.escape(wrong), partial(_to, right), *regions)
+    return c
 
 
 def separate_lists(c: Column, pack: Pack = LEGAL, regions: Column | None = None) -> Column:
-    """List items after a separator on lines of their own."""
-    def change(part):
-        for p, to in pack.lists:
-            part = F.regexp_replace(part, p, to)
-        return part
+    """List items after a separator on lines of their own: the white space before them becomes a line break."""
+    for p, to in pack.lists:
+        c = F.regexp_replace(c, p, to) if regions is None else T.replace_outside(c, p, lambda m: F.concat(F.lit("\n"), T.trim(m)), regions)
+    return c
+
 
-    return change(c) if regions is None else T.outside_regions(c, regions, change)
+def _outside(c: Column, patterns: list[str], *regions: Column) -> tuple[Column, Column]:
+    """Matches in none of the regions, and those in one of them: array<struct<kind,position,text>>."""
+    found = T.find_each(c, {p: p for p in patterns})
+    return F.filter(found, lambda m: ~T.in_any(m, *regions)), F.filter(found, lambda m: T.in_any(m, *regions))
 
 
 def clean(docs: DataFrame, pack: Pack = LEGAL, text: str = "text") -> DataFrame:
-    """docs with content_corrected, cleaning_applied, and the counts of repairs, corrections and those left in protected places.
+    """docs with content_corrected, the counts of changes and of what was left alone, cleaning_flags and ocr_flagged.
 
-    Regions are found anew before each step, so that offsets never drift.
+    Numeric and protected regions are those of the text as it came; encoding repairs, OCR corrections and list breaks
+    follow one another, and each leaves matches that overlap a numeric region. OCR matches in protected regions are
+    listed in ocr_flagged (incorrect, correct, position) and not changed. Null text counts as empty.
     """
-    c = F.col(text)
-    numeric, guarded = markers.numeric_regions(c, pack), T.merge_regions(F.concat(markers.numeric_regions(F.col("__a"), pack), markers.protected_regions(F.col("__a"), pack)))
-    out = docs.withColumn("__r", numeric).withColumn("__a", repair_encoding(c, pack, F.col("__r")))
-    out = out.withColumn("__g", guarded).withColumn("__b", correct_ocr(F.col("__a"), pack, F.col("__g")))
-    out = out.withColumn("content_corrected", separate_lists(F.col("__b"), pack))
-    wrong = [p for p, _ in pack.encoding.values()]
-    ocr = [re.escape(k) for k in pack.ocr]
-    return out.withColumns({
-        "encoding_repairs": T.total(c, wrong) - T.total(F.col("__a"), wrong),
-        "encoding_skipped": T.total(F.col("__a"), wrong),
-        "ocr_corrections": (T.total(F.col("__a"), ocr) - T.total(F.col("__b"), ocr)) if ocr else F.lit(0).cast("long"),
-        "ocr_flagged": T.total(F.col("__b"), ocr) if ocr else F.lit(0).cast("long"),
-        "list_breaks": T.count(F.col("content_corrected"), "\n") - T.count(F.col("__b"), "\n"),
-        "cleaning_applied": F.col("content_corrected") != c,
-    }).drop("__a", "__b", "__r", "__g")
+    c = F.coalesce(F.col(text), F.lit(""))
+    ocr, wrong = [re.escape(k) for k in pack.ocr], [p for p, _ in pack.encoding.values()]
+    right = F.create_map(*[F.lit(x) for k, v in pack.ocr.items() for x in (re.escape(k), v)])
+    out = docs.withColumns({"__n": markers.numeric_regions(c, pack), "__p": markers.protected_regions(c, pack)})
+    n, g = F.col("__n"), F.col("__p")
+    out = out.withColumns({"__a": repair_encoding(c, pack, n), "__e": F.struct(*_outside(c, wrong, n))})
+    out = out.withColumns({"__b": correct_ocr(F.col("__a"), pack, n, g), "__o": F.struct(*_outside(F.col("__a"), ocr, n))})
+    done, flagged = (lambda k: F.filter(F.col("__o.col1"), lambda m: T.overlaps(g, m["position"], m["position"] + F.length(m["text"])) == F.lit(k)) for _ in "ab")
+    n_of = lambda x: F.size(x).cast("long")
+    out, made, left = out.withColumn("content_corrected", F.col("__b")), F.lit(0).cast("long"), F.lit(0).cast("long")
+    for i, rule in enumerate(pack.lists):
+        out = out.withColumn(f"__l{i}", F.struct(*_outside(F.col("content_corrected"), [rule[0]], n))).withColumn("content_corrected", separate_lists(F.col("content_corrected"), replace(pack, lists=(rule,)), n))
+        made, left = made + n_of(F.col(f"__l{i}.col1")), left + n_of(F.col(f"__l{i}.col2"))
+    out = out.withColumns({
+        "encoding_repairs": n_of(F.col("__e.col1")), "encoding_skipped": n_of(F.col("__e.col2")),
+        "ocr_corrections": n_of(done(False)), "ocr_skipped": n_of(F.col("__o.col2")),
+        "ocr_flagged": F.transform(flagged(True), lambda m: F.struct(m["text"].alias("incorrect"), F.try_element_at(right, m["kind"]).alias("correct"), m["position"].alias("position"))),
+        "list_breaks": made, "lists_skipped": left,
+    })
+    skipped = F.col("encoding_skipped") + F.col("ocr_skipped") + F.col("lists_skipped") > 0
+    touched = F.col("encoding_repairs") + F.col("ocr_corrections") + F.col("list_breaks") + F.size("ocr_flagged") > 0
+    names = {"cleaning_applied": touched | skipped, "numeric_regions_protected": skipped, "protected_sections_enforced": F.size("ocr_flagged") > 0}
+    out = out.withColumn("cleaning_flags", F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in names.items()])))
+    return out.withColumn("cleaning_applied", F.col("content_corrected") != c).drop("__a", "__b", "__n", "__p", "__e", "__o", *[f"__l{i}" for i in range(len(pack.lists))])
 
 
 def cleaning_summary(cleaned: DataFrame, key: str = "doc_id") -> DataFrame:

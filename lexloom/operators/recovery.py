@@ -67,11 +67,15 @@ def reconstruction_stats(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), n(F.col("state") == "pending").alias("pending"), n(F.col("state") == "completed").alias("completed"), n(F.col("discrepancy")).alias("discrepancies"), n(F.col("only_receipt")).alias("only_receipts"))
 
 
-def migration(items: DataFrame, receipts: DataFrame, key: str, content: str) -> DataFrame:
-    """items with outcome: skipped without id, with a receipt, or without content; else migrated."""
+def migration(items: DataFrame, receipts: DataFrame, key: str, content: str, hash_: str | None = None) -> DataFrame:
+    """items with outcome: skipped without id, with a receipt, or without content; else migrated.
+
+    hash_: a column with the hash that the content had; where it is given and differs, the outcome is integrity_error.
+    """
+    wrong = F.lit(False) if hash_ is None else F.coalesce(F.sha2(content, 256) != F.lower(F.regexp_replace(hash_, "^sha256:", "")), F.lit(False))
     r = receipts.select(F.col(key).alias("__k")).distinct()
     j = items.join(r, F.col(key) == F.col("__k"), "left")
-    return j.withColumn("outcome", F.when(F.col(key).isNull(), "skipped_no_id").when(F.col("__k").isNotNull(), "skipped_has_receipt").when(F.coalesce(F.length(content), F.lit(0)) == 0, "skipped_no_content").otherwise("migrated")).drop("__k")
+    return j.withColumn("outcome", F.when(F.col(key).isNull(), "skipped_no_id").when(F.col("__k").isNotNull(), "skipped_has_receipt").when(F.coalesce(F.length(content), F.lit(0)) == 0, "skipped_no_content").when(wrong, "integrity_error").otherwise("migrated")).drop("__k")
 
 
 def storage_error(message: Column, name: Column) -> Column:

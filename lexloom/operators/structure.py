@@ -24,30 +24,45 @@ def marks(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text"
 
 
 def tree(docs: DataFrame, section: str = SECTION, subsection: str = SUBSECTION, clause: str = CLAUSE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document with sections: the sections with their subsections and clauses, and totals."""
-    s = sections(docs, section, key, text)
-    out = s
-    for name, pattern in (("subsections", subsection), ("clauses", clause)):
-        m = marks(docs, pattern, key, text)
-        inside = s.join(m, [key]).where("content_start <= marker_offset and marker_offset < content_end")
-        lists = inside.groupBy(key, "section_at").agg(F.array_sort(F.collect_list(F.struct("marker_offset", "marker"))).alias(name))
-        out = out.join(lists, [key, "section_at"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<marker_offset:int,marker:string>>")))
+    """A row for each document with sections: the sections with their subsections and clauses, and totals.
+
+    All marks of a document are put in order of their offset; a mark belongs to the last section before it.
+    """
+    c = F.col(text)
+    kinds = T.find_each(c, {"0": section, "1": subsection, "2": clause})
+    rows = docs.where(c.rlike(section)).select(key, F.length(c).alias("size"), F.explode(kinds).alias("m")).select(key, "size", F.col("m.kind").alias("kind"), F.col("m.position").alias("marker_offset"), F.col("m.text").alias("marker"))
+    w = Window.partitionBy(key).orderBy("marker_offset", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("section_at", F.sum(F.when(F.col("kind") == "0", 1).otherwise(0)).over(w).cast("int") - 1).where("section_at >= 0")
+    lists = [F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("marker_offset", "marker")))).alias(name) for k, name in (("1", "subsections"), ("2", "clauses"))]
+    is_section = F.col("kind") == "0"
+    each = rows.groupBy(key, "section_at").agg(F.max("size").alias("size"), F.max(F.when(is_section, F.col("marker"))).alias("section_number"), F.max(F.when(is_section, F.col("marker_offset"))).alias("content_start"), *lists)
+    each = each.withColumn("content_end", F.coalesce(F.lead("content_start").over(Window.partitionBy(key).orderBy("section_at")), "size"))
     item = F.struct("section_at", "section_number", "content_start", "content_end", "subsections", "clauses")
-    return out.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("sections"), F.count("*").alias("total_sections"), F.sum(F.size("subsections")).alias("total_subsections"), F.sum(F.size("clauses")).alias("total_clauses"))
+    return each.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("sections"), F.count("*").alias("total_sections"), F.sum(F.size("subsections")).alias("total_subsections"), F.sum(F.size("clauses")).alias("total_clauses"))
 
 
 def anchored(refs: DataFrame, spans: DataFrame, points: DataFrame, key: str = "doc_id", at: str = "position") -> DataFrame:
-    """Each reference with the section that it lies in, and the last mark before it in that section.
+    """Each reference with section_number, the section that it lies in, and marker, the last mark before it in that section.
 
-    A range join within documents and an as-of join as one grouped maximum; both are keyed by document.
+    Sections don't overlap. Starts of sections, marks and references of a document are put in one order, in which a
+    reference looks back to the last of each; nothing is paired.
     """
-    keys = refs.columns
-    inside = refs.join(spans, [key], "left").withColumn("in", (F.col("content_start") <= F.col(at)) & (F.col(at) < F.col("content_end")))
-    first = inside.groupBy(*keys).agg(F.min_by(F.struct("section_number", "content_start", "content_end"), F.when(F.col("in"), F.col("section_at"))).alias("s"))
-    first = first.select(*keys, F.col("s.section_number").alias("section_number"), F.col("s.content_start").alias("__from"), F.col("s.content_end").alias("__to"))
-    near = first.join(points.select(key, "marker", "marker_offset"), [key], "left")
-    ok = (F.col("marker_offset") <= F.col(at)) & (F.col("marker_offset") >= F.col("__from")) & (F.col("marker_offset") < F.col("__to"))
-    return near.groupBy(*keys, "section_number").agg(F.max_by("marker", F.when(ok, F.col("marker_offset"))).alias("marker"))
+    none = F.lit(None)
+    section = F.struct("section_number", "content_start", "content_end")
+    ref = F.struct(*refs.columns)
+    marked = F.struct("marker", "marker_offset")
+    kinds = {"__s": section, "__m": marked, "__r": ref}
+    types = {"__s": spans.select(section.alias("x")).schema["x"].dataType, "__m": points.select(marked.alias("x")).schema["x"].dataType, "__r": refs.select(ref.alias("x")).schema["x"].dataType}
+
+    def part(df, name, offset, rank):
+        return df.select(F.col(key).alias("__k"), F.col(offset).cast("long").alias("__at"), F.lit(rank).alias("__rank"), *[(kinds[k] if k == name else none.cast(types[k])).alias(k) for k in kinds])
+
+    rows = part(spans, "__s", "content_start", 0).unionByName(part(points, "__m", "marker_offset", 1)).unionByName(part(refs, "__r", at, 2))
+    w = Window.partitionBy("__k").orderBy("__at", "__rank").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"__s": F.last("__s", True).over(w), "__m": F.last("__m", True).over(w)}).where("__r is not null")
+    inside = F.col("__at") < F.col("__s.content_end")
+    rows = rows.withColumn("__s", F.when(inside, F.col("__s")))
+    return rows.select("__r.*", F.col("__s.section_number").alias("section_number"), F.when(F.col("__m.marker_offset") >= F.col("__s.content_start"), F.col("__m.marker")).alias("marker"))
 
 
 def merged_references(linked: DataFrame, matched: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -66,4 +81,4 @@ def amendments_in_sections(sections_: DataFrame, amendments: DataFrame, key: str
 def heading(title: Column, pattern: str = SECTION) -> tuple[Column, Column]:
     """Number and the text before it, from a section's title."""
     number = F.nullif(F.regexp_extract(title, f"({pattern})", 1), F.lit(""))
-    return number, T.trim(F.when(number.isNull(), title).otherwise(F.substring_index(title, number, 1)))
+    return number, T.trim(F.when(number.isNull(), title).otherwise(F.call_function("substring_index", title, number, F.lit(1))))

@@ -5,12 +5,12 @@ The tables hold no statutes, so the text operators take the generic pack here; t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.packs import GENERIC
 from ..operators import citations, export, html, manifest, markers, quality, queueing, recovery, structure, sync, urls
+from .registry import ENC, QUERIES, SQL, all_found, found, merged_sql, n_of, q, query, table
 
 SITE = urls.Site(
     hosts=("example.com", "example.org"),
@@ -21,56 +21,6 @@ SITE = urls.Site(
     document=r"/\d+",
 )
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-# ---- SQL parts
-
-
-def q(p: str) -> str:
-    return p.replace("'", "''")
-
-
-def found(col: str, p: str, kind: str) -> str:
-    """SQL for the list of matches of p: kind, position, text."""
-    m, s = f"regexp_extract_all({col}, '{q(p)}')", f"string_split_regex({col}, '{q(p)}')"
-    size = lambda x: f"coalesce(list_sum(list_transform({x}, lambda z: length(z))), 0)"
-    return f"list_transform(range(1, len({m}) + 1), lambda i: {{'kind': '{q(kind)}', 'position': CAST({size(f'({s})[1:i]')} + {size(f'({m})[1:i - 1]')} AS INTEGER), 'text': ({m})[i]}})"
-
-
-def all_found(col: str, patterns: dict[str, str]) -> str:
-    return "list_concat(" + ", ".join(found(col, p, k) for k, p in patterns.items()) + ")" if len(patterns) > 1 else found(col, *reversed(next(iter(patterns.items()))))
-
-
-def n_of(col: str, p: str) -> str:
-    return f"CAST(len(regexp_extract_all({col}, '{q(p)}')) AS BIGINT)"
-
-
-def merged_sql(packs: dict, before: int = 0, after: int = 0) -> str:
-    pats = [(k, p) for k, ps in packs.items() for p in ps]
-    parts = " UNION ALL ".join(f"SELECT doc_id, greatest(m.position - {before}, 0) AS s, least(m.position + length(m.text) + {after}, length(text)) AS e, {i} AS o, '{k}' AS k FROM (SELECT doc_id, text, unnest({found('text', p, k)}) AS m FROM documents)" for i, (k, p) in enumerate(pats))
-    return f"""WITH r AS ({parts}), w AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, o, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM r),
-      g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, o, e) AS g FROM w)
-      SELECT doc_id, CAST(min(s) AS INTEGER) AS region_start, CAST(max(e) AS INTEGER) AS region_end, string_agg(DISTINCT k, ',' ORDER BY k) AS types FROM g GROUP BY doc_id, g"""
-
-
-ENC = "[ìíîïæ]"
-
 # ---- layers, hashes, language
 
 
@@ -150,7 +100,10 @@ def citation_summary(spark, sf):
     return citations.detect(table(spark, sf, "documents"), GENERIC).groupBy("pattern_type", "negation_present").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CITED}, o AS (SELECT doc_id, position, citation_text, pattern_type, CASE WHEN negation_word IS NOT NULL THEN 'mention' WHEN contains(around, 'amended') THEN 'amendment' WHEN contains(around, 'under') THEN 'dependency' WHEN contains(around, 'added') THEN 'incorporation' ELSE 'mention' END AS relation, CASE WHEN citation_year <> '' AND citation_serial <> '' THEN 'high' ELSE 'low' END AS confidence,
+  row_number() OVER (PARTITION BY doc_id ORDER BY position, length(citation_text) DESC) AS n FROM z),
+k AS (SELECT *, position + length(citation_text) AS e, TRUE AS kept FROM o WHERE n = 1 UNION ALL SELECT o.*, CASE WHEN o.position < k.e THEN k.e ELSE o.position + length(o.citation_text) END, o.position >= k.e FROM k JOIN o ON o.doc_id = k.doc_id AND o.n = k.n + 1)
+SELECT doc_id, position, citation_text, pattern_type, relation, confidence FROM k WHERE kept""")
 def citation_dedup(spark, sf):
     kept = citations.deduplicated(citations.detect(table(spark, sf, "documents"), GENERIC))
     return kept.select("doc_id", "position", "citation_text", "pattern_type", "relation", "confidence")
@@ -193,17 +146,58 @@ def encoding_repair(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(quality.repair_encoding(F.col("text"), GENERIC), 256).alias("repaired_sha256"))
 
 
-@query()
+def _regions(text: str = "text") -> str:
+    """SQL for one list of the numeric regions of each document of d."""
+    return f"SELECT doc_id, list({{'s': region_start, 'e': region_end}}) AS r FROM ({merged_sql(GENERIC.numeric)}) GROUP BY doc_id"
+
+
+def _swapped(text: str, p: str, to: str, *regions: str) -> str:
+    """SQL for a text with the matches of p that overlap no region of the lists replaced by `to`, an expression of m."""
+    inside = " OR ".join(f"len(list_filter(coalesce({r}, [{{'s': -1, 'e': -1}}]), lambda reg: reg.s < m.position + length(m.text) AND m.position < reg.e)) > 0" for r in regions)
+    flagged = f"list_transform({found(text, p, 'x')}, lambda m: CASE WHEN {inside} THEN m.text ELSE {to} END)"
+    return f"array_to_string(list_transform(list_zip(string_split_regex({text}, '{q(p)}'), {flagged}), lambda z: z[1] || coalesce(z[2], '')), '')"
+
+
+def _n(text: str, p: str, test: str) -> str:
+    return f"CAST(len(list_filter({found(text, p, 'x')}, lambda m: {test})) AS BIGINT)"
+
+
+_IN = lambda r: f"(len(list_filter(coalesce({r}, [{{'s': -1, 'e': -1}}]), lambda reg: reg.s < m.position + length(m.text) AND m.position < reg.e)) > 0)"
+_ENC_TO = "CASE WHEN m.text = 'æ' THEN chr(34) ELSE chr(10) END"
+_CLEAN = f"""n AS ({_regions()}), p AS (SELECT doc_id, list({{'s': region_start, 'e': region_end}}) AS g FROM ({merged_sql(GENERIC.protected, 50, 200)}) GROUP BY doc_id),
+a AS (SELECT d.doc_id, text, n.r AS r, p.g AS pg, {_swapped('text', ENC, _ENC_TO, 'n.r')} AS a FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN p USING (doc_id)),
+b AS (SELECT *, {_swapped('a', 'thth', "'th'", 'r', 'pg')} AS b FROM a)"""
+_LIST = r"[;,.] +\(\d\)"
+
+
+@query(f"WITH {_CLEAN} SELECT doc_id, sha256(a) AS repaired_sha256 FROM a")
 def repair_outside_regions(spark, sf):
     c = F.col("text")
     return table(spark, sf, "documents").select("doc_id", F.sha2(quality.repair_encoding(c, GENERIC, markers.numeric_regions(c, GENERIC)), 256).alias("repaired_sha256"))
 
 
-@query()
+_BREAKS = r"""list_transform(list_filter(range(1, length(b) + 1), lambda i: regexp_matches(substr(b, i, 1), '[;,.]') AND regexp_matches(substr(b, i + 1, 60), '^ +\(\d\)')), lambda i: {'position': i, 'text': regexp_extract(substr(b, i + 1, 60), '^ +\(\d\)')})"""
+_CLEANED = f"""{_CLEAN}, l AS (SELECT *, {_BREAKS} AS ls FROM b),
+x AS (SELECT doc_id, {_n('text', ENC, 'NOT ' + _IN('r'))} AS encoding_repairs, {_n('text', ENC, _IN('r'))} AS encoding_skipped, {_n('a', 'thth', f"NOT {_IN('r')} AND NOT {_IN('pg')}")} AS ocr_corrections, {_n('a', 'thth', _IN('r'))} AS ocr_skipped, {_n('a', 'thth', f"NOT {_IN('r')} AND {_IN('pg')}")} AS n_flagged,
+  CAST(len(list_filter(ls, lambda m: NOT {_IN('r')})) AS BIGINT) AS list_breaks, CAST(len(list_filter(ls, lambda m: {_IN('r')})) AS BIGINT) AS lists_skipped FROM l)"""
+
+
+@query(f"""WITH {_CLEANED} SELECT k AS kind, CAST(sum(v) AS BIGINT) AS n_changes, count(*) FILTER (v > 0) AS n_documents FROM (SELECT 'encoding_repairs' AS k, encoding_repairs AS v FROM x UNION ALL SELECT 'ocr_corrections', ocr_corrections FROM x UNION ALL SELECT 'list_breaks', list_breaks FROM x) GROUP BY k""")
 def cleaning_summary(spark, sf):
     return quality.cleaning_summary(quality.clean(table(spark, sf, "documents"), GENERIC))
 
 
+@query(f"""WITH {_CLEANED} SELECT doc_id, encoding_repairs, encoding_skipped, ocr_corrections, ocr_skipped, n_flagged, list_breaks, lists_skipped, concat_ws(',', CASE WHEN encoding_repairs + encoding_skipped + ocr_corrections + ocr_skipped + n_flagged + list_breaks + lists_skipped > 0 THEN 'cleaning_applied' END, CASE WHEN encoding_skipped + ocr_skipped + lists_skipped > 0 THEN 'numeric_regions_protected' END, CASE WHEN n_flagged > 0 THEN 'protected_sections_enforced' END) AS flags FROM x""")
+def cleaning_protection(spark, sf):
+    c = quality.clean(table(spark, sf, "documents"), GENERIC)
+    return c.select("doc_id", "encoding_repairs", "encoding_skipped", "ocr_corrections", "ocr_skipped", F.size("ocr_flagged").cast("long").alias("n_flagged"), "list_breaks", "lists_skipped", F.array_join("cleaning_flags", ",").alias("flags"))
+
+
+@query(f"""SELECT doc_id, m.text AS incorrect, m.position AS position FROM (SELECT doc_id, unnest({found('text', 'thth', 'thth')}) AS m FROM documents)""")
+def ocr_issues(spark, sf):
+    return quality.ocr_issues(table(spark, sf, "documents"), GENERIC)
+
+
 @query(r"SELECT doc_id, sha256(regexp_replace(text, '([;,.]) +(\(\d\))', '\1' || chr(10) || '\2', 'g')) AS formatted_sha256 FROM documents")
 def list_formatting(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(quality.separate_lists(F.col("text"), GENERIC), 256).alias("formatted_sha256"))
@@ -253,7 +247,10 @@ def preamble_detect(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.coalesce(p["position"], F.lit(-1)).alias("licensed_at"), markers.enactment(F.col("text"), GENERIC)["has"].alias("has_enactment"), F.size(both["matches"]).cast("long").alias("n_marks"))
 
 
-@query()
+_APART = "list_reduce(list_transform({all}, lambda m: [m]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: abs(y.position - x[1].position) < 5)) > 0 THEN acc ELSE list_concat(acc, x) END)"
+
+
+@query(f"SELECT doc_id, m.position AS position, m.text AS found FROM (SELECT doc_id, unnest({_APART.replace('{all}', all_found('text', _MISSING))}) AS m FROM documents WHERE regexp_matches(text, '[Ll]icense|[Vv]ersion'))")
 def schedule_references(spark, sf):
     d = table(spark, sf, "documents").where(F.col("text").rlike("[Ll]icense|[Vv]ersion"))
     return d.select("doc_id", F.explode(markers.schedule_references(F.col("text"), GENERIC)).alias("m")).select("doc_id", F.col("m.position").alias("position"), F.col("m.text").alias("found"))
@@ -285,7 +282,12 @@ def reference_scope(spark, sf):
     return structure.anchored(refs, structure.sections(d, "[0-9]+"), structure.marks(d, "[%*]+"))
 
 
-@query()
+_MARKS = lambda p: f"SELECT doc_id, m.position AS o FROM (SELECT doc_id, unnest({found('text', p, 'm')}) AS m FROM documents)"
+
+
+@query(f"""WITH s AS ({_SPANS}), a AS ({_MARKS(r'[(]\d+[)]')}), c AS ({_MARKS('[*]+')}),
+na AS (SELECT s.doc_id, count(*) AS n FROM s JOIN a ON s.doc_id = a.doc_id AND a.o >= content_start AND a.o < content_end GROUP BY s.doc_id), nc AS (SELECT s.doc_id, count(*) AS n FROM s JOIN c ON s.doc_id = c.doc_id AND c.o >= content_start AND c.o < content_end GROUP BY s.doc_id)
+SELECT doc_id, t.n AS total_sections, CAST(coalesce(na.n, 0) AS BIGINT) AS total_subsections, CAST(coalesce(nc.n, 0) AS BIGINT) AS total_clauses FROM (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id) t LEFT JOIN na USING (doc_id) LEFT JOIN nc USING (doc_id)""")
 def structure_tree(spark, sf):
     return structure.tree(table(spark, sf, "documents"), "[0-9]+", r"\(\d+\)", r"\*+").select("doc_id", "total_sections", "total_subsections", "total_clauses")
 
@@ -344,13 +346,35 @@ def title_extract(spark, sf):
     return table(spark, sf, "pages").select("page_id", html.tag_text(h, "title").alias("page_title"), html.tag_text(h, "h1").alias("heading"))
 
 
-@query()
+def _text_sql(html_: str) -> str:
+    """SQL for the text of simple markup: tags out, the entities of the pages decoded, trimmed."""
+    out = rf"regexp_replace({html_}, '<[^>]*>', '', 'g')"
+    for name, char in {**html.ENTITIES, "&copy;": "©", "&middot;": "·"}.items():
+        out = f"replace({out}, '{name}', '{q(char)}')"
+    return rf"regexp_replace({out}, '^\s+|\s+$', '', 'g')"
+
+
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1)"
+
+
+@query(f"SELECT page_id, 'fallback' AS method, 'article' AS selector, CAST(length({_text_sql(_ARTICLE)}) AS INTEGER) AS n_chars, 3 AS n_attempts, length({_text_sql(_ARTICLE)}) > 0 AS extraction_success FROM pages")
 def selector_chain(spark, sf):
     rows = html.extract(table(spark, sf, "pages"), [".act-content", "#content"], ["article", "main"], ["script", "style", "nav", "footer"])
     return rows.select("page_id", "method", "selector", F.length("content").alias("n_chars"), F.size("attempts").alias("n_attempts"), "extraction_success")
 
 
-@query()
+def _body_sql() -> str:
+    out = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+    for tag in ("script", "style", "nav", "header", "footer", "aside", "form", "noscript"):
+        out = rf"regexp_replace({out}, '(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}>', '', 'g')"
+    out = rf"regexp_replace(regexp_replace({out}, '(?is)<title[^>]*>.*?</title>', '', 'g'), '(?i)</(?:p|div|h[1-6]|li|tr)>|<br\s*/?>', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?s)<[^>]*>', '', 'g')"
+    for name, char in html.ENTITIES.items():
+        out = f"replace({out}, '{name}', '{q(char)}')"
+    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_body_sql()} AS body FROM pages")
 def body_fallback(spark, sf):
     return table(spark, sf, "pages").select("page_id", html.body_text(F.col("html")).alias("body"))
 
@@ -480,9 +504,9 @@ def status_reset(spark, sf):
     return recovery.reset_processing(o).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'click') WHERE n = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')")
+@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'click') WHERE n = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND event_id % 50 = 0)")
 def wal_incomplete(spark, sf):
-    e = table(spark, sf, "events").withColumn("entry_type", F.when(F.col("event_type") == "click", "intent").when(F.col("event_type") == "signup", "complete"))
+    e = table(spark, sf, "events").withColumn("entry_type", F.when(F.col("event_type") == "click", "intent").when((F.col("event_type") == "signup") & (F.col("event_id") % 50 == 0), "complete"))
     return recovery.incomplete(e, "user_id", "entry_type", "ts", "event_id").select("user_id", "event_id", "ts")
 
 
@@ -518,10 +542,9 @@ def manifest_stats(spark, sf):
     return manifest.stats(table(spark, sf, "documents"), "source", "n_chars")
 
 
-@query("SELECT source, count(DISTINCT doc_id) AS n_acts, string_agg(doc_id, ',' ORDER BY doc_id) AS acts FROM (SELECT DISTINCT source, doc_id FROM documents) GROUP BY source")
+@query("SELECT source, doc_id, count(*) OVER (PARTITION BY source) AS n_acts FROM (SELECT DISTINCT source, doc_id FROM documents)")
 def volume_catalog(spark, sf):
-    v = manifest.volumes(table(spark, sf, "documents"), "doc_id", "source")
-    return v.select("source", "n_acts", F.array_join(F.transform("extracted_acts", lambda x: x.cast("string")), ",").alias("acts"))
+    return manifest.volumes(table(spark, sf, "documents"), "doc_id", "source")
 
 
 @query("WITH r AS (SELECT DISTINCT l_partkey AS k FROM lineitem), p AS (SELECT DISTINCT p_partkey AS k FROM part WHERE p_size < 25) SELECT count(*) AS referenced, count(p.k) AS in_corpus, count(*) - count(p.k) AS missing, CAST(floor(100 * count(p.k) / count(*) + 0.5) AS BIGINT) AS coverage_percent FROM r LEFT JOIN p USING (k)")
@@ -584,15 +607,15 @@ def json_validity(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.when(export.json_valid(F.col("props")), 1)).alias("n_valid"))
 
 
-@query(r"SELECT event_id, 'act_' || event_id || '_' || regexp_replace(event_type || '/' || user_id, '[<>:""/\\|?*\x00-\x1f]', '_', 'g') || '_' || strftime(ts, '%Y%m%d_%H%M%S') || '.json' AS file_name FROM events".replace('""', '"'))
+@query(r"SELECT event_id, 'corpus_act_' || coalesce(nullif(trim(regexp_replace(CASE WHEN user_id % 7 = 0 THEN '?:*' ELSE ' ' || event_type || '/' || user_id || ' ' END, '[<>:\"/\\|?*\x00-\x1f]', '', 'g')), ''), 'unknown') || '_' || strftime(ts, '%Y%m%d_%H%M%S') || '.json' AS file_name FROM events".replace('\\"', '"'))
 def file_names(spark, sf):
-    return table(spark, sf, "events").select("event_id", export.file_name(F.col("event_id"), F.concat_ws("/", "event_type", "user_id"), F.col("ts")).alias("file_name"))
+    key = F.when(F.col("user_id") % 7 == 0, "?:*").otherwise(F.concat(F.lit(" "), "event_type", F.lit("/"), "user_id", F.lit(" ")))
+    return table(spark, sf, "events").select("event_id", export.file_name("act", key, F.col("ts")).alias("file_name"))
 
 
-@query("SELECT source AS volume, count(*) AS total_acts, CAST(max(doc_id) AS VARCHAR) AS last_act FROM documents GROUP BY source")
+@query("SELECT source AS volume, count(*) OVER (PARTITION BY source) AS total_acts, doc_id AS act_number, lang AS title FROM documents")
 def volume_export(spark, sf):
-    v = export.volume_catalog(table(spark, sf, "documents"), "source", "doc_id", "lang")
-    return v.select(F.col("source").alias("volume"), "total_acts", F.element_at("acts", -1)["act_number"].cast("string").alias("last_act"))
+    return export.volume_catalog(table(spark, sf, "documents"), "source", "doc_id", "lang").withColumnRenamed("source", "volume")
 
 
 @query("SELECT n_name, r_name, count(*) AS n_orders, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
@@ -600,3 +623,6 @@ def relational_join(spark, sf):
     t = lambda n: table(spark, sf, n)
     j = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return j.groupBy("n_name", "r_name").agg(F.count("*").alias("n_orders"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+
+
+from . import pages, records  # noqa: E402, F401  these add their queries

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.errors import AnalysisException
 
@@ -20,8 +19,9 @@ def acts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ACT + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
-def failed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FAILED).option("multiLine", True).json(path)
+def failed(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One failure in each file, or, without multi_line, on each line."""
+    return spark.read.schema(FAILED).option("multiLine", multi_line).json(path)
 
 
 def log(spark: SparkSession, path: str, schema: str = AUDIT) -> DataFrame:
@@ -30,7 +30,7 @@ def log(spark: SparkSession, path: str, schema: str = AUDIT) -> DataFrame:
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+    rows.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -64,10 +64,11 @@ def tables(spark: SparkSession, folder: str, names: list[str]) -> None:
         spark.read.parquet(f"{folder}/{n}.parquet").createOrReplaceTempView(n)
 
 
-def write_pairs(rows: DataFrame, path: str) -> None:
-    """(name, json) rows as lines of a JSON log, for exports with a file name."""
-    rows.select("name", "json").write.mode("overwrite").json(path)
+def write_failed(failures: DataFrame, path: str) -> None:
+    """Failed acts as JSON, their nulls kept, in files of their own."""
+    failures.write.option("ignoreNullFields", False).mode("overwrite").json(path)
 
 
-def count_rows(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("n"))
+def write_record(record: DataFrame, path: str) -> None:
+    """A record of one row, such as a manifest, that read_or_empty() reads; the old one is replaced as a whole."""
+    record.coalesce(1).write.mode("overwrite").json(path)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import manifest, queueing, recovery
+from ..functions import text as T
+from ..operators import manifest, queueing, recovery, sync
 
 
 def outcomes(pages: DataFrame, content: str, threshold: int = 100) -> DataFrame:
@@ -20,18 +21,25 @@ def outcomes(pages: DataFrame, content: str, threshold: int = 100) -> DataFrame:
 
 
 def capture(spark: SparkSession, source: str, schema, key: str, content: str, out: str, checkpoint: str, files: int = 100) -> StreamingQuery:
-    """Takes new Parquet files as they come: valid pages and receipts to out/acts and out/receipts, the rest to out/failed."""
+    """Takes new Parquet files as they come: valid pages to out/acts, the rest to out/failed.
+
+    What was written is read back and its hash compared with that of the batch: out/receipts has those that agree,
+    with the time of their capture, out/integrity_errors the others.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
 
     def write(batch: DataFrame, n: int) -> None:
-        rows = outcomes(batch, content).persist()
-        good = rows.where("valid").drop("reason", "failure_class", "valid")
-        good.write.mode("overwrite").parquet(f"{out}/acts/batch={n}")
-        rows.where("not valid").write.mode("overwrite").parquet(f"{out}/failed/batch={n}")
-        back = batch.sparkSession.read.parquet(f"{out}/acts/batch={n}")
-        r = recovery.receipt(back, key, content, F.lit("1970-01-01").cast("timestamp"))
-        r.write.mode("overwrite").parquet(f"{out}/receipts/batch={n}")
-        rows.unpersist()
+        session, folder = batch.sparkSession, lambda kind: f"{out}/{kind}/batch={n}"
+        outcomes(batch, content).withColumns({"wanted_sha256": T.content_hash(F.col(content)), "captured_at": F.current_timestamp()}).write.mode("overwrite").parquet(folder("outcomes"))
+        rows = session.read.parquet(folder("outcomes"))  # the batch is derived once
+        rows.where("valid").drop("reason", "failure_class", "valid").write.mode("overwrite").parquet(folder("acts"))
+        rows.where("not valid").drop("wanted_sha256").write.mode("overwrite").parquet(folder("failed"))
+        back = session.read.parquet(folder("acts"))
+        wanted = rows.where("valid").select(F.col(key).alias("act_id"), F.col("wanted_sha256").alias("content_raw_sha256"))
+        checked = recovery.write_outcomes(back, wanted, key, content)
+        good = checked.where("outcome = 'persisted'")
+        recovery.receipt(good, key, content, F.col("captured_at")).write.mode("overwrite").parquet(folder("receipts"))
+        checked.where("outcome <> 'persisted'").select(key, "outcome").write.mode("overwrite").parquet(folder("integrity_errors"))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -46,5 +54,34 @@ def sessions(audit: DataFrame, gap: str = "30 minutes", delay: str = "1 hour", a
     return audit.withWatermark(at, delay).groupBy(F.session_window(at, gap), by).agg(F.count("*").alias("n"))
 
 
-def usage_level(used, quota):
-    return manifest.usage(used, quota)["level"]
+def processed(pages: DataFrame, content: str, size: str, quota: int, order: list[str], attempts: str = "attempts", most: int = 3, threshold: int = 100) -> DataFrame:
+    """The state of each page after one pass over the queue: completed, retry, failed, or waiting once the quota is used up.
+
+    Pages are taken in order; a page that would be written after 95 % of the quota is in use waits. Failures that may
+    pass are tried again until `most` attempts, with the delay before the next one.
+    """
+    rows = outcomes(pages, content, threshold)
+    used = manifest.running_usage(rows.withColumn("__size", F.when(F.col("valid"), F.col(size)).otherwise(0)), None, order, "__size", quota)
+    again = (F.col("failure_class") == "transient") & (F.col(attempts) < most)
+    state = F.when(~F.col("may_write"), "waiting").when(F.col("valid"), "completed").when(again, "retry").otherwise("failed")
+    return used.withColumn("state", state).withColumn("next_retry_delay_ms", F.when(F.col("state") == "retry", queueing.retry_delay(F.col(attempts)))).drop("__size")
+
+
+def mirrored(spark: SparkSession, source: str, schema, out: str, checkpoint: str, key: str = "act_number", hash_: str = "content_hash", at: str = "captured_at", files: int = 100, every: str | None = None) -> StreamingQuery:
+    """Keeps out/current, the latest of each key, in step with new files, and out/log, what each batch changed.
+
+    Only rows that are new or whose hash changed are logged. Each batch writes a new folder out/current/v=n from the
+    one before, so a batch that is replayed gives the same. every: a trigger interval; without it what is there now.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+
+    def flush(batch: DataFrame, n: int) -> None:
+        session = batch.sparkSession
+        new = sync.latest(batch, key, F.desc(at))
+        old = session.read.schema(batch.schema).parquet(f"{out}/current/v={n - 1}") if n else batch.limit(0)
+        found = sync.changed(new, old, key, hash_).where("needed")
+        found.select(key, "sync_reason", hash_, at).write.mode("overwrite").parquet(f"{out}/log/batch={n}")
+        sync.upsert(old, new, key, at).write.mode("overwrite").parquet(f"{out}/current/v={n}")
+
+    writer = stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

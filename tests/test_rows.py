@@ -1,9 +1,10 @@
 """Queue, duplicates, sync, recovery, manifest, pages, exports and streams on small tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import dom
-from lexloom.operators import export, html, manifest, queueing, recovery, sync, urls
+from lexloom.operators import acts, export, html, manifest, queueing, recovery, sync, urls
 from lexloom.sources import files
 from lexloom.streaming import capture
 
@@ -138,8 +139,13 @@ def test_exports(spark, tmp_path):
     assert [x.valid for x in bad] == [True, False] and bad[1].errors == ["missing title"]
     j = spark.range(1).select(export.json_valid(F.lit('{"a": 1}')), export.json_valid(F.lit("[1]")), export.json_valid(F.lit("{")), export.json_valid(F.lit(None).cast("string"))).first()
     assert list(j) == [True, False, False, False]
-    n = spark.range(1).select(export.file_name(F.lit(7), F.lit('a/b:"c'), F.lit("2024-01-02 03:04:05").cast("timestamp")).alias("n")).first().n
-    assert n == "act_7_a_b__c_20240102_030405.json"
+    at = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    n = spark.range(1).select(export.file_name("act", F.lit(' a/b:"c '), at), export.file_name("volume", F.lit("?*"), at), export.file_name("act", F.lit(None).cast("string"), at)).first()
+    assert list(n) == ["corpus_act_abc_20240102_030405.json", "corpus_volume_unknown_20240102_030405.json", "corpus_act_unknown_20240102_030405.json"]
+    cleaned = export.act(spark.createDataFrame([("1", "t", "say æhiæ", "u", "v"), ("2", "t", None, "u", "")], "act_number string, title string, content_raw string, url string, volume_number string"), clean=True)
+    one, two = cleaned.orderBy("identifiers.internal_id").collect()
+    assert one.content_corrected == 'say "hi"' and one.content_raw == "say æhiæ" and "cleaning_applied" in one.data_quality.flags
+    assert (two.content_raw, two.content_raw_sha256, two.volume_number, two.lexical_references["count"]) == ("", None, "unknown", 0)
     docs = {x.name: x.content for x in export.documents(manifest.stats(spark.createDataFrame([("v", 3)], "volume_number string, content_length int")), "Laws").collect()}
     assert "Acts: 1" in docs["README.md"] and "1 acts in 1 volumes" in docs["CITATION.cff"]
 
@@ -162,3 +168,106 @@ def test_stream(spark, tmp_path):
     assert {r.id for r in spark.read.parquet(str(tmp_path / "out/acts")).collect()} == {1, 4}
     assert {r.reason for r in spark.read.parquet(str(tmp_path / "out/failed")).collect()} == {"content_below_threshold", "container_not_found"}
     assert spark.read.parquet(str(tmp_path / "out/receipts")).count() == 2
+
+
+LAW = """<html><head><title>The Sea Act - bdlaws</title></head><body><nav>menu ধারা</nav><div class="boxed-layout">
+<div class="bg-act-section"> Act No. V </div><div class="act-role-style">An Act for the sea</div><p class="lineremove">যেহেতু sea</p>
+<div class="lineremoves"><div class="col-sm-3 txt-head">Short title ১৷</div><div class="col-sm-9 txt-details">(১) See <a href="/act-details-12.html">Act V of 1898</a> (ক) and Act X of 1900<table><tr><td colspan=2>a</td></tr><tr><td>b</td><td>c</td></tr></table></div></div>
+<div class="lineremoves"><div class="col-sm-3 txt-head">No number</div><div class="col-sm-9 txt-details">Top
+প্রিন্ট ভিউ
+rest</div></div></div><footer>ধারা</footer></body></html>"""
+
+
+def test_act_content(spark):
+    """Section rows, else selectors, fallback, head matter and the body, for which a legal signal is needed."""
+    pages = [LAW, "<body><article>in the article<div class=schedule>List</div></article></body>", "<body><div class=act-meta>only meta</div></body>", "<body><nav>ধারা</nav>plain</body>", "<body><p>ধারা ১</p><script>x</script></body>", "<h1>Title</h1><div id=lawContent>Copyright © 2020 text</div>", "", None]
+    r = acts.act_content(spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")).orderBy("page_id").collect()
+    assert [(x.method, x.selector, x.extraction_success) for x in r] == [("structured", ".boxed-layout", True), ("fallback", "article", True), ("meta", ".act-meta", True), ("body_fallback", "body", False), ("body_fallback", "body", True), ("primary", "#lawContent", True), (None, None, False), (None, None, False)]
+    law = r[0]
+    assert (law.title, law.metadata) == ("The Sea Act", "Act No. V") and law.content.startswith("Act No. V\n\nAn Act for the sea\n\nযেহেতু sea\n\nShort title ১৷\n(১) See Act V of 1898")
+    assert [(s.dom_index, s.section_title, s.has_table) for s in law.sections] == [(0, "Short title ১৷", True), (1, "No number", False)] and law.sections[1].section_body == "rest"
+    assert [(t.section_index, t.data, t.has_merged_cells) for t in law.tables] == [(0, [["a", ""], ["b", "c"]], True)]
+    assert r[1].content == "in the articleList" and r[5].content == "text" and r[5].title == "Title" and [a.selector for a in r[5].attempts] == ["#lawContent"]
+    wider = acts.act_content(spark.createDataFrame([(1, "<main>the main part</main>")], "page_id int, html string"), broader=True).first()
+    assert (wider.method, wider.selector, len(wider.attempts)) == ("broader", "main", 14) and acts.strategy(True) == "broader_selectors"
+
+
+def test_references_of_a_page(spark):
+    read = acts.act_content(spark.createDataFrame([(1, LAW), (2, None)], "page_id int, html string"))
+    refs = acts.references(read, "page_id").orderBy("position").collect()
+    content = read.where("page_id = 1").first().content
+    assert [(x.citation_text, x.source, x.act_id, x.scope.section_number, x.scope.subsection, x.scope.clause) for x in refs] == [("Act V of 1898", "link", "12", "১৷", "(১)", None), ("Act X of 1900", "pattern", None, "১৷", "(১)", "(ক)")]
+    assert all(content[x.position :].startswith(x.citation_text) for x in refs)
+    d = {x.page_id: x for x in acts.derived(read, "page_id").collect()}
+    assert (d[1].structure.total_sections, d[1].structure.total_subsections, d[1].structure.total_clauses, d[1].unchanged) == (2, 1, 1, True) and len(d[1].cross_references) == 2
+    assert d[2].structure is None and d[2].cross_references == []
+    assert [(s.section_number, s.heading) for s in d[1].structure.sections] == [("১৷", "Short title"), (None, "No number")]
+    m = {x.page_id: x for x in acts.marked_content(spark.createDataFrame([(1, LAW)], "page_id int, html string")).collect()}[1]
+    assert m.has_preamble and not m.has_enactment and m.marker_frequency["ধারা"]["count"] == 1 and m.schedule_tables == 1
+
+
+def test_years_and_order(spark):
+    t = spark.createDataFrame([("10", "Act, 1950 (২০০১)"), ("9", "আইন ১৯৭৩"), ("x", "Act 3000"), ("2", "Act 1899 of 2020")], "act_number string, title string")
+    r = html.by_number(t.withColumn("year", html.year_of(F.col("title")))).collect()
+    assert [(x.act_number, x.year) for x in r] == [("2", "2020"), ("9", "১৯৭৩"), ("10", "1950"), ("x", "")]
+    assert [x.act_number for x in html.chronological(t.withColumn("year", html.year_of(F.col("title")))).collect()][:2] == ["2", "10"]
+    assert len(html.alphabetical(t).collect()) == 4
+
+
+def test_noise_goes(spark):
+    text = "Top\nপ্রিন্ট ভিউআইন Top\nCopyright © 2024 x Legislative and Parliamentary Affairs Division\n \t"
+    assert spark.range(1).select(html.noise_free(F.lit(text)).alias("t")).first().t == "আইন Top\n x"
+
+
+def test_corpus_errors(spark):
+    rows = spark.createDataFrame([("1", "t", None, None, None, None, "c", "{}", "v"), ("2", "t", "failed", None, "", None, None, None, None), ("3", None, None, "x", None, None, None, None, "v"), ("4", "t", "failed", "x", "r", 2, None, None, None)], "act_number string, title string, extraction_status string, content_raw string, failure_reason string, attempts int, content string, marker_frequency string, volume_number string")
+    got = [r.errors for r in export.corpus_errors(rows).orderBy("act_number").collect()]
+    assert got == [[], ["failed act missing failure_reason", "failed act missing attempts count"], ["title is not a string", "content is not a string", "marker_frequency is not an object"], ["failed act should have content_raw as null"]]
+
+
+def test_mirror(spark, tmp_path):
+    src, schema = tmp_path / "in", "act_number string, content_hash string, captured_at int"
+    put = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+    run = lambda: capture.mirrored(spark, str(src), schema, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    put(("1", "a", 1), ("2", "b", 1), ("2", "c", 2))
+    run()
+    put(("1", "a", 3), ("3", "d", 3), ("2", "e", 3))
+    run()
+    now = {r.act_number: r.content_hash for r in spark.read.parquet(str(tmp_path / "out/current/v=1")).collect()}
+    log = {(r.act_number, r.sync_reason) for r in spark.read.parquet(str(tmp_path / "out/log/batch=1")).collect()}
+    assert now == {"1": "a", "2": "e", "3": "d"} and log == {("3", "new"), ("2", "content_changed")}
+
+
+def test_receipts_are_of_what_was_read_back(spark, tmp_path):
+    src = tmp_path / "in"
+    spark.createDataFrame([(1, "x" * 120)], "id int, content string").write.parquet(str(src))
+    capture.capture(spark, str(src), "id int, content string", "id", "content", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    r = spark.read.parquet(str(tmp_path / "out/receipts")).first()
+    assert r.persisted_at.year > 2000 and r.content_raw_sha256 == spark.range(1).select(F.sha2(F.lit("x" * 120), 256)).first()[0]
+    assert spark.read.parquet(str(tmp_path / "out/integrity_errors")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["receipts", "sessions"])
+def test_streams_of_logs(spark, tmp_path, kind):
+    if kind == "receipts":
+        spark.createDataFrame([("a", 0), ("a", 1), ("b", 2)], "receipt_id string, t int").select("receipt_id", F.timestamp_seconds("t").alias("persisted_at")).write.parquet(str(tmp_path / "in"))
+        out = capture.distinct_receipts(spark.readStream.schema("receipt_id string, persisted_at timestamp").parquet(str(tmp_path / "in")))
+    else:
+        spark.createDataFrame([("x", 0), ("x", 60), ("x", 90000), ("y", 10)], "operation string, t int").select("operation", F.timestamp_seconds("t").alias("timestamp")).write.parquet(str(tmp_path / "in"))
+        out = capture.sessions(spark.readStream.schema("operation string, timestamp timestamp").parquet(str(tmp_path / "in")))
+    q = out.writeStream.format("memory").queryName(f"seen_{kind}").option("checkpointLocation", str(tmp_path / "c")).outputMode("append" if kind == "receipts" else "complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.table(f"seen_{kind}").collect()
+    assert len(rows) == 2 if kind == "receipts" else sorted(r.n for r in rows) == [1, 1, 2]
+
+
+def test_running_totals_by_blocks(spark):
+    d = spark.createDataFrame([(i, "a" if i % 3 else "b", i) for i in range(200)] + [(5, "a", 7)], "id long, g string, n long")
+    for group in ("g", None):
+        got = {(r.id, r.g, r.n): r.used for r in manifest.running_usage(d, group, ["id", "n"], "n", 10**6, blocks=8).collect()}
+        used = {}
+        for r in sorted(d.collect(), key=lambda r: (r.id, r.n)):
+            used[r.g if group else 0] = used.get(r.g if group else 0, 0) + r.n
+            assert got[r.id, r.g, r.n] == used[r.g if group else 0]
+    assert manifest.running_usage(d.limit(0), "g", ["id"], "n", 1).count() == 0
+    assert manifest.running_usage(d, "g", ["g", "id"], "n", 1).count() == 201

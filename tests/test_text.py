@@ -157,3 +157,25 @@ def test_merged_references(spark):
 def test_markers(spark):
     rows = markers.marker_positions(frame(spark, "x ***\n*** y"), GENERIC.amendment_markers, width=20).orderBy("line_number").collect()
     assert [(r.line_number, r.position, r.context) for r in rows] == [(1, 2, "x ***"), (2, 0, "*** y")]
+
+
+def test_many_matches_in_one_text(spark):
+    """Folds of more than a block of matches; and a text of 40,000 matches in seconds."""
+    texts = ["ab" * 64, "ab" * 65 + "c", "xab" * 500, "ab " * 40000]
+    for r in frame(spark, *texts).select("doc_id", T.find_all(F.col("text"), "ab").alias("m")).collect():
+        assert [m.position for m in r.m] == [m.start() for m in re.finditer("ab", texts[r.doc_id])]
+
+
+def test_cleaning_leaves_regions(spark):
+    """List breaks, repairs and corrections stay out of numeric regions; corrections in protected places are listed."""
+    rows = quality.clean(frame(spark, "a; (1) b; x", "thth æ 5%", "licence thth", None), GENERIC).orderBy("doc_id").collect()
+    assert [r.content_corrected for r in rows] == ["a; (1) b; x", 'th " 5%', "licence thth", ""]
+    assert (rows[0].list_breaks, rows[0].lists_skipped, rows[0].cleaning_flags) == (0, 1, ["cleaning_applied", "numeric_regions_protected"])
+    assert rows[1].ocr_corrections == 1 and rows[2].ocr_flagged[0] == ("thth", "th", 8) and rows[2].cleaning_flags == ["cleaning_applied", "protected_sections_enforced"] and rows[3].cleaning_flags == []
+
+
+def test_checksum_and_short_citations(spark):
+    r = frame(spark, "ab", "😀", "", None).select(T.checksum(F.col("text")).alias("c")).collect()
+    assert [x.c for x in r] == ["2_195", f"2_{0xD83D + 0xDE00}", "0_0", "0_0"]
+    m = frame(spark, "Act V of 1898 and ১৯৭৩ সনের ১২ নং আইন").select(citations.short(F.col("text")).alias("m")).first().m
+    assert [(x.kind, x.position) for x in m] == [("english_citation", 0), ("bengali_citation", 18)]
