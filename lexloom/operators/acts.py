@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dom
@@ -148,52 +148,74 @@ def marked_content(pages: DataFrame, rules: Pages = LEGAL_PAGES, pack: Pack = LE
 # ---- structure and references
 
 
-def dom_sections(read: DataFrame, key: str, number: str = structure.SECTION, subsection: str = structure.SUBSECTION, clause: str = structure.CLAUSE) -> DataFrame:
-    """A row for each section row of act_content(): number and heading from its title, where its body starts in the
-    content (looked for after the one before, -1 if it isn't there), and its subsections and clauses by place in the body."""
-    rows = read.select(key, "content", F.posexplode("sections").alias("__at", "s"))
-    section_number, heading = structure.heading(F.col("s.section_title"), number)
-    found = lambda p: T.find_all(F.col("s.section_body"), p)
-    start = T.offset_of(F.col("content"), F.col("s.section_body"))
-    rows = rows.select(key, F.col("s.dom_index").alias("dom_index"), section_number.alias("section_number"), F.nullif(heading, F.lit("")).alias("heading"), F.col("s.section_body").alias("body_text"), start.alias("content_start"), F.col("s.has_table").alias("has_table"), found(subsection).alias("subsections"), found(clause).alias("clauses"))
-    return rows.withColumn("content_end", F.when(F.col("content_start") >= 0, F.col("content_start") + F.length("body_text")).otherwise(-1))
-
-
-def references(read: DataFrame, key: str, pack: Pack = LEGAL, number: str = structure.SECTION, subsection: str = structure.SUBSECTION, clause: str = structure.CLAUSE) -> DataFrame:
-    """References of a page by links first, then by short citations in section bodies, one for each offset of the
-    content, with scope: the section of its row and, in its body, the last subsection and clause before it."""
-    sections = dom_sections(read, key, number, subsection, clause)
-    linked = read.select(key, "content", F.posexplode("links").alias("nth", "l"))
-    linked = linked.select(key, F.col("l.citation_text").alias("citation_text"), T.offset_of(F.col("content"), F.col("l.citation_text")).alias("position"), F.col("l.href").alias("href"), F.col("l.act_id").alias("act_id"), F.col("l.dom_section_index").alias("dom_section_index"), "nth")
-    cited = sections.select(key, "dom_index", "content_start", F.explode(citations.short(F.col("body_text"), pack)).alias("m"))
-    cited = cited.select(key, F.col("m.text").alias("citation_text"), F.when(F.col("content_start") >= 0, F.col("content_start") + F.col("m.position")).otherwise(-1).alias("position"), F.col("dom_index").alias("dom_section_index"), F.col("m.position").alias("nth"))
-    both = linked.withColumn("source", F.lit("link")).unionByName(cited.withColumn("source", F.lit("pattern")), allowMissingColumns=True).where("position >= 0")
-    w = Window.partitionBy(key, "position").orderBy("source", "dom_section_index", "nth")
-    both = both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "nth")
-    s = sections.select(F.col(key).alias("__k"), F.col("dom_index").alias("__d"), "section_number", "content_start", "subsections", "clauses")
-    both = both.join(s, F.col(key).eqNullSafe(F.col("__k")) & (F.col("dom_section_index") == F.col("__d")), "left")
-    at = F.col("position") - F.col("content_start")
-    before = lambda c: F.try_element_at(F.filter(c, lambda m: m["position"] <= at), F.lit(-1))["text"]
-    scope = F.struct("section_number", before("subsections").alias("subsection"), before("clauses").alias("clause"), "dom_section_index")
-    return both.select(key, "citation_text", "position", "href", "act_id", "source", scope.alias("scope"))
-
-
-def derived(read: DataFrame, key: str, pack: Pack = LEGAL, number: str = structure.SECTION, subsection: str = structure.SUBSECTION, clause: str = structure.CLAUSE) -> DataFrame:
-    """read with structure (sections and totals) and cross_references in order of their place; null and none without text.
-
-    unchanged compares the text's checksum before and after.
+def with_scope(read: DataFrame, pack: Pack = LEGAL, number: str = structure.SECTION, subsection: str = structure.SUBSECTION, clause: str = structure.CLAUSE) -> DataFrame:
+    """read, from act_content(), with section_list and reference_list. All is made within the row; nothing is shuffled.
+
+    A section has number and heading from its title, where its body is first found in the content (-1 if it isn't
+    there), and its subsections and clauses by place in the body. References are links first, then short citations in
+    section bodies, one for each offset of the content that is found, in order, with scope: the section of their row
+    and the last subsection and clause before them in it. Null sections and links count as none.
+    """
+    content = F.col("content")
+
+    def section(s):
+        section_number, heading = structure.heading(s["section_title"], number)
+        body = s["section_body"]
+        start = T.offset_of(content, body)
+        end = F.when(start >= 0, start + F.length(T.trim(body))).otherwise(-1)
+        return F.struct(s["dom_index"].alias("dom_index"), section_number.alias("section_number"), F.nullif(heading, F.lit("")).alias("heading"), body.alias("body_text"), start.alias("content_start"), end.alias("content_end"), s["has_table"].alias("has_table"), T.find_all(body, subsection).alias("subsections"), T.find_all(body, clause).alias("clauses"))
+
+    def link(x):
+        return F.struct(T.offset_of(content, x["citation_text"]).alias("position"), x["citation_text"].alias("citation_text"), x["href"].alias("href"), x["act_id"].alias("act_id"), F.lit("link").alias("source"), x["dom_section_index"].alias("dom_section_index"))
+
+    def cited(s):
+        at = lambda m: F.when(s["content_start"] >= 0, s["content_start"] + m["position"]).otherwise(-1)
+        none = F.lit(None).cast("string")
+        return F.transform(citations.short(s["body_text"], pack), lambda m: F.struct(at(m).alias("position"), m["text"].alias("citation_text"), none.alias("href"), none.alias("act_id"), F.lit("pattern").alias("source"), s["dom_index"].alias("dom_section_index")))
+
+    def scoped(own, r):
+        at = r["position"] - own["content_start"]
+        before = lambda c: F.try_element_at(F.filter(own[c], lambda m: m["position"] <= at), F.lit(-1))["text"]
+        scope = F.struct(own["section_number"].alias("section_number"), before("subsections").alias("subsection"), before("clauses").alias("clause"), r["dom_section_index"].alias("dom_section_index"))
+        return F.struct(*[r[c].alias(c) for c in ("position", "citation_text", "href", "act_id", "source")], scope.alias("scope"))
+
+    def all_scoped(x):  # section rows are counted from 0, so a row's section is found by its place
+        own = lambda r: F.array(F.get(x["sections"], r["dom_section_index"]))
+        return F.transform(x["refs"], lambda r: F.get(F.transform(own(r), lambda o: scoped(o, r)), 0))
+
+    def listed(links, sections):
+        every = F.concat(F.coalesce(F.transform(links, link), F.array()), F.flatten(F.transform(sections, cited)))
+        ordered = F.array_sort(F.transform(F.filter(every, lambda r: r["position"] >= 0), lambda r, i: F.struct(r["position"].alias("position"), i.alias("i"), r.alias("r"))))
+        first = F.get(F.transform(F.array(ordered), lambda x: F.filter(x, lambda r, i: (i == 0) | (F.get(x, i - 1)["position"] != r["position"]))), 0)
+        return F.transform(first, lambda x: x["r"])
+
+    # each list is bound to the argument of a lambda, so that it is worked out once a row
+    bound = F.array(F.coalesce(F.transform("sections", section), F.array()))
+    refs = F.transform(bound, lambda s: F.struct(s.alias("sections"), listed(F.col("links"), s).alias("refs")))
+    both = F.transform(refs, lambda x: F.struct(x["sections"].alias("sections"), all_scoped(x).alias("refs")))
+    return read.withColumn("__x", F.get(both, 0)).withColumns({"section_list": F.col("__x.sections"), "reference_list": F.col("__x.refs")}).drop("__x")
+
+
+def dom_sections(read: DataFrame, key: str, *rules) -> DataFrame:
+    """A row for each section row of a page; rules as for with_scope()."""
+    return with_scope(read, *rules).select(key, F.explode("section_list").alias("s")).select(key, "s.*")
+
+
+def references(read: DataFrame, key: str, *rules) -> DataFrame:
+    """A row for each reference of a page."""
+    return with_scope(read, *rules).select(key, F.explode("reference_list").alias("r")).select(key, "r.*")
+
+
+def derived(read: DataFrame, *rules) -> DataFrame:
+    """read with structure (sections and totals) and cross_references; without sections structure is null.
+
+    unchanged compares the text's checksum with that from before.
     """
-    rows = read.withColumn("__before", T.checksum(F.col("content")))
-    s = dom_sections(read, key, number, subsection, clause)
-    item = F.struct("dom_index", "section_number", "heading", "content_start", "content_end", "has_table", "subsections", "clauses")
-    n = lambda c: F.sum(F.size(c)).cast("long")
-    trees = s.groupBy(F.col(key).alias("__k")).agg(F.struct(F.array_sort(F.collect_list(item)).alias("sections"), F.count("*").alias("total_sections"), n("subsections").alias("total_subsections"), n("clauses").alias("total_clauses")).alias("structure"))
-    refs = references(read, key, pack, number, subsection, clause)
-    one = F.struct("position", "citation_text", "href", "act_id", "source", "scope")
-    refs = refs.groupBy(F.col(key).alias("__r")).agg(F.array_sort(F.collect_list(one)).alias("cross_references"))  # bounded by one page
-    out = rows.join(trees, F.col(key).eqNullSafe(F.col("__k")), "left").join(refs, F.col(key).eqNullSafe(F.col("__r")), "left")
-    none = F.array().cast(refs.schema["cross_references"].dataType)
-    return out.withColumns({"cross_references": F.coalesce("cross_references", none), "unchanged": T.checksum(F.col("content")) == F.col("__before")}).drop("__k", "__r", "__before")
+    out = with_scope(read.withColumn("__before", T.checksum(F.col("content"))), *rules)
+    n = lambda c: F.aggregate("section_list", F.lit(0), lambda a, s: a + F.size(s[c])).cast("long")
+    tree = F.struct(F.col("section_list").alias("sections"), F.size("section_list").cast("long").alias("total_sections"), n("subsections").alias("total_subsections"), n("clauses").alias("total_clauses"))
+    same = T.checksum(F.col("content")) == F.col("__before")
+    return out.withColumns({"structure": F.when(F.size("section_list") > 0, tree), "cross_references": F.col("reference_list"), "unchanged": same}).drop("__before", "section_list", "reference_list")
 
 
 def snapshot(pages: DataFrame, pack: Pack = LEGAL, title: tuple[str, ...] = ("h1", "title"), structural: str = r"(?i)class\s*=\s*[\"'][^\"']*(?:lineremoves|bg-act-section)", html_column: str = "html") -> DataFrame:

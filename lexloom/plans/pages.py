@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -64,16 +66,22 @@ def act_content(spark, sf):
 
 
 def _law_page(spark, sf):
-    """A structured page for each order: opening, preamble line, and a section row for each line item with a table or a link."""
-    li = table(spark, sf, "lineitem")
-    body = F.concat(F.lit("part "), "l_partkey", F.lit(" of "), "l_suppkey", F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("<table><tr><td rowspan=2>"), "l_returnflag", F.lit("</td><td>a</td></tr><tr><td>b</td></tr></table>"))).otherwise(F.lit("")), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(' see <a href="/act-'), "l_suppkey", F.lit('.html">Law '), "l_linenumber", F.lit("</a>"))).otherwise(F.lit("")))
-    row = F.concat(F.lit('<div class="row"><b class="head x">'), "l_linenumber", F.lit(". Title</b><div class='details'>"), body, F.lit("</div></div>"))
-    rows = li.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("h"))))["h"], "").alias("r"))
-    return rows.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit('<title>Order - site</title><div class="law"><div class="opening"> No '), "l_orderkey", F.lit('</div><p class="line">Whereas</p><p class="line row"></p>'), "r", F.lit("</div><footer>Top</footer>")).alias("html"))
+    """A structured page for each size of part: opening, preamble line, and a section row for each part, some with a table or a link."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    grid = F.concat(F.lit("<table><tr><td rowspan=2>"), "p_brand", F.lit("</td><td>a</td></tr><tr><td>b</td></tr></table>"))
+    link = F.concat(F.lit(' see <a href="/act-'), k, F.lit('.html">Law '), k, F.lit("</a>"))
+    row = F.concat(F.lit('<div class="row"><b class="head x">'), k, F.lit(". Title</b><div class='details'>part of "), "p_type", F.when(k % 3 == 0, grid).otherwise(F.lit("")), F.when(k % 2 == 0, link).otherwise(F.lit("")), F.lit("</div></div>"))
+    rows = p.groupBy("p_size").agg(F.array_join(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("h"))))["h"], "").alias("r"))
+    return rows.select(F.col("p_size").alias("page_id"), F.concat(F.lit('<title>Parts - site</title><div class="law"><div class="opening"> No '), "p_size", F.lit('</div><p class="line">Whereas</p><p class="line row"></p>'), "r", F.lit("</div><footer>Top</footer>")).alias("html"))
+
+
+_BODY = "'part of ' || p_type || CASE WHEN p_partkey % 3 = 0 THEN p_brand || 'ab' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN ' see Law ' || p_partkey ELSE '' END"
+_LI = f"SELECT p_size AS page_id, p_partkey AS n, {_BODY} AS body, p_brand, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS INTEGER) AS k_at FROM part"
 
 
-_BODY = "'part ' || l_partkey || ' of ' || l_suppkey || CASE WHEN l_linenumber % 3 = 0 THEN l_returnflag || 'ab' ELSE '' END || CASE WHEN l_linenumber % 2 = 0 THEN ' see Law ' || l_linenumber ELSE '' END"
-_LI = f"SELECT l_orderkey AS page_id, l_linenumber AS n, l_suppkey, {_BODY} AS body, l_returnflag, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {_BODY}) AS INTEGER) AS k_at FROM lineitem"
+#: The generic pack with the short forms of citations that scopes look for.
+GENERIC_LAW = replace(GENERIC, citations=GENERIC.citations | {k: GENERIC.citations["NUMBERED"] for k in ("BENGALI_ACT_SHORT", "ENGLISH_ACT_SHORT")})
+_CONTENT = "SELECT page_id, 'No ' || page_id || chr(10) || chr(10) || 'Whereas' || string_agg(chr(10) || chr(10) || n || '. Title' || chr(10) || body, '' ORDER BY n) AS content FROM l GROUP BY page_id"
 
 
 def _read(spark, sf):
@@ -91,13 +99,13 @@ def section_rows(spark, sf):
     return rows.where("title <> ''").select("page_id", "section_at", "title", "body", "has_table")
 
 
-@query(f"WITH l AS ({_LI}) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n, body) - 1 AS INTEGER) AS table_at, l_returnflag || ',a;,b' AS grid, TRUE AS has_merged_cells, CAST(2 AS INTEGER) AS row_count, CAST(2 AS INTEGER) AS col_count FROM l WHERE n % 3 = 0")
+@query(f"WITH l AS ({_LI}) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n, body) - 1 AS INTEGER) AS table_at, p_brand || ',a;,b' AS grid, TRUE AS has_merged_cells, CAST(2 AS INTEGER) AS row_count, CAST(2 AS INTEGER) AS col_count FROM l WHERE n % 3 = 0")
 def table_grid(spark, sf):
     t = html.tables(_law_page(spark, sf))
     return t.select("page_id", "table_at", F.array_join(F.transform("data", lambda r: F.array_join(r, ",")), ";").alias("grid"), "has_merged_cells", "row_count", "col_count")
 
 
-@query(f"WITH l AS ({_LI}) SELECT page_id, CAST(section_index AS INTEGER) AS section_index, grid, has_merged_cells FROM (SELECT page_id, k_at AS section_index, l_returnflag || ',a;,b' AS grid, TRUE AS has_merged_cells FROM l WHERE n % 3 = 0)")
+@query(f"WITH l AS ({_LI}) SELECT page_id, CAST(section_index AS INTEGER) AS section_index, grid, has_merged_cells FROM (SELECT page_id, k_at AS section_index, p_brand || ',a;,b' AS grid, TRUE AS has_merged_cells FROM l WHERE n % 3 = 0)")
 def formatted_tables(spark, sf):
     rows = _read(spark, sf).select("page_id", F.explode(acts.formatted_tables(F.col("tables"))).alias("t"))
     return rows.select("page_id", "t.section_index", F.array_join(F.transform("t.data", lambda r: F.array_join(r, ",")), ";").alias("grid"), "t.has_merged_cells")
@@ -105,26 +113,20 @@ def formatted_tables(spark, sf):
 
 @query(f"""WITH l AS ({_LI}) SELECT page_id, k_at AS dom_index, n || '.' AS section_number, CAST(NULL AS VARCHAR) AS heading, body AS body_text, n % 3 = 0 AS has_table FROM l""")
 def dom_sections(spark, sf):
-    s = acts.dom_sections(_read(spark, sf), "page_id", r"[0-9]+\.", r"[0-9]{3,}", "see")
+    s = acts.dom_sections(_read(spark, sf), "page_id", GENERIC_LAW, r"[0-9]+\.", r"[0-9]{3,}", "see")
     return s.where("body_text <> ''").select("page_id", "dom_index", "section_number", "heading", "body_text", "has_table")
 
 
-@query(f"""WITH l AS ({_LI}), c AS (SELECT page_id, 'No ' || page_id || chr(10) || chr(10) || 'Whereas' || string_agg(chr(10) || chr(10) || n || '. Title' || chr(10) || body, '' ORDER BY n, body) AS content FROM l GROUP BY page_id), f AS (SELECT page_id, strpos(content, 'Law ' || n) - 1 AS position, n, l_suppkey, k_at, row_number() OVER (PARTITION BY page_id, strpos(content, 'Law ' || n) ORDER BY n, k_at) AS k FROM l JOIN c USING (page_id) WHERE n % 2 = 0)
-SELECT page_id, CAST(position AS INTEGER) AS position, 'Law ' || n AS citation_text, '/act-' || l_suppkey || '.html' AS href, CAST(l_suppkey AS VARCHAR) AS act_id, 'link' AS source, n || '.' AS section_number, k_at AS dom_section_index FROM f WHERE k = 1""")
+@query(f"""WITH l AS ({_LI}), c AS (SELECT page_id, 'No ' || page_id || chr(10) || chr(10) || 'Whereas' || string_agg(chr(10) || chr(10) || n || '. Title' || chr(10) || body, '' ORDER BY n, body) AS content FROM l GROUP BY page_id), f AS (SELECT page_id, strpos(content, 'Law ' || n) - 1 AS position, n, k_at, row_number() OVER (PARTITION BY page_id, strpos(content, 'Law ' || n) ORDER BY n, k_at) AS k FROM l JOIN c USING (page_id) WHERE n % 2 = 0)
+SELECT page_id, CAST(position AS INTEGER) AS position, 'Law ' || n AS citation_text, '/act-' || n || '.html' AS href, CAST(n AS VARCHAR) AS act_id, 'link' AS source, n || '.' AS section_number, k_at AS dom_section_index FROM f WHERE k = 1""")
 def link_references(spark, sf):
-    r = acts.references(_read(spark, sf), "page_id", _pack(), r"[0-9]+\.")
+    r = acts.references(_read(spark, sf), "page_id", GENERIC_LAW, r"[0-9]+\.")
     return r.select("page_id", "position", "citation_text", "href", "act_id", "source", F.col("scope.section_number").alias("section_number"), F.col("scope.dom_section_index").alias("dom_section_index"))
 
 
-def _pack():
-    from dataclasses import replace
-
-    return replace(GENERIC, citations=GENERIC.citations | {k: GENERIC.citations["NUMBERED"] for k in ("BENGALI_ACT_SHORT", "ENGLISH_ACT_SHORT")})
-
-
-@query(f"WITH l AS ({_LI}) SELECT page_id, count(*) + 1 AS total_sections, count(*) FILTER (n % 2 = 0) AS total_clauses, count(DISTINCT n) FILTER (n % 2 = 0) AS n_references, TRUE AS unchanged FROM l GROUP BY page_id")
+@query(f"WITH l AS ({_LI}), c AS ({_CONTENT}) SELECT page_id, count(*) + 1 AS total_sections, count(*) FILTER (n % 2 = 0) AS total_clauses, count(DISTINCT strpos(content, 'Law ' || n)) FILTER (n % 2 = 0) AS n_references, TRUE AS unchanged FROM l JOIN c USING (page_id) GROUP BY page_id")
 def derived_structure(spark, sf):
-    d = acts.derived(_read(spark, sf), "page_id", _pack(), r"[0-9]+\.", r"\([0-9]\)", "see")
+    d = acts.derived(_read(spark, sf), GENERIC_LAW, r"[0-9]+\.", r"\([0-9]\)", "see")
     return d.select("page_id", F.col("structure.total_sections").alias("total_sections"), F.col("structure.total_clauses").alias("total_clauses"), F.size("cross_references").cast("long").alias("n_references"), "unchanged")
 
 
@@ -142,7 +144,7 @@ def schedule_distinction(spark, sf):
     return rows.where("schedule_references = 0").select("page_id", "schedule_references", "schedule_tables", "missing_schedule")
 
 
-@query("SELECT l_orderkey AS page_id, CAST(count(*) FILTER (l_linenumber % 3 = 0) AS BIGINT) > 0 AS has_schedule, CAST(count(DISTINCT l_returnflag) FILTER (l_linenumber % 3 = 0) AS BIGINT) AS n_distinct FROM lineitem GROUP BY l_orderkey")
+@query("SELECT p_size AS page_id, count(*) FILTER (p_partkey % 3 = 0) > 0 AS has_schedule, count(DISTINCT p_brand) FILTER (p_partkey % 3 = 0) AS n_distinct FROM part GROUP BY p_size")
 def schedule_markup(spark, sf):
     s = html.schedules(_law_page(spark, sf), ["table", ".schedule"])
     return s.select("page_id", (F.size("schedules") > 0).alias("has_schedule"), F.size("schedules").cast("long").alias("n_distinct"))

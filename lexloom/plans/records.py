@@ -128,10 +128,10 @@ def amendments_in_sections(spark, sf):
     return structure.amendments_in_sections(s, a).groupBy("doc_id", "line_number").agg(F.count("*").alias("n"))
 
 
-@query("WITH b AS (SELECT DISTINCT trim(text) AS t FROM benchmark WHERE len(string_split(trim(text), ' ')) >= 3) SELECT doc_id, count(DISTINCT t) AS n_items FROM documents JOIN b ON contains(text, t) GROUP BY doc_id")
+@query("WITH b AS (SELECT DISTINCT trim(text) AS t FROM benchmark WHERE len(regexp_split_to_array(trim(text), '[ \n]')) >= 3) SELECT doc_id, count(DISTINCT t) AS n_items FROM documents JOIN b ON contains(text, t) GROUP BY doc_id")
 def benchmark_overlap(spark, sf):
-    """Whole items of three words or more inside documents. They meet by the item's longest inner word, which stands between spaces in both."""
-    ws = F.split("line", " ", -1)
+    """Whole items of three words or more inside documents. They meet by the item's longest inner word, which stands between spaces or line breaks in both."""
+    ws = F.split("line", "[ \n]", -1)
     inner = F.transform(F.slice(ws, 2, F.size(ws) - 2), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
     b = table(spark, sf, "benchmark").select(F.trim("text").alias("line"), F.lit("item").alias("marker")).distinct().where(F.size(ws) >= 3).withColumn("word", F.array_max(inner)["w"])
     d = table(spark, sf, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", "[ \n]", -1))).alias("word"))

@@ -198,7 +198,7 @@ def test_references_of_a_page(spark):
     content = read.where("page_id = 1").first().content
     assert [(x.citation_text, x.source, x.act_id, x.scope.section_number, x.scope.subsection, x.scope.clause) for x in refs] == [("Act V of 1898", "link", "12", "১৷", "(১)", None), ("Act X of 1900", "pattern", None, "১৷", "(১)", "(ক)")]
     assert all(content[x.position :].startswith(x.citation_text) for x in refs)
-    d = {x.page_id: x for x in acts.derived(read, "page_id").collect()}
+    d = {x.page_id: x for x in acts.derived(read).collect()}
     assert (d[1].structure.total_sections, d[1].structure.total_subsections, d[1].structure.total_clauses, d[1].unchanged) == (2, 1, 1, True) and len(d[1].cross_references) == 2
     assert d[2].structure is None and d[2].cross_references == []
     assert [(s.section_number, s.heading) for s in d[1].structure.sections] == [("১৷", "Short title"), (None, "No number")]
