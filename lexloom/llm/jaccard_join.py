@@ -38,6 +38,8 @@ BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: The longest run that cuts a list into blocks, and the bits of the chance that linked sets meet in no block.
 RUN, BITS = 3, 64
 CACHE = 500_000
+#: Ids of documents with a partner that are broadcast at most; more of them meet the texts in a shuffled join.
+BROADCAST_IDS = 1_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -229,7 +231,9 @@ def groups(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:
     lists = stage(entries.join(shared, "key").where("node <> hub").select("key", F.col("node").alias("a"), "hub").distinct(), "lists")
     pairs = lists.select("a", "hub").distinct()
     wanted = stage(lists.select(F.col("a").alias("node")).unionByName(lists.select(F.col("hub").alias("node"))).distinct(), "wanted")
-    ids = wanted.join(sets, "node").select(F.col("rep").alias("doc_id"))
+    ids = stage(wanted.join(sets, "node").select(F.col("rep").alias("doc_id")), "ids")
+    if ids.count() <= BROADCAST_IDS:  # then the texts stay where they are
+        ids = F.broadcast(ids)
     members = texts.join(ids, "doc_id", "left_semi").mapInArrow(_members(size, seed), "node long, members binary").where("node is not null")
     members = stage(members.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "members")
     both = pairs.join(members.select(F.col("node").alias("a"), "members"), "a").join(members.select(F.col("node").alias("hub"), F.col("members").alias("hub_members")), "hub")
