@@ -77,7 +77,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     marks = rows.select("rid", F.explode(fingerprints("lines", min_words)).alias("f")).select("rid", "f.h", "f.i")
     marks = stage(marks, "marks")
     seen = marks.groupBy("h").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.min("i").alias("first"), F.max("i").alias("last"))
-    again = seen.where("lo <> hi or first <> last").select("h")
+    again = stage(seen.where("lo <> hi or first <> last").select("h"), "again")  # see below
     hits = marks.join(again, "h", "left_semi").groupBy("rid").agg(F.array_sort(F.collect_set("i")).alias("hits"))
     next_hit = F.expr("flatten(transform(hits, (h, k) -> array_repeat(h, h - coalesce(get(hits, k - 1), -1))))")
     spans = rows.select("rid", F.col("row.doc_id").alias("doc_id"), "lines").join(hits.select("rid", next_hit.alias("next_hit")), "rid")
