@@ -84,6 +84,22 @@ b AS (SELECT c.source, l FROM c JOIN (SELECT source, count(DISTINCT doc_id) AS n
 k AS (SELECT x.r, sum(length(x.l)) AS line_chars, sum(CASE WHEN b.l IS NULL THEN 0 ELSE length(x.l) END) AS removed_chars FROM x LEFT JOIN b ON x.source IS NOT DISTINCT FROM b.source AND x.l = b.l GROUP BY x.r),
 z AS (SELECT d.doc_id, m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CAST(line_chars AS BIGINT) AS line_chars, CAST(removed_chars AS BIGINT) AS removed_chars FROM d JOIN m USING (r) JOIN k USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND line_chars - removed_chars >= 0.3 * line_chars AS kept, line_chars, removed_chars FROM z
+""",
+    "op6_line_dedup": r"""
+WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+u AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS p, unnest(ls) AS l FROM s),
+f AS (SELECT doc_id, p, l, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS f FROM u),
+n AS (SELECT doc_id, p, f, w, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY p) AS c FROM (SELECT *, 1 + length(f) - length(replace(f, ' ', '')) AS w FROM f WHERE f <> '')),
+g AS (SELECT a.doc_id, a.i AS a, b.i AS b FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 49 AND b.c - a.c + a.w >= 50),
+t AS (SELECT doc_id, a AS a, min(b) AS b FROM g GROUP BY doc_id, a UNION SELECT doc_id, max(a), b FROM g GROUP BY doc_id, b),
+k AS (SELECT t.doc_id, t.a, t.b, string_agg(n.f, chr(10) ORDER BY n.i) AS k FROM t JOIN n ON n.doc_id = t.doc_id AND n.i BETWEEN t.a AND t.b GROUP BY ALL),
+o AS (SELECT doc_id, a, b, doc_id = first_value(doc_id) OVER e AND a = first_value(a) OVER e AS is_first FROM k WINDOW e AS (PARTITION BY k ORDER BY doc_id, a)),
+x AS (SELECT DISTINCT n.doc_id, n.p, n.w FROM o JOIN n ON n.doc_id = o.doc_id AND n.i BETWEEN o.a AND o.b WHERE NOT o.is_first),
+y AS (SELECT doc_id, count(*) AS n_deleted, CAST(sum(w) AS BIGINT) AS words_deleted FROM x GROUP BY doc_id),
+z AS (SELECT f.doc_id, string_agg(f.l, chr(10) ORDER BY f.p) AS left_ FROM f LEFT JOIN x ON x.doc_id = f.doc_id AND x.p = f.p WHERE x.p IS NULL GROUP BY f.doc_id),
+m AS (SELECT doc_id, count(*) AS n_lines FROM n GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, coalesce(words_deleted, 0) AS words_deleted, CAST(length(CASE WHEN n_deleted > 0 THEN coalesce(left_, '') ELSE text END) AS BIGINT) AS chars_left, sha256(CASE WHEN n_deleted > 0 THEN coalesce(left_, '') ELSE text END) AS text_sha256
+FROM documents LEFT JOIN m USING (doc_id) LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)
 """,
     "op8_ngram_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),

@@ -624,6 +624,61 @@ def test_decontamination_odd(spark):
     assert decontamination.find_overlaps(docs(spark), b).count() == 0
 
 
+# ---- the registered queries without SQL, on whole tables
+
+
+def corpus(sf, name="documents", columns="*"):
+    return sql(sf, f"SELECT {columns} FROM {name}")
+
+
+def test_op3_on_the_table(spark, sf):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    got = collections.defaultdict(list)
+    rows_ = QUERIES["op3_best_fit_packing"](spark, sf).collect()
+    for r in rows_:
+        got[r.doc_id].append(r)
+    total = 0
+    for d in corpus(sf).itertuples():
+        ids = np.array(tok.encode(d.text or "", add_special_tokens=False).ids + [0], "<u4")
+        total += len(ids)
+        want = [(k, 2048 * k, len(ids[2048 * k : 2048 * k + 2048]), zlib.crc32(ids[2048 * k : 2048 * k + 2048].tobytes())) for k in range(-(-len(ids) // 2048))]
+        assert sorted((r.piece, r.start, r.length, r.ids_crc32) for r in got[d.doc_id]) == want
+    assert check_places(rows_, 2048) <= 1.02 * total / 2048 + 2
+
+
+def test_op4_on_the_table(spark, sf):
+    """Scores from the parts that the row shows: evidence moved by the posterior of the others of its path."""
+    r = QUERIES["op4_quality_classifier"](spark, sf).collect()
+    lab = corpus(sf, "labels").set_index("doc_id").quality.to_dict()
+    assert sorted(x.doc_id for x in r) == sorted(corpus(sf).doc_id)
+    value = {x.doc_id: float(lab[x.doc_id]) if x.doc_id in lab and not x.held_out else x.doc_score for x in r}
+    base = sum(value.values()) / len(value)
+    odds = lambda p: math.log(max(p, 1e-6) / max(1 - p, 1e-6))
+    for x in r:
+        want = 1 / (1 + math.exp(-(odds(x.doc_score) + odds(x.path_score) - odds(base))))
+        assert math.isclose(x.score, want, rel_tol=1e-6, abs_tol=1e-9) and x.kept == (x.score >= 0.5)
+    held = [x for x in r if x.held_out and x.doc_id in lab]
+    assert sum(x.kept == bool(lab[x.doc_id]) for x in held) / len(held) > 0.8
+
+
+def test_op5_on_the_table(spark, sf):
+    got = {r.page_id: r for r in QUERIES["op5_url_filters"](spark, sf).collect()}
+    ruled = 0
+    for p in corpus(sf, "pages").itertuples():
+        r, (host, path, rule, verdict) = got.pop(p.page_id), brute_rule(p.url)
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or ("block" if r.block_score >= 0.5 else "allow"))
+        ruled += verdict is None or (r.block_score >= 0.5) == (verdict == "block")
+    assert not got and ruled >= 0.95 * len(corpus(sf, "pages"))  # the model agrees with the rules that it learned from
+
+
+def test_op7_on_the_table(spark, sf):
+    got = QUERIES["op7_sharding"](spark, sf).collect()
+    want = sql(sf, "SELECT doc_id, sha256(text) AS h FROM documents")
+    assert sorted((r.doc_id, r.text_sha256) for r in got) == sorted(zip(want.doc_id, want.h)) and all(r.shard_id >= 1 for r in got) and len({r.version for r in got}) == 1
+
+
 # ---- shared
 
 
