@@ -38,12 +38,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: a lost executor costs the tasks that it ran, not the plan behind the table. The folder of
     an application is deleted when its driver ends.
     """
+    return staged(df, name)[0]
+
+
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """stage() with the path of the table, for what is to be deleted earlier."""
     spark = df.sparkSession
     top = f"{shared_dir(spark)}/lexloom-{spark.sparkContext.applicationId}"
     delete_at_end(spark, top)
     path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 _to_delete: set[str] = set()

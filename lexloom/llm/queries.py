@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, sharding, toxicity, url_filter
+from . import centroid_clustering, decontamination, filter_audit, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, sharding, token_files, toxicity, url_filter
 from ._shared import delete_at_end, held_out, shared_dir
 
 
@@ -67,7 +68,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontamination.items_sha256().alias("items_sha256"), decontamination.contaminated().alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_best_fit_packing, op4_quality_classifier, op5_url_filters, op6_line_dedup, op7_sharding, op8_ngram_jaccard_join, op9_toxicity, op10_decontamination)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
+    return centroid_clustering.described(found, centroids).drop("computed").withColumnRenamed("id", "vec_id")
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(filter_audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are written as token files in a new folder and read back from them."""
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    delete_at_end(spark, folder)
+    token_files.write(table(spark, sf_dir, "documents"), folder)
+    return token_files.read(spark, folder)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_best_fit_packing, op4_quality_classifier, op5_url_filters, op6_line_dedup, op7_sharding, op8_ngram_jaccard_join, op9_toxicity, op10_decontamination, op11_centroid_clustering, op12_filter_interaction_audit, op13_token_files)}
+
+#: Rounds of op11 in SQL: distances of all vectors to all centroids, then the means.
+_ASSIGN = """a{i} AS (SELECT DISTINCT ON (r) r, vec_id, v, c, d FROM (SELECT k.r, k.vec_id, k.v, c.c, list_sum(list_transform(list_zip(k.v, c.v), x -> (x[1] - x[2]) * (x[1] - x[2]))) AS d FROM k, c{i} c) ORDER BY r, d, c)"""
+_MEANS = """m{i} AS (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i),
+c{j} AS (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM m{i} GROUP BY c) m USING (c))"""
+_ROUNDS = ",\n".join(f"{_ASSIGN.format(i=i)},\n{_MEANS.format(i=i, j=i + 1)}" for i in range(3))
 
 ORACLE_SQL = {
     "op1_quality_rules": r"""
@@ -123,6 +147,29 @@ t AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) A
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+""",
+    "op11_centroid_clustering": f"""
+WITH k AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT v, sha256('1:' || CAST(vec_id AS VARCHAR)) AS h FROM k ORDER BY h, v LIMIT 16)),
+{_ROUNDS},
+{_ASSIGN.format(i=3)}
+SELECT vec_id, CAST(a3.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a3.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256 FROM a3 JOIN c3 ON a3.c = c3.c
+""",
+    "op12_filter_interaction_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), FALSE) AS good, coalesce(bool_or(toxic = 1), FALSE) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE)] AS f,
+  coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic FROM d LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, f, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+r AS (SELECT g.part, o AS filter_order, step, o[step] AS filter, list_transform(range(1, 6), i -> f[ascii(o[i]) - 64]) AS q, n, good, toxic, f FROM g, s),
+y AS (SELECT part, filter_order, step, filter, sum(CASE WHEN NOT list_contains(q[1:step], TRUE) THEN n ELSE 0 END) AS kept, sum(CASE WHEN q[step] AND NOT list_contains(q[1:step - 1], TRUE) THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN q[step] AND list_contains(q[1:step - 1], TRUE) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN q[step] AND len(list_filter(q, z -> z)) = 1 THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN good AND q[step] AND NOT list_contains(q[1:step - 1], TRUE) THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN toxic AND q[step] AND NOT list_contains(q[1:step - 1], TRUE) THEN n ELSE 0 END) AS toxic_lost FROM r GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM y
 """,
 }
-ORACLE_SQL = {k: v.replace("x -> ", "lambda x: ") for k, v in ORACLE_SQL.items()}
+ORACLE_SQL = {k: re.sub(r"\b([xzi]) -> ", r"lambda \1: ", v) for k, v in ORACLE_SQL.items()}
