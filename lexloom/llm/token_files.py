@@ -43,19 +43,19 @@ LEVEL = "<IQQQQ"  # bits of a chunk, chunks, places of the chunks, of the bitmap
 
 def packed(values: np.ndarray, width: int) -> bytes:
     """The low `width` bits of each value, one after another, the lowest bit of each first."""
-    bits = np.arange(width, dtype="u4")
-    parts = (((values[i : i + STEP, None] >> bits) & 1).astype("u1") for i in range(0, len(values), STEP))
+    parts = (np.unpackbits(values[i : i + STEP].astype("<u4").view("u1").reshape(-1, 4), axis=1, bitorder="little")[:, :width] for i in range(0, len(values), STEP))
     return b"".join(np.packbits(p, bitorder="little").tobytes() for p in parts)
 
 
 def unpacked(data: bytes, skip: int, n: int, width: int) -> np.ndarray:
     """n values of `width` bits, `skip` bits after the start of data."""
-    out, weights = np.empty(n, "u4"), (1 << np.arange(width, dtype="u8")).astype("u4")
+    out, room = np.empty(n, "u4"), 8 if width <= 8 else 16 if width <= 16 else 32
     for i in range(0, n, STEP):
         m, at = min(STEP, n - i), skip + i * width
         raw = np.frombuffer(data, "u1", (at + m * width + 7) // 8 - at // 8, at // 8)
-        bits = np.unpackbits(raw, bitorder="little")[at % 8 : at % 8 + m * width]
-        out[i : i + m] = bits.reshape(m, width) @ weights
+        bits = np.zeros((m, room), "u1")
+        bits[:, :width] = np.unpackbits(raw, bitorder="little")[at % 8 : at % 8 + m * width].reshape(m, width)
+        out[i : i + m] = np.packbits(bits, bitorder="little").view(f"<u{room // 8}")
     return out
 
 
@@ -185,7 +185,10 @@ def _file_system(path: str):
 
 
 def tokenized(docs: DataFrame, end: int = 2, path: str | None = None) -> DataFrame:
-    """doc_id (long) and ids, little-endian unsigned 32-bit integers, of each document with the id `end` after it."""
+    """doc_id (long), n and ids of each document with the id `end` after it.
+
+    ids are n little-endian unsigned integers, of 16 bits where no id of the document needs more, else of 32.
+    """
     path = path or tokenizer_path()
     last = np.asarray([end], "<u4").tobytes()
 
@@ -195,9 +198,14 @@ def tokenized(docs: DataFrame, end: int = 2, path: str | None = None) -> DataFra
         known = _Encoded(Tokenizer.from_file(path))
         for b in batches:
             ids = [encode(text.as_py(), known) + last for text in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(_short, ids), pa.binary())], names=["doc_id", "n", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+def _short(raw: bytes) -> bytes:
+    ids = np.frombuffer(raw, "<u4")
+    return raw if ids.max() >> 16 else ids.astype("<u2").tobytes()
 
 
 def _writer(folder: str, most: int):
@@ -207,8 +215,8 @@ def _writer(folder: str, most: int):
         size = 0
 
         def flush():
-            ids = np.frombuffer(b"".join(h[2] for h in held), "<u4")
-            ends = np.cumsum([len(h[2]) // 4 for h in held])
+            ids = np.concatenate([np.frombuffer(h[3], f"<u{len(h[3]) // h[2]}") for h in held]).astype("u4")
+            ends = np.cumsum([h[2] for h in held])
             name = f"{uuid.uuid4().hex}.dact"
             data = encoded_file([h[0] for h in held], ends, ids)
             with store.open_output_stream(f"{top}/{name}") as f:
@@ -217,9 +225,9 @@ def _writer(folder: str, most: int):
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.string(), *[pa.int64()] * 6))], names=["file", "first_id", "first_row", "n_docs", "n_tokens", "n_bytes", "file_crc32"])
 
         for b in batches:
-            for doc, row, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                held.append((doc, row, ids.as_py()))
-                size += len(held[-1][2]) // 4
+            for doc, row, n, ids in zip(*(c.to_pylist() for c in b.columns)):
+                held.append((doc, row, n, ids))
+                size += n
                 if size >= most:
                     yield flush()
                     held, size = [], 0
@@ -238,12 +246,12 @@ def write(docs: DataFrame, folder: str, end: int = 2, tokenizer: str | None = No
     it may be new. Of the columns only doc_id and text are read.
     """
     spark = docs.sparkSession
-    rows = stage(numbered(tokenized(docs, end, tokenizer), "row").withColumn("n", F.expr("octet_length(ids) div 4")), "tokens")
+    rows = stage(numbered(tokenized(docs, end, tokenizer), "row"), "tokens")
     total = rows.agg(F.sum("n")).first()[0] or 0
     store, top = _file_system(folder)
     store.create_dir(top, recursive=True)
     tasks = max(1, -(-total // file_tokens))
-    sorted_rows = rows.select("doc_id", "row", "ids").repartitionByRange(tasks, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    sorted_rows = rows.select("doc_id", "row", "n", "ids").repartitionByRange(tasks, "doc_id", "row").sortWithinPartitions("doc_id", "row")
     written = sorted_rows.mapInArrow(_writer(folder, file_tokens), "file string, first_id long, first_row long, n_docs long, n_tokens long, n_bytes long, file_crc32 long")
     files = stage(written, "files").orderBy("first_id", "first_row").collect()  # a row for each file, not for what is in it
     starts = np.concatenate([[0], np.cumsum([f.n_tokens for f in files])]).astype(int).tolist()
