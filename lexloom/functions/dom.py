@@ -6,9 +6,14 @@ Selectors: tag, #id, .class, [attr], [attr=v], [attr*=v], combined and with desc
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html.parser import HTMLParser
 
+from .shipping import ship
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Tags whose text is no markup.
+RAW = {"script", "style"}
 #: Tags that end an open element of the same kind, through open elements within a line.
 SAME = {"p", "li", "tr", "td", "th", "option", "dt", "dd"}
 INLINE = {"a", "abbr", "b", "em", "font", "i", "label", "mark", "s", "small", "span", "strong", "sub", "sup", "u"}
@@ -17,11 +22,22 @@ BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset",
 _PART = re.compile(r"([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:([*^$]?=)[\"']?([^\"'\]]*)[\"']?)?\]")
 
 
+class Comment:
+    __slots__ = ("data",)
+
+    def __init__(self, data: str):
+        self.data = data
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    """An element. at and last: its number in document order and that of the last element in it; index: see Index."""
+
+    __slots__ = ("tag", "attrs", "children", "parent", "at", "last", "index")
 
     def __init__(self, tag: str, attrs: dict, parent: "Node | None"):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        self.at = self.last = 0
+        self.index = None
 
     def text(self) -> str:
         out, todo = [], [self]
@@ -29,29 +45,69 @@ class Node:
             n = todo.pop()
             if isinstance(n, str):
                 out.append(n)
-            else:
+            elif isinstance(n, Node):
                 todo.extend(reversed(n.children))
         return "".join(out)
 
     def within(self, top: "Node") -> bool:
         """Whether top is this node or above it."""
-        n = self
-        while n is not None and n is not top:
-            n = n.parent
-        return n is top
+        return top.at <= self.at <= top.last
 
-    def walk(self):
-        todo = list(reversed(self.children))
+    def html(self) -> str:
+        """The element's markup with its text and attributes escaped as a browser writes them."""
+        out, todo = [], [self]
         while todo:
             n = todo.pop()
-            if not isinstance(n, str):
-                yield n
-                todo.extend(reversed(n.children))
+            if isinstance(n, str):
+                out.append(n)
+            elif isinstance(n, Comment):
+                out.append(f"<!--{n.data}-->")
+            elif isinstance(n, Node):
+                out.append(f"<{n.tag}" + "".join(f' {k}="{escaped(v or "", True)}"' for k, v in n.attrs.items()) + ">")
+                if n.tag not in VOID:
+                    todo.append(_End(f"</{n.tag}>"))
+                    todo.extend(c if n.tag in RAW or not isinstance(c, str) else escaped(c) for c in reversed(n.children))
+            else:
+                out.append(n.markup)
+        return "".join(out)
+
+
+class _End:
+    __slots__ = ("markup",)
+
+    def __init__(self, markup: str):
+        self.markup = markup
 
-    def html(self) -> str:
-        attrs = "".join(f' {k}="{v or ""}"' for k, v in self.attrs.items())
-        inner = "".join(c if isinstance(c, str) else c.html() for c in self.children)
-        return f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else f"{inner}</{self.tag}>")
+
+def escaped(text: str, in_attribute: bool = False) -> str:
+    text = text.replace("&", "&amp;").replace("\xa0", "&nbsp;")
+    return text.replace('"', "&quot;") if in_attribute else text.replace("<", "&lt;").replace(">", "&gt;")
+
+
+class Index:
+    """The elements of a page in document order, and those of each tag, id and class."""
+
+    def __init__(self, root: Node):
+        self.nodes: list[Node] = []
+        self.by: dict[tuple[str, str], list[Node]] = {}
+        todo: list = [root]
+        while todo:
+            n = todo.pop()
+            if not isinstance(n, Node):
+                n[0].last = len(self.nodes) - 1
+                continue
+            n.at, n.index = len(self.nodes), self
+            self.nodes.append(n)
+            for key in {("tag", n.tag), ("id", n.attrs.get("id")), *(("class", c) for c in (n.attrs.get("class") or "").split())}:
+                self.by.setdefault(key, []).append(n)
+            todo.append((n,))
+            todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
+
+    def inside(self, top: Node, key: tuple[str, str] | None):
+        """The elements below top that have the key, in document order."""
+        found = self.nodes if key is None else self.by.get(key, [])
+        low = bisect_right(found, top.at, key=lambda n: n.at)
+        return found[low : bisect_right(found, top.last, low, key=lambda n: n.at)]
 
 
 class _Builder(HTMLParser):
@@ -83,51 +139,69 @@ class _Builder(HTMLParser):
     def handle_data(self, data):
         self.at.children.append(data)
 
+    def handle_comment(self, data):
+        self.at.children.append(Comment(data))
+
 
 def parse(html: str | None) -> Node:
     b = _Builder()
     b.feed(html or "")
     b.close()
+    Index(b.root)
     return b.root
 
 
 def _simple(selector: str):
-    tests = []
+    """A test of one element, and the key under which the index has all that can pass it."""
+    tests, keys = [], []
     for tag, ident, cls, attr, op, value in _PART.findall(selector):
         if tag and tag != "*":
             tests.append(lambda n, t=tag.lower(): n.tag == t)
+            keys.append(("tag", tag.lower()))
         elif ident:
             tests.append(lambda n, v=ident: n.attrs.get("id") == v)
+            keys.append(("id", ident))
         elif cls:
             tests.append(lambda n, v=cls: v in (n.attrs.get("class") or "").split())
+            keys.append(("class", cls))
         elif attr:
             how = {"": lambda a, v: True, "=": lambda a, v: a == v, "*=": lambda a, v: v in a, "^=": lambda a, v: a.startswith(v), "$=": lambda a, v: a.endswith(v)}[op]
             tests.append(lambda n, k=attr, v=value, how=how: k in n.attrs and how(n.attrs[k] or "", v))
-    return lambda n: all(t(n) for t in tests)
+    return lambda n: all(t(n) for t in tests), min(keys, default=None)  # class before id before tag
 
 
-def select(root: Node, selector: str) -> list[Node]:
-    """Elements that a selector list names, in document order."""
-    chains = [[_simple(s) for s in one.split()] for one in selector.split(",")]
+_compiled: dict[str, list] = {}
 
-    def fits(n: Node) -> bool:
-        for chain in chains:
-            if not chain[-1](n):
-                continue
-            up, k = n.parent, len(chain) - 2
-            while k >= 0 and up is not None:
-                if chain[k](up):
-                    k -= 1
-                up = up.parent
-            if k < 0:
-                return True
+
+def _chains(selector: str) -> list:
+    """The selectors of a list, each as the tests of its steps and the key of the last."""
+    if selector not in _compiled:
+        steps = [[_simple(s) for s in one.split()] for one in selector.split(",")]
+        _compiled[selector] = [([test for test, _ in chain], chain[-1][1]) for chain in steps if chain]
+    return _compiled[selector]
+
+
+def _fits(n: Node, tests: list) -> bool:
+    if not tests[-1](n):
         return False
+    up, k = n.parent, len(tests) - 2
+    while k >= 0 and up is not None:
+        if tests[k](up):
+            k -= 1
+        up = up.parent
+    return k < 0
 
-    return [n for n in root.walk() if fits(n)]
+
+def select(root: Node, selector: str) -> list[Node]:
+    """Elements below root that a selector list names, in document order."""
+    found = {n.at: n for tests, key in _chains(selector) for n in root.index.inside(root, key) if _fits(n, tests)}
+    return [found[at] for at in sorted(found)]
 
 
 def first(root: Node, selector: str) -> Node | None:
-    return next(iter(select(root, selector)), None)
+    """The first of select(), without a search for the others."""
+    hits = (next((n for n in root.index.inside(root, key) if _fits(n, tests)), None) for tests, key in _chains(selector))
+    return min((n for n in hits if n is not None), key=lambda n: n.at, default=None)
 
 
 def without(root: Node, selectors: list[str]) -> Node:
@@ -135,7 +209,7 @@ def without(root: Node, selectors: list[str]) -> Node:
         for n in select(root, s):
             if n.parent is not None and n in n.parent.children:
                 n.parent.children.remove(n)
-    return root
+    return root  # the index still has them, so that only root's text can be asked for
 
 
 def matrix(table: Node) -> tuple[list[list[str]], bool]:
@@ -155,3 +229,6 @@ def matrix(table: Node) -> tuple[list[list[str]], bool]:
             x += span[1]
     width = max((x for _, x in grid), default=-1) + 1
     return [[grid.get((y, x), "") for x in range(width)] for y in range(len(rows))], merged
+
+
+ship(__name__)

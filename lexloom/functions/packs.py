@@ -8,6 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from .text import WS, word_bounded
+from .shipping import ship
 
 _S = f"[{WS}]"
 _BN = "[\\u09E6-\\u09EF0-9]"
@@ -187,3 +188,6 @@ GENERIC_PAGES = Pages(
     content=("#content", ".act-content"), fallback=("article", "main"), broader=("#content", ".act-content", "article", "main", "body"), meta=(".meta",), schedule=("table.schedule", ".schedule"),
     excluded=("header", "nav", "footer", "aside", ".ad", "script", "style", "noscript"), links='a[href*="act-"]', link_id=r"act-(\d+)", noise=("(?m)^Top$", r"Copyright © \d{4}"),
 )
+
+
+ship(__name__)

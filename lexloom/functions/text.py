@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
+from .shipping import ship
 
 #: White space as scripts on web pages see it: ASCII, no-break, BOM, and the Unicode separators.
 WS = "\\s\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
@@ -189,3 +190,6 @@ def _checksum(s: pd.Series) -> pd.Series:
         return f"{len(units)}_{int(units.sum(dtype=np.int64))}"
 
     return s.map(one)
+
+
+ship(__name__)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import dom
 from ..functions import text as T
 from ..functions.packs import LEGAL, LEGAL_PAGES, Pack, Pages
-from . import citations, html, markers, quality, structure
+from . import citations, html, markers, structure
+from ..functions.shipping import ship
 
 ATTEMPT = "struct<selector_order:int,selector:string,matched:boolean,element_count:int>"
 SECTION = "struct<dom_index:int,section_title:string,section_body:string,has_table:boolean>"
@@ -244,5 +245,4 @@ def formatted_amendments(docs: DataFrame, pack: Pack = LEGAL, key: str = "doc_id
     return found.select(key, F.col("marker").alias("type"), "line_number", "position", "context")
 
 
-def quality_of(read: DataFrame, pack: Pack = LEGAL) -> DataFrame:
-    return quality.assess(read, pack, "content")
+ship(__name__)

@@ -10,6 +10,7 @@ from ..functions import dom
 from ..functions import text as T
 from ..functions.packs import LEGAL_PAGES
 from . import urls
+from ..functions.shipping import ship
 
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 ANCHOR = r"(?is)<a\s[^>]*href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
@@ -185,6 +186,13 @@ def schedules(pages: DataFrame, selectors: list[str], key: str = "page_id", html
 
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda page: list(dict.fromkeys(n.html() for sel in selectors for n in dom.select(dom.parse(page), sel))))
+        def one(page):
+            root = dom.parse(page)
+            return list(dict.fromkeys(n.html() for sel in selectors for n in dom.select(root, sel)))
+
+        return s.map(one)
 
     return pages.select(key, run(html).alias("schedules"))
+
+
+ship(__name__)

@@ -174,7 +174,7 @@ def broader_content(spark, sf):
     return acts.act_content(table(spark, sf, "pages"), GENERIC_PAGES, GENERIC, broader=True).select("page_id", "title", "method")
 
 
-@query(f"WITH x AS (SELECT page_id, {_text_sql(_ARTICLE)} AS c FROM pages) SELECT page_id, {n_of('c', 'the ')} AS n_the, contains(c, 'Licensed') AS has_preamble, contains(c, 'under the') AS has_enactment, sha256(c) AS content_sha256 FROM x")
+@query(f"WITH x AS (SELECT page_id, {_text_sql(_ARTICLE)} AS c FROM pages) SELECT page_id, {n_of('c', 'the ')} AS n_the, regexp_matches(c, 'Licensed|Released') AS has_preamble, contains(c, 'under the') AS has_enactment, sha256(c) AS content_sha256 FROM x")
 def marked_content(spark, sf):
     m = acts.marked_content(table(spark, sf, "pages"), GENERIC_PAGES, GENERIC)
     return m.select("page_id", F.col("marker_frequency")["the"]["count"].alias("n_the"), "has_preamble", "has_enactment", F.sha2("content", 256).alias("content_sha256"))
