@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import contains
 
 # Section numbers end in U+09F7.
 SECTION, SUBSECTION, CLAUSE = "[০-৯]+৷", r"\([০-৯]+\)", r"\([ক-ঢ]\)"
@@ -72,10 +73,14 @@ def merged_references(linked: DataFrame, matched: DataFrame, key: str = "doc_id"
     return both.where("position >= 0").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "rank")
 
 
-def amendments_in_sections(sections_: DataFrame, amendments: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Sections whose body holds a trimmed amendment line: a contains-join within documents."""
-    a = amendments.select(key, F.col("marker"), T.trim(F.col("line")).alias("line")).where("line <> ''")
-    return sections_.join(a, [key]).where(F.contains("body", "line"))
+def amendments_in_sections(sections_: DataFrame, amendments: DataFrame, key: str = "doc_id", section: str = "section_at", body: str = "body") -> DataFrame:
+    """Sections (key, section, body) with each amendment of their document whose trimmed line stands in the body: marker and line.
+
+    The distinct lines of a document are looked for by their rarest words; see contains.pairs().
+    """
+    a = amendments.select(key, F.col("marker"), T.trim(F.col("line")).alias("line")).where("line <> ''").withColumn("__line", F.sha2("line", 256))
+    found = contains.pairs(sections_, a.select(key, "__line", "line").distinct(), section, body, "__line", "line", [key])
+    return sections_.join(found, [key, section]).join(a, [key, "__line"]).drop("__line")
 
 
 def heading(title: Column, pattern: str = SECTION) -> tuple[Column, Column]:

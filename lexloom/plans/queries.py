@@ -625,4 +625,4 @@ def relational_join(spark, sf):
     return j.groupBy("n_name", "r_name").agg(F.count("*").alias("n_orders"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
 
 
-from . import pages, records  # noqa: E402, F401  these add their queries
+from . import pages, records, stores  # noqa: E402, F401  these add their queries

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.packs import GENERIC
-from ..operators import acts, citations, export, manifest, markers, quality, queueing, recovery, structure, sync
+from ..operators import acts, citations, contains, export, manifest, markers, quality, queueing, recovery, structure, sync
 from ..sources import files, scratch
 from ..streaming import capture
 from .queries import _CITED, _FAILED, _FLAGS, _LINES, _VER, _failures
@@ -125,17 +125,15 @@ def amendments_in_sections(spark, sf):
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).select("doc_id", (F.col("at") + 1).alias("line_number"), "line")
     s = lines.withColumnRenamed("line", "body")
     a = lines.where("contains(line, '***')").select("doc_id", F.lit("***").alias("marker"), "line")
-    return structure.amendments_in_sections(s, a).groupBy("doc_id", "line_number").agg(F.count("*").alias("n"))
+    return structure.amendments_in_sections(s, a, section="line_number").groupBy("doc_id", "line_number").agg(F.count("*").alias("n"))
 
 
 @query("WITH b AS (SELECT DISTINCT trim(text) AS t FROM benchmark WHERE len(regexp_split_to_array(trim(text), '[ \n]')) >= 3) SELECT doc_id, count(DISTINCT t) AS n_items FROM documents JOIN b ON contains(text, t) GROUP BY doc_id")
 def benchmark_overlap(spark, sf):
-    """Whole items of three words or more inside documents. They meet by the item's longest inner word, which stands between spaces or line breaks in both."""
-    ws = F.split("line", "[ \n]", -1)
-    inner = F.transform(F.slice(ws, 2, F.size(ws) - 2), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    b = table(spark, sf, "benchmark").select(F.trim("text").alias("line"), F.lit("item").alias("marker")).distinct().where(F.size(ws) >= 3).withColumn("word", F.array_max(inner)["w"])
-    d = table(spark, sf, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", "[ \n]", -1))).alias("word"))
-    return d.join(b, "word").where(F.contains("text", "line")).groupBy("doc_id").agg(F.countDistinct("line").alias("n_items"))
+    """Whole items of three words or more inside documents, equal items as one."""
+    b = table(spark, sf, "benchmark").select(F.trim("text").alias("line")).distinct().where(F.size(F.split("line", "[ \n]", -1)) >= 3)
+    found = contains.pairs(table(spark, sf, "documents"), b.withColumn("line_id", F.sha2("line", 256)))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_items"))
 
 
 @query(f"WITH l AS ({_LINES}) SELECT doc_id, '***' AS type, line_number, m.position AS position, substr(line, greatest(m.position - 20, 0) + 1, m.position + 23 - greatest(m.position - 20, 0)) AS context FROM (SELECT doc_id, line_number, line, unnest({found('line', '[*][*][*]', 'x')}) AS m FROM l)")

@@ -1,4 +1,4 @@
-"""Incremental capture and mirror with Structured Streaming.
+"""Incremental capture with Structured Streaming.
 
 A batch that is replayed after a failure writes what it wrote before: receipts are keyed by their content, and each
 batch has a folder of its own, which is overwritten.
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as T
-from ..operators import manifest, queueing, recovery, sync
+from ..operators import manifest, queueing, recovery
 
 
 def outcomes(pages: DataFrame, content: str, threshold: int = 100) -> DataFrame:
@@ -65,23 +65,3 @@ def processed(pages: DataFrame, content: str, size: str, quota: int, order: list
     again = (F.col("failure_class") == "transient") & (F.col(attempts) < most)
     state = F.when(~F.col("may_write"), "waiting").when(F.col("valid"), "completed").when(again, "retry").otherwise("failed")
     return used.withColumn("state", state).withColumn("next_retry_delay_ms", F.when(F.col("state") == "retry", queueing.retry_delay(F.col(attempts)))).drop("__size")
-
-
-def mirrored(spark: SparkSession, source: str, schema, out: str, checkpoint: str, key: str = "act_number", hash_: str = "content_hash", at: str = "captured_at", files: int = 100, every: str | None = None) -> StreamingQuery:
-    """Keeps out/current, the latest of each key, in step with new files, and out/log, what each batch changed.
-
-    Only rows that are new or whose hash changed are logged. Each batch writes a new folder out/current/v=n from the
-    one before, so a batch that is replayed gives the same. every: a trigger interval; without it what is there now.
-    """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-
-    def flush(batch: DataFrame, n: int) -> None:
-        session = batch.sparkSession
-        new = sync.latest(batch, key, F.desc(at))
-        old = session.read.schema(batch.schema).parquet(f"{out}/current/v={n - 1}") if n else batch.limit(0)
-        found = sync.changed(new, old, key, hash_).where("needed")
-        found.select(key, "sync_reason", hash_, at).write.mode("overwrite").parquet(f"{out}/log/batch={n}")
-        sync.upsert(old, new, key, at).write.mode("overwrite").parquet(f"{out}/current/v={n}")
-
-    writer = stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

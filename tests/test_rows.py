@@ -225,19 +225,6 @@ def test_corpus_errors(spark):
     assert got == [[], ["failed act missing failure_reason", "failed act missing attempts count"], ["title is not a string", "content is not a string", "marker_frequency is not an object"], ["failed act should have content_raw as null"]]
 
 
-def test_mirror(spark, tmp_path):
-    src, schema = tmp_path / "in", "act_number string, content_hash string, captured_at int"
-    put = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
-    run = lambda: capture.mirrored(spark, str(src), schema, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    put(("1", "a", 1), ("2", "b", 1), ("2", "c", 2))
-    run()
-    put(("1", "a", 3), ("3", "d", 3), ("2", "e", 3))
-    run()
-    now = {r.act_number: r.content_hash for r in spark.read.parquet(str(tmp_path / "out/current/v=1")).collect()}
-    log = {(r.act_number, r.sync_reason) for r in spark.read.parquet(str(tmp_path / "out/log/batch=1")).collect()}
-    assert now == {"1": "a", "2": "e", "3": "d"} and log == {("3", "new"), ("2", "content_changed")}
-
-
 def test_receipts_are_of_what_was_read_back(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([(1, "x" * 120)], "id int, content string").write.parquet(str(src))
