@@ -1,6 +1,6 @@
 """A small element tree for HTML, and the selectors that the page operators need.
 
-Selectors: tag, #id, .class, [attr], [attr=v], [attr*=v], combined and with descendants; lists with commas.
+Selectors: tag, #id, .class, [attr], [attr=v], [attr*=v], :not(.class), combined and with descendants; lists with commas.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ SAME = {"p", "li", "tr", "td", "th", "option", "dt", "dd"}
 INLINE = {"a", "abbr", "b", "em", "font", "i", "label", "mark", "s", "small", "span", "strong", "sub", "sup", "u"}
 #: Tags that end an open paragraph.
 BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
-_PART = re.compile(r"([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:([*^$]?=)[\"']?([^\"'\]]*)[\"']?)?\]")
+_PART = re.compile(r"([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:([*^$]?=)[\"']?([^\"'\]]*)[\"']?)?\]|:not\(\.([\w-]+)\)")
 
 
 class Comment:
@@ -154,7 +154,7 @@ def parse(html: str | None) -> Node:
 def _simple(selector: str):
     """A test of one element, and the key under which the index has all that can pass it."""
     tests, keys = [], []
-    for tag, ident, cls, attr, op, value in _PART.findall(selector):
+    for tag, ident, cls, attr, op, value, without_class in _PART.findall(selector):
         if tag and tag != "*":
             tests.append(lambda n, t=tag.lower(): n.tag == t)
             keys.append(("tag", tag.lower()))
@@ -164,6 +164,8 @@ def _simple(selector: str):
         elif cls:
             tests.append(lambda n, v=cls: v in (n.attrs.get("class") or "").split())
             keys.append(("class", cls))
+        elif without_class:
+            tests.append(lambda n, v=without_class: v not in (n.attrs.get("class") or "").split())
         elif attr:
             how = {"": lambda a, v: True, "=": lambda a, v: a == v, "*=": lambda a, v: v in a, "^=": lambda a, v: a.startswith(v), "$=": lambda a, v: a.endswith(v)}[op]
             tests.append(lambda n, k=attr, v=value, how=how: k in n.attrs and how(n.attrs[k] or "", v))

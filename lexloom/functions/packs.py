@@ -74,6 +74,15 @@ class Pages:
     links: str = "a[href]"
     link_id: str = r"(\d+)"
     noise: tuple[str, ...] = ()
+    # What marks schedules, and what a page that shows less than all has.
+    schedule_elements: tuple[str, ...] = (".schedule", "#schedule", ".tofshil", '[class*="schedule"]', '[id*="schedule"]', '[class*="tofshil"]')
+    schedule_boxes: tuple[str, ...] = ("#lawContent", ".law-content", ".act-details", ".boxed-layout", ".txt-details")
+    schedule_words: tuple[str, ...] = ("(?i)তফসিল", r"(?i)Schedule\s*[IVXLCDM\d]*", r"(?i)Appendix\s*[A-Z\d]*", r"(?i)Form\s*[A-Z\d]+")
+    pagination: tuple[str, ...] = (".pagination", ".page-nav", ".pager", ".page-numbers", "[data-page]", '[class*="pagination"]', '[class*="pager"]', 'nav[aria-label*="page"]', ".page-link", ".page-item")
+    pagination_words: str = r"(?i)[0-9]|page|next|prev|পৃষ্ঠা"
+    lazy: tuple[str, ...] = ("[data-src]", '[loading="lazy"]', ".lazy-load", ".lazy", "[data-lazy]", '[class*="lazy"]', "img[data-original]", "[data-srcset]")
+    external: tuple[str, ...] = ('a[href*="schedule"]', 'a[href*="appendix"]', 'a[href*="tofshil"]', 'a[href*="form"]', 'a[href*="annex"]', 'a[href*="attachment"]')
+    hidden: tuple[str, ...] = ('[style*="display:none"]', '[style*="display: none"]', "[hidden]", ".hidden", ".d-none", '[aria-hidden="true"]', ".collapse:not(.show)", ".tab-pane:not(.active)", '[style*="visibility:hidden"]', '[style*="visibility: hidden"]')
 
 
 # Fixed values from here on.
@@ -186,7 +195,7 @@ GENERIC = Pack(
 GENERIC_PAGES = Pages(
     container=".law", rows=".row", row_title=".head", row_body=".details", opening=(".opening",), preamble=".line", preamble_not="row",
     content=("#content", ".act-content"), fallback=("article", "main"), broader=("#content", ".act-content", "article", "main", "body"), meta=(".meta",), schedule=("table.schedule", ".schedule"),
-    excluded=("header", "nav", "footer", "aside", ".ad", "script", "style", "noscript"), links='a[href*="act-"]', link_id=r"act-(\d+)", noise=("(?m)^Top$", r"Copyright © \d{4}"),
+    excluded=("header", "nav", "footer", "aside", ".ad", "script", "style", "noscript"), links='a[href*="act-"]', link_id=r"act-(\d+)", noise=("(?m)^Top$", r"Copyright © \d{4}"), schedule_boxes=(".law", ".act-details"),
 )
 
 

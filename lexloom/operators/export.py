@@ -6,26 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.packs import LEGAL, Pack
-from . import citations, markers, quality
-from .html import risks as page_risks
+from ..functions.packs import LEGAL, LEGAL_PAGES, Pack, Pages
+from . import citations, markers, page_facts, quality
 
 
-#: Statements that go with every act: what the text is, and what must not be read into it.
+# Statements that go with every act: what the text is, and what must not be read into it.
 STATEMENTS = {
     "temporal_status": "historical_text", "temporal_disclaimer": "No inference of current legal force or applicability",
     "html_capture_definition": "Browser-rendered DOM text nodes", "dom_extraction_method": "textContent",
     "content_raw_disclaimer": "Represents browser-parsed DOM text via textContent, not raw HTML or server response bytes",
     "reference_semantics": "string_match_only", "reference_warning": "Keywords detected in proximity to citation strings. No legal relationship, effect, direction, or applicability is implied.",
     "negation_handling": "classification_suppression_only", "numeric_integrity": "best_effort_html_only", "numeric_warning": "Numeric expressions may be incomplete or malformed due to HTML source limitations",
-    "encoding_policy": "preserve_html_artifacts", "encoding_scope": "non-semantic, display-only",
+    "encoding_policy": "preserve_html_artifacts", "encoding_scope": "non-semantic, display-only", "source_authority": "bdlaws_html_only",
 }
+AUTHORITY_RANK = ("bdlaws_html",)
+CAPTURE_ENVIRONMENT = {"browser": "Chrome", "browser_engine": "Blink", "extraction_api": "element.textContent", "innerText_forbidden": True}
+TRUST_BOUNDARY = {
+    "can_trust": ("Text appeared on bdlaws HTML pages at extraction time", "No semantic rewriting was applied", "Transformations are logged"),
+    "must_not_trust": ("Legal validity", "Gazette equivalence", "Completeness", "Numerical accuracy", "Amendment correctness", "Post-extraction relevance"),
+}
+FORMATTING_SCOPE = "presentation_only"
+LOG = "array<struct<transformation_type:string,original:string,corrected:string,position:int,risk_level:string,applied:boolean,reason:string>>"
+
+
+def _listed(values) -> Column:
+    return F.array(*map(F.lit, values))
 
 
-def act(docs: DataFrame, pack: Pack = LEGAL, key: str = "act_number", title: str = "title", content: str = "content_raw", url: str = "url", volume: str = "volume_number", html: str | None = None, clean: bool = False) -> DataFrame:
+def act(docs: DataFrame, pack: Pack = LEGAL, key: str = "act_number", title: str = "title", content: str = "content_raw", url: str = "url", volume: str = "volume_number", html: str | None = None, clean: bool = False, rules: Pages = LEGAL_PAGES) -> DataFrame:
     """The derived record of each captured act: three layers of text, hash, references, status, markers, language, regions, schedules, risk and quality.
 
-    html: a column with the page, for extraction_risk and schedules; clean: content_corrected is the cleaned text.
+    html: a column with the page, parsed once by `rules` for extraction_risk and schedules; clean: content_corrected is
+    the cleaned text, transformation_log says what was changed, and formatting_scope stands where anything was.
     Null content counts as empty text, which has no hash. Keys are the acts', and rows of one key are one act.
     """
     docs = docs.withColumn(content, F.coalesce(F.col(content).cast("string"), F.lit("")))
@@ -35,9 +47,9 @@ def act(docs: DataFrame, pack: Pack = LEGAL, key: str = "act_number", title: str
     out = quality.assess(docs, pack, content).withColumn("__normal", T.nfc(c))
     if clean:
         fixed = quality.clean(out, pack, "__normal")
-        out = fixed.withColumns({"__corrected": F.col("content_corrected"), "flags": F.when(F.array_contains("cleaning_flags", "cleaning_applied"), F.array_append("flags", F.lit("cleaning_applied"))).otherwise(F.col("flags"))})
+        out = fixed.withColumns({"__corrected": F.col("content_corrected"), "__log": quality.transformation_log(), "__scope": F.when(F.size("transformations") > 0, FORMATTING_SCOPE), "flags": F.when(F.array_contains("cleaning_flags", "cleaning_applied"), F.array_append("flags", F.lit("cleaning_applied"))).otherwise(F.col("flags"))})
     else:
-        out = out.withColumn("__corrected", F.col("__normal"))
+        out = out.withColumns({"__corrected": F.col("__normal"), "__log": F.array().cast(LOG), "__scope": F.lit(None).cast("string")})
     refs = citations.deduplicated(citations.detect(docs, pack, key, content), key)
     one = F.struct(
         "citation_text", F.col("relation").alias("lexical_relation_type"), F.col("confidence").alias("lexical_relation_confidence"), "negation_present", "negation_word",
@@ -46,23 +58,23 @@ def act(docs: DataFrame, pack: Pack = LEGAL, key: str = "act_number", title: str
     refs = refs.groupBy(F.col(key).alias("__k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", one.alias("ref")))), lambda x: x["ref"]).alias("__refs"))  # bounded by one act's text
     out = out.join(refs, F.col(key) == F.col("__k"), "left")
     list_ = F.coalesce("__refs", F.array().cast(refs.schema["__refs"].dataType))
-    risk = page_risks(F.col(html)) if html else F.lit("")
-    page = F.col(html) if html else F.lit(None).cast("string")
-    tables = F.array_join(F.regexp_extract_all(page, F.lit(r"(?is)(<table.*?</table>)"), F.lit(1)), "")
+    out = out.withColumn("__facts", page_facts.of(F.col(html) if html else F.lit(None).cast("string"), rules))
+    risk = page_facts.risk("__facts.risks")
+    quality_ = F.struct("completeness", F.lit(quality.COMPLETENESS_DISCLAIMER).alias("completeness_disclaimer"), "flags", "ml_risk_factors", F.when(F.length(c) > 0, _listed(quality.LIMITATIONS)).otherwise(_listed(quality.EMPTY_LIMITATIONS)).alias("known_limitations"), F.lit(quality.ML_USAGE_WARNING).alias("ml_usage_warning"))
     return out.select(
         F.struct(F.col(key).cast("string").alias("internal_id"), F.lit("internal_id is the database identifier, not the legal citation number").alias("note")).alias("identifiers"),
         F.col(title).alias("title_raw"), T.nfc(F.col(title)).alias("title_normalized"),
         c.alias("content_raw"), F.col("__normal").alias("content_normalized"), F.col("__corrected").alias("content_corrected"), F.col(url).alias("url"), F.coalesce(F.nullif(F.col(volume), F.lit("")), F.lit("unknown")).alias("volume_number"),
         markers.legal_status(c, pack)[0].alias("legal_status"),
         F.struct(F.size(list_).cast("long").alias("count"), F.lit("pattern-based detection").alias("method"), F.lit("Detected via pattern matching. No legal force or applicability implied.").alias("disclaimer"), list_.alias("references")).alias("lexical_references"),
-        F.struct(F.lit("raw_html").alias("representation"), F.lit("verbatim_dom_capture").alias("extraction_method"), F.lit(False).alias("processed"), F.nullif(tables, F.lit("")).alias("html_content")).alias("schedules"),
+        page_facts.schedule("__facts.schedules", "__facts.names_schedules").alias("schedules"), F.col("__log").alias("transformation_log"),
         markers.protected_types(c, pack).alias("protected_sections"),
         F.transform(markers.numeric_regions(c, pack), lambda r: F.struct(r["start"].cast("long").alias("start"), r["end"].cast("long").alias("end"), r["type"].alias("type"), F.lit(True).alias("numeric_integrity_sensitive"))).alias("numeric_regions"),
-        F.struct("completeness", "flags", "ml_risk_factors").alias("data_quality"),
-        F.struct((risk != "").alias("possible_truncation"), F.when(risk == "", "none").otherwise(risk).alias("reason")).alias("extraction_risk"),
+        quality_.alias("data_quality"), risk.alias("extraction_risk"),
         markers.number_scripts(c, pack)["numeric_representation"].alias("numeric_representation"), F.struct(bn.alias("bn_ratio"), en.alias("en_ratio")).alias("language_distribution"),
         shown.alias("editorial_content_present"), markers.marker_frequency(c, pack).alias("marker_frequency"), T.content_hash(c).alias("content_raw_sha256"),
-        *[F.lit(v).alias(k) for k, v in STATEMENTS.items()],
+        *[F.lit(v).alias(k) for k, v in STATEMENTS.items()], _listed(AUTHORITY_RANK).alias("authority_rank"), F.struct(*[F.lit(v).alias(k) for k, v in CAPTURE_ENVIRONMENT.items()]).alias("capture_environment"),
+        F.struct(*[_listed(v).alias(k) for k, v in TRUST_BOUNDARY.items()]).alias("trust_boundary"), F.col("__scope").alias("formatting_scope"),
     )
 
 

@@ -88,12 +88,6 @@ def body_text(html: Column, excluded=("script", "style", "nav", "header", "foote
     return T.trim(F.regexp_replace(plain(F.regexp_replace(out, r"(?i)</(?:p|div|h[1-6]|li|tr)>|<br\s*/?>", " ")), f"[{T.WS}]+", " "))
 
 
-def risks(html: Column) -> Column:
-    """Signs that a page shows less than all, joined by commas: pagination, lazy_load, external_link, hidden_dom."""
-    signs = {"pagination": r"(?i)class\s*=\s*[\"'][^\"']*(?:pagination|pager|next-page)", "lazy_load": r"(?i)data-src|loading\s*=\s*[\"']lazy|infinite-scroll", "external_link": r"(?i)href\s*=\s*[\"'][^\"']*\.(?:pdf|docx?)[\"']", "hidden_dom": r"(?i)display\s*:\s*none|\shidden[\s>]"}
-    return F.array_join(F.array_compact(F.array(*[F.when(html.rlike(p), F.lit(k)) for k, p in signs.items()])), ", ")
-
-
 def extract(pages: DataFrame, selectors: list[str], fallback: list[str], excluded: list[str], html: str = "html", signal=None) -> DataFrame:
     """pages with content, method, selector, attempts, extraction_success.
 

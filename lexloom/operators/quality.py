@@ -20,6 +20,19 @@ RISKS = {
 }
 
 
+# How issues are described, and what goes with every assessment.
+DESCRIPTIONS = {"quote": "Corrupted quotation mark", "table_border": "Corrupted table border"}
+OCR_CONTEXT = {"প্রম্্নফ": "London Proof", "অতগরটির": "letter reference"}
+COMPLETENESS_DISCLAIMER = "Website representation incomplete; legal completeness unknown"
+ML_USAGE_WARNING = "HTML artifacts, encoding noise, and structural gaps are present; suitable only for exploratory retrieval and analysis. Not validated for training or evaluation."
+LIMITATIONS = (
+    "Section boundary detection is presentation-dependent", "Gazette PDF comparison is out of scope", "Amendment chain inference is prohibited",
+    "Preamble and enactment clause may not be present in all HTML extractions", "Statutory footnotes may be incomplete or missing from source HTML",
+)
+EMPTY_LIMITATIONS = ("Preamble and enactment clause may not be present in all HTML extractions", "Statutory footnotes may be incomplete or missing from source HTML", "Section boundary detection is presentation-dependent")
+INTENDED_USE = ("retrieval", "extractive_question_answering")
+
+
 def encoding_issues(docs: DataFrame, pack: Pack = LEGAL, key: str = "doc_id", text: str = "text", width: int = 20) -> DataFrame:
     """A row for each wrongly decoded character: key, rule, position, found, context."""
     patterns = {k: p for k, (p, _) in pack.encoding.items()}
@@ -81,6 +94,51 @@ def assess(docs: DataFrame, pack: Pack = LEGAL, text: str = "text") -> DataFrame
     return out.withColumns({"completeness": completeness(F.col("flags")), "safe_for_ml": safe_for_training(F.col("flags"), F.col("ml_risk_factors")), "has_preamble": markers.preamble(c, pack)["has"], "has_enactment": markers.enactment(c, pack)["has"], "footnotes": markers.footnotes(c, pack), "editorial_content": shown, "editorial_kinds": kinds})
 
 
+def issues(c: Column, pack: Pack = LEGAL, least: int = 500) -> Column:
+    """What is wrong with a text, in words: named schedules with too little after them, wrongly decoded characters, misread words."""
+    rest = lambda m: F.length(T.trim(F.substr(c, m["position"] + F.length(m["text"]) + 1)))
+    named = T.find_each(c, {str(i): p for i, p in enumerate(pack.missing_schedules)})
+    named = F.array_distinct(F.transform(named, lambda m: F.struct(m["text"].alias("text"), m["position"].alias("position"), rest(m).alias("rest"))))
+    short = F.transform(F.filter(named, lambda m: m["rest"] < least), lambda m: F.concat(F.lit('Schedule "'), m["text"], F.lit('" referenced but content appears missing (only '), m["rest"], F.lit(" chars after reference)")))
+    said = F.create_map(*[F.lit(x) for k in pack.encoding for x in (k, DESCRIPTIONS.get(k, k))])
+    wrong = F.transform(T.find_each(c, {k: p for k, (p, _) in pack.encoding.items()}), lambda m: F.concat(F.try_element_at(said, m["kind"]), F.lit(': "'), m["text"], F.lit('" at position '), m["position"]))
+    texts = {k: f'OCR artifact: "{k}" should be "{v}"' + (f" ({OCR_CONTEXT[k]})" if k in OCR_CONTEXT else "") for k, v in pack.ocr.items()}
+    fixed = F.create_map(*[F.lit(x) for kv in texts.items() for x in kv]) if texts else F.create_map().cast("map<string,string>")
+    misread = F.transform(T.find_each(c, {k: re.escape(k) for k in pack.ocr}), lambda m: F.try_element_at(fixed, m["kind"]))
+    return F.concat(short, wrong, misread)
+
+
+def assessment(docs: DataFrame, pack: Pack = LEGAL, text: str = "text", numeric_risk: Column | None = None, encoding_ambiguity: Column | None = None, missing_schedules_: Column | None = None, heavy_ocr: Column | None = None, editorial: Column | None = None) -> DataFrame:
+    """docs with data_quality: the whole assessment of a text as a struct, with its issues, risks, limitations and warnings.
+
+    numeric_risk, encoding_ambiguity, missing_schedules_, heavy_ocr, editorial: what the caller knows besides; false by
+    default. Null and empty texts are complete, without issues, and safe.
+    """
+    c, no = F.col(text), F.lit(False)
+    given = lambda x: no if x is None else F.coalesce(x, no)
+    out = docs.withColumn("__f", flags(c, pack))
+    has = lambda x: F.array_contains("__f", x)
+    names = {"missing_schedule_content": has("missing_schedule") | given(missing_schedules_), "encoding_ambiguity": has("encoding_error") | given(encoding_ambiguity), "numeric_corruption_risk": given(numeric_risk), "heavy_ocr_correction": given(heavy_ocr)}
+    # found risks come first, then those that the caller names
+    found = [F.when(has("missing_schedule"), F.lit("missing_schedule_content")), F.when(has("encoding_error"), F.lit("encoding_ambiguity"))]
+    named = [F.when(names[k], F.lit(k)) for k in ("numeric_corruption_risk", "encoding_ambiguity", "missing_schedule_content", "heavy_ocr_correction")]
+    risks = F.array_distinct(F.array_compact(F.array(*found, *named)))
+    opening, enacted, notes = markers.preamble(c, pack), markers.enactment(c, pack), markers.footnotes(c, pack)
+    factors = [F.when(names[k], F.lit(k)) for k in ("numeric_corruption_risk", "encoding_ambiguity", "missing_schedule_content", "heavy_ocr_correction")]
+    factors += [F.when(~opening["has"], F.lit("preamble_not_detected")), F.when(~enacted["has"], F.lit("enactment_clause_not_detected"))]
+    empty, none = F.coalesce(F.length(c), F.lit(0)) == 0, F.array().cast("array<string>")
+    listed = lambda values: F.array(*map(F.lit, values))
+    unless = lambda x, other: F.when(empty, other).otherwise(x)
+    record = F.struct(
+        unless(completeness(F.col("__f")), F.lit("complete")).alias("completeness"), F.lit(COMPLETENESS_DISCLAIMER).alias("completeness_disclaimer"), unless(F.col("__f"), none).alias("flags"), unless(issues(c, pack), none).alias("issues"),
+        unless(risks, none).alias("risks"), unless(listed(LIMITATIONS), listed(EMPTY_LIMITATIONS)).alias("known_limitations"), unless(safe_for_training(F.col("__f"), risks, given(numeric_risk), given(heavy_ocr)), F.lit(True)).alias("safe_for_ml_training"),
+        F.lit(ML_USAGE_WARNING).alias("ml_usage_warning"), unless(F.array_compact(F.array(*factors)), none).alias("ml_risk_factors"), listed(INTENDED_USE).alias("intended_ml_use"),
+        unless(opening["has"], no).alias("preamble_present"), unless(opening["markers"], none).alias("preamble_markers"), unless(enacted["has"], no).alias("enactment_clause_present"),
+        unless(notes > 0, no).alias("statutory_footnotes_present"), unless(notes, F.lit(0).cast("long")).alias("statutory_footnote_count"), given(editorial).alias("editorial_content_present"),
+    )
+    return out.withColumn("data_quality", record).drop("__f")
+
+
 def schedule_errors(html: Column, representation: Column, processed: Column) -> Column:
     """What is wrong with a schedule record; empty if nothing is."""
     return F.array_compact(F.array(F.when(html.isNull(), F.lit("missing html_content")), F.when(F.coalesce(representation, F.lit("")) != "raw_html", F.lit("representation must be raw_html")), F.when(F.coalesce(processed, F.lit(True)), F.lit("must not be processed"))))
@@ -131,12 +189,34 @@ def _outside(c: Column, patterns: list[str], *regions: Column) -> tuple[Column,
     return F.filter(found, lambda m: ~T.in_any(m, *regions)), F.filter(found, lambda m: T.in_any(m, *regions))
 
 
+def _of(matches: str, kind: str, test=None) -> Column:
+    """How many matches of a kind there are, of those that pass a test."""
+    return F.size(F.filter(matches, lambda m: (m["kind"] == kind) if test is None else (m["kind"] == kind) & test(m))).cast("long")
+
+
+def _record(kind: str, rule: str, replacement: str, count: Column, skipped: Column, reason: str) -> Column:
+    """What became of the matches of a rule; null without any."""
+    fields = F.struct(F.lit(kind).alias("type"), F.lit(rule).alias("rule"), F.lit(replacement).alias("replacement"), count.alias("count"), skipped.alias("skipped_count"), F.when(count == 0, reason).alias("skipped_reason"), (count > 0).alias("applied"))
+    return F.when(count + skipped > 0, fields)
+
+
+def transformation_log(transformations: str = "transformations", flagged: str = "ocr_flagged") -> Column:
+    """The log of a cleaned text, from clean(): what each rule did, then the misread words in protected sections, each with its risk."""
+    fix, read = RISKS["encoding_fix"], RISKS["ocr_correction"]
+    name = lambda t: F.when(t["type"] == "encoding_repair", "encoding_fix").otherwise(t["type"])
+    entry = lambda kind, a, b, at, level, applied, reason: F.struct(kind.alias("transformation_type"), a.alias("original"), b.alias("corrected"), at.cast("int").alias("position"), level.alias("risk_level"), applied.alias("applied"), reason.alias("reason"))
+    done = F.transform(transformations, lambda t: entry(name(t), t["rule"], t["replacement"], F.lit(0), F.when(t["type"] == "ocr_correction", read).otherwise(fix), t["applied"], F.lit(None).cast("string")))
+    left = F.transform(flagged, lambda m: entry(F.lit("ocr_correction"), m["incorrect"], m["correct"], m["position"], F.lit(read), F.lit(False), F.lit("protected_section_enforcement")))
+    return F.concat(done, left)
+
+
 def clean(docs: DataFrame, pack: Pack = LEGAL, text: str = "text") -> DataFrame:
     """docs with content_corrected, the counts of changes and of what was left alone, cleaning_flags and ocr_flagged.
 
     Numeric and protected regions are those of the text as it came; encoding repairs, OCR corrections and list breaks
     follow one another, and each leaves matches that overlap a numeric region. OCR matches in protected regions are
-    listed in ocr_flagged (incorrect, correct, position) and not changed. Null text counts as empty.
+    listed in ocr_flagged (incorrect, correct, position) and not changed. transformations has, for each rule that found
+    something, how often it was applied and passed over, and why it wasn't applied. Null text counts as empty.
     """
     c = F.coalesce(F.col(text), F.lit(""))
     ocr, wrong = [re.escape(k) for k in pack.ocr], [p for p, _ in pack.encoding.values()]
@@ -157,6 +237,15 @@ def clean(docs: DataFrame, pack: Pack = LEGAL, text: str = "text") -> DataFrame:
         "ocr_flagged": F.transform(flagged(True), lambda m: F.struct(m["text"].alias("incorrect"), F.try_element_at(right, m["kind"]).alias("correct"), m["position"].alias("position"))),
         "list_breaks": made, "lists_skipped": left,
     })
+    records = []
+    for name, (p, to) in pack.encoding.items():
+        records.append(_record("encoding_repair", DESCRIPTIONS.get(name, name), to, _of("__e.col1", p), _of("__e.col2", p), "numeric_region_protection"))
+    for k, v in pack.ocr.items():
+        kept, over = _of("__o.col1", re.escape(k), lambda m: ~T.overlaps(g, m["position"], m["position"] + F.length(m["text"]))), _of("__o.col1", re.escape(k), lambda m: T.overlaps(g, m["position"], m["position"] + F.length(m["text"])))
+        records += [_record("ocr_correction", k, v, F.lit(0).cast("long"), over, "protected_section_enforcement"), _record("ocr_correction", k, v, kept, _of("__o.col2", re.escape(k)), "numeric_region_protection")]
+    for i in range(len(pack.lists)):
+        records.append(_record("formatting", "list_separation", "\n", n_of(F.col(f"__l{i}.col1")), n_of(F.col(f"__l{i}.col2")), "numeric_region_protection"))
+    out = out.withColumn("transformations", F.array_compact(F.array(*records)))
     skipped = F.col("encoding_skipped") + F.col("ocr_skipped") + F.col("lists_skipped") > 0
     touched = F.col("encoding_repairs") + F.col("ocr_corrections") + F.col("list_breaks") + F.size("ocr_flagged") > 0
     names = {"cleaning_applied": touched | skipped, "numeric_regions_protected": skipped, "protected_sections_enforced": F.size("ocr_flagged") > 0}

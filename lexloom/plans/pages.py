@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.packs import GENERIC, GENERIC_PAGES
-from ..operators import acts, export, html, markers, queueing, urls
+from ..operators import acts, export, html, markers, page_facts, queueing, urls
 from .queries import SITE, _A, _ARTICLE, _HOST, _LINKS, _PATH, _plain_sql, _text_sql
 from .registry import n_of, query, table
 
@@ -16,13 +16,13 @@ from .registry import n_of, query, table
 
 
 def _catalog_page(spark, sf):
-    """A page of one data table for each nation, a row for each of its suppliers."""
+    """A page of one data table for each 20 suppliers, a row for each."""
     s = table(spark, sf, "supplier").withColumn("k", F.concat(F.lit('<tr class="x"><td>'), "s_suppkey", F.lit('</td><td><a href="/act-'), "s_suppkey", F.lit('.html"> '), "s_name", F.lit(" &amp; Act</a></td><td>"), F.col("s_suppkey") * 3, F.lit("</td></tr>")))
-    rows = s.groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("s_suppkey", "k")))["k"], "").alias("r"))
-    return rows.select(F.col("s_nationkey").alias("page_id"), F.concat(F.lit('<html><table class="table-search"><tbody>'), "r", F.lit("<tr><td>only one cell</td></tr></tbody></table></html>")).alias("html"))
+    rows = s.groupBy(F.expr("s_suppkey div 20").alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("s_suppkey", "k")))["k"], "").alias("r"))
+    return rows.select("page_id", F.concat(F.lit('<html><table class="table-search"><tbody>'), "r", F.lit("<tr><td>only one cell</td></tr></tbody></table></html>")).alias("html"))
 
 
-@query("SELECT s_nationkey AS page_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS row_index, CAST(s_suppkey AS VARCHAR) AS id, s_name || ' & Act' AS title, '/act-' || s_suppkey || '.html' AS url, CAST(s_suppkey * 3 AS VARCHAR) AS act_number FROM supplier")
+@query("SELECT s_suppkey // 20 AS page_id, CAST(row_number() OVER (PARTITION BY s_suppkey // 20 ORDER BY s_suppkey) - 1 AS INTEGER) AS row_index, CAST(s_suppkey AS VARCHAR) AS id, s_name || ' & Act' AS title, '/act-' || s_suppkey || '.html' AS url, CAST(s_suppkey * 3 AS VARCHAR) AS act_number FROM supplier")
 def table_links(spark, sf):
     return html.table_links(_catalog_page(spark, sf))
 
@@ -66,17 +66,17 @@ def act_content(spark, sf):
 
 
 def _law_page(spark, sf):
-    """A structured page for each size of part: opening, preamble line, and a section row for each part, some with a table or a link."""
+    """A structured page for each 20 parts: opening, preamble line, and a section row for each part, some with a table or a link."""
     p, k = table(spark, sf, "part"), F.col("p_partkey")
     grid = F.concat(F.lit("<table><tr><td rowspan=2>"), "p_brand", F.lit("</td><td>a</td></tr><tr><td>b</td></tr></table>"))
     link = F.concat(F.lit(' see <a href="/act-'), k, F.lit('.html">Law '), k, F.lit("</a>"))
     row = F.concat(F.lit('<div class="row"><b class="head x">'), k, F.lit(". Title</b><div class='details'>part of "), "p_type", F.when(k % 3 == 0, grid).otherwise(F.lit("")), F.when(k % 2 == 0, link).otherwise(F.lit("")), F.lit("</div></div>"))
-    rows = p.groupBy("p_size").agg(F.array_join(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("h"))))["h"], "").alias("r"))
-    return rows.select(F.col("p_size").alias("page_id"), F.concat(F.lit('<title>Parts - site</title><div class="law"><div class="opening"> No '), "p_size", F.lit('</div><p class="line">Whereas</p><p class="line row"></p>'), "r", F.lit("</div><footer>Top</footer>")).alias("html"))
+    rows = p.groupBy(F.expr("p_partkey div 20").alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("h"))))["h"], "").alias("r"))
+    return rows.select("page_id", F.concat(F.lit('<title>Parts - site</title><div class="law"><div class="opening"> No '), "page_id", F.lit('</div><p class="line">Whereas</p><p class="line row"></p>'), "r", F.lit("</div><footer>Top</footer>")).alias("html"))
 
 
 _BODY = "'part of ' || p_type || CASE WHEN p_partkey % 3 = 0 THEN p_brand || 'ab' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN ' see Law ' || p_partkey ELSE '' END"
-_LI = f"SELECT p_size AS page_id, p_partkey AS n, {_BODY} AS body, p_brand, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS INTEGER) AS k_at FROM part"
+_LI = f"SELECT p_partkey // 20 AS page_id, p_partkey AS n, {_BODY} AS body, p_brand, CAST(row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) AS INTEGER) AS k_at FROM part"
 
 
 #: The generic pack with the short forms of citations that scopes look for.
@@ -144,10 +144,48 @@ def schedule_distinction(spark, sf):
     return rows.where("schedule_references = 0").select("page_id", "schedule_references", "schedule_tables", "missing_schedule")
 
 
-@query("SELECT p_size AS page_id, count(*) FILTER (p_partkey % 3 = 0) > 0 AS has_schedule, count(DISTINCT p_brand) FILTER (p_partkey % 3 = 0) AS n_distinct FROM part GROUP BY p_size")
+@query(f"""WITH l AS ({_LI}), d AS (SELECT page_id, p_brand, min(n) AS n FROM l WHERE n % 3 = 0 GROUP BY ALL)
+SELECT page_id, string_agg('<table><tbody><tr><td rowspan="2">' || p_brand || '</td><td>a</td></tr><tr><td>b</td></tr></tbody></table>', chr(10) || chr(10) ORDER BY n) AS html_content, CAST(count(*) AS INTEGER) AS schedule_count, TRUE AS has_tables, FALSE AS missing FROM d GROUP BY page_id""".replace("<tbody>", "").replace("</tbody>", ""))
 def schedule_markup(spark, sf):
-    s = html.schedules(_law_page(spark, sf), ["table", ".schedule"])
-    return s.select("page_id", (F.size("schedules") > 0).alias("has_schedule"), F.size("schedules").cast("long").alias("n_distinct"))
+    """The markup of the schedules of a page as it is, equal ones once; pages without any have no row."""
+    s = page_facts.parsed(_law_page(spark, sf), GENERIC_PAGES).select("page_id", page_facts.schedule().alias("s"))
+    return s.where("s.schedule_count > 0").select("page_id", "s.html_content", "s.schedule_count", "s.has_tables", F.col("s.missing_schedule_flag").alias("missing"))
+
+
+@query(f"""WITH l AS ({_LI}) SELECT page_id, 'links' AS kind, 'Law ' || n || ' ' || n AS what, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INTEGER) AS at FROM l WHERE n % 2 = 0
+UNION ALL SELECT page_id, 'tables', p_brand || ' 2 2', CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INTEGER) FROM l WHERE n % 3 = 0
+UNION ALL SELECT page_id, 'sections', n || '. Title|' || body || '|' || CASE WHEN n % 3 = 0 THEN 'table' ELSE '' END, k_at FROM l""")
+def page_rows(spark, sf):
+    """Links, tables and sections of a page from one parse."""
+    f = page_facts.staged(_law_page(spark, sf), GENERIC_PAGES)
+    links = page_facts.rows(f, "links").select("page_id", F.lit("links").alias("kind"), F.concat_ws(" ", "title", "act_id").alias("what"), "at")
+    tables = page_facts.rows(f, "tables").select("page_id", F.lit("tables").alias("kind"), F.concat_ws(" ", F.col("data")[0][0], "row_count", "col_count").alias("what"), "at")
+    sections = page_facts.rows(f, "sections").where("title <> ''").select("page_id", F.lit("sections").alias("kind"), F.concat_ws("|", "title", "body", F.when(F.col("has_table") & F.contains("html", F.lit("<table>")), "table").otherwise("")).alias("what"), "at")
+    return links.unionByName(tables).unionByName(sections)
+
+
+def _risky_page(spark, sf):
+    """A page for each customer, in eight kinds that show less than all or only seem to."""
+    name, k = F.col("c_name"), F.col("c_custkey") % 8
+    paged, late = F.concat(F.lit('<ul class="pagination"><li>'), name, F.lit(" of 9</li></ul>")), F.lit('<img data-src="x.png">')
+    kinds = [paged, F.lit('<div class="pager"> </div>'), late, F.lit('<a href="#schedule">Schedule I</a><a href="javascript:form()">f</a>'), F.concat(F.lit('<a href="/schedule/'), name, F.lit('"> the &amp; rest</a>')), F.concat(F.lit("<p hidden> "), F.repeat(name, F.lit(4)), F.lit("</p>")), F.concat(F.lit('<p style="display: none">'), name, F.lit("</p><div class='schedule'>a &lt; b</div>")), F.concat(paged, late, F.lit('<div class="collapse show">'), F.repeat(name, F.lit(4)), F.lit("</div>"))]
+    page = kinds[0]
+    for i, x in enumerate(kinds[1:], 1):
+        page = F.when(k == i, x).otherwise(page)
+    return table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("<body>"), page, F.lit("</body>")).alias("html"))
+
+
+@query("""SELECT c_custkey, c_custkey % 8 IN (0, 2, 4, 5, 7) AS possible_truncation, CASE c_custkey % 8 WHEN 0 THEN 'pagination' WHEN 2 THEN 'lazy_load' WHEN 4 THEN 'external_link' WHEN 5 THEN 'hidden_dom' WHEN 7 THEN 'pagination, lazy_load' ELSE 'none' END AS reason, CASE c_custkey % 8 WHEN 0 THEN 2 WHEN 2 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1 WHEN 7 THEN 3 ELSE 0 END AS n_risks,
+CASE c_custkey % 8 WHEN 0 THEN c_name || ' of 9' WHEN 4 THEN 'the & rest' WHEN 5 THEN c_name || c_name || c_name || c_name WHEN 7 THEN c_name || ' of 9' END AS sample FROM customer""")
+def extraction_risk(spark, sf):
+    f = page_facts.parsed(_risky_page(spark, sf), GENERIC_PAGES, "c_custkey").select("c_custkey", page_facts.risk().alias("r"))
+    return f.select("c_custkey", "r.possible_truncation", "r.reason", F.size("r.detected_risks").alias("n_risks"), F.try_element_at("r.detected_risks", F.lit(1))["sample_text"].alias("sample"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 8 = 6 THEN 1 ELSE 0 END AS schedule_count, c_custkey % 8 = 3 AS missing, CASE WHEN c_custkey % 8 = 6 THEN '<div class="schedule">a &lt; b</div>' END AS html_content FROM customer""")
+def schedule_capture(spark, sf):
+    f = page_facts.parsed(_risky_page(spark, sf), GENERIC_PAGES, "c_custkey").select("c_custkey", page_facts.schedule().alias("s"))
+    return f.select("c_custkey", "s.schedule_count", F.col("s.missing_schedule_flag").alias("missing"), "s.html_content")
 
 
 @query(r"""SELECT page_id, TRUE AS has_title, regexp_matches(html, '(?is)<body.*under the') AS has_enactment, FALSE AS has_structure, length(html) > 0 AS has_page FROM pages""")

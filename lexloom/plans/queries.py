@@ -193,6 +193,16 @@ def cleaning_protection(spark, sf):
     return c.select("doc_id", "encoding_repairs", "encoding_skipped", "ocr_corrections", "ocr_skipped", F.size("ocr_flagged").cast("long").alias("n_flagged"), "list_breaks", "lists_skipped", F.array_join("cleaning_flags", ",").alias("flags"))
 
 
+@query(f"""WITH {_CLEANED}, t AS (SELECT encoding_repairs > 0 AS e, encoding_repairs + encoding_skipped > 0 AS es, n_flagged > 0 AS f, ocr_corrections > 0 AS o, ocr_corrections + ocr_skipped > 0 AS os, n_flagged, list_breaks > 0 AS l, list_breaks + lists_skipped > 0 AS ls FROM x)
+SELECT transformation_type, risk_level, applied, reason, CAST(sum(n) AS BIGINT) AS n FROM (
+SELECT 'ocr_correction' AS transformation_type, 'potential-semantic' AS risk_level, o AS applied, CAST(NULL AS VARCHAR) AS reason, 1 AS n FROM t WHERE os UNION ALL SELECT 'ocr_correction', 'potential-semantic', FALSE, NULL, 1 FROM t WHERE f
+UNION ALL SELECT 'ocr_correction', 'potential-semantic', FALSE, 'protected_section_enforcement', n_flagged FROM t WHERE f UNION ALL SELECT 'formatting', 'non-semantic', l, NULL, 1 FROM t WHERE ls) GROUP BY ALL""")
+def transformation_log(spark, sf):
+    """The log of cleaning, but for its encoding repairs, which cleaning_protection counts."""
+    c = quality.clean(table(spark, sf, "documents"), GENERIC).select(F.explode(quality.transformation_log()).alias("t")).select("t.*")
+    return c.where("transformation_type <> 'encoding_fix'").groupBy("transformation_type", "risk_level", "applied", "reason").agg(F.count("*").alias("n"))
+
+
 @query(f"""SELECT doc_id, m.text AS incorrect, m.position AS position FROM (SELECT doc_id, unnest({found('text', 'thth', 'thth')}) AS m FROM documents)""")
 def ocr_issues(spark, sf):
     return quality.ocr_issues(table(spark, sf, "documents"), GENERIC)
@@ -222,6 +232,17 @@ def quality_assessment(spark, sf):
     return a.groupBy("source", "completeness").agg(F.count("*").alias("n"), F.count(F.when(F.col("safe_for_ml"), 1)).alias("n_safe"))
 
 
+@query(f"""WITH {_FLAGS}, s2 AS (SELECT DISTINCT doc_id, m.text, m.position FROM (SELECT doc_id, text, unnest({all_found('text', _MISSING)}) AS m FROM documents) WHERE {_SHORT} < 500), k AS (SELECT doc_id, count(*) AS n FROM s2 GROUP BY doc_id)
+SELECT f.doc_id, CASE WHEN missing THEN 'textual_partial' ELSE 'complete' END AS completeness, coalesce(k.n, 0) + {n_of('text', ENC)} + {n_of('text', 'thth')} AS n_issues, concat_ws(',', CASE WHEN missing THEN 'missing_schedule_content' END, CASE WHEN enc THEN 'encoding_ambiguity' END, CASE WHEN d.lang = 'fr' THEN 'heavy_ocr_correction' END) AS risks,
+  NOT (missing OR enc OR d.lang = 'fr') AS safe, CASE WHEN length(text) > 0 THEN 5 ELSE 3 END AS n_limitations, concat_ws(',', CASE WHEN enc THEN 'encoding_ambiguity' END, CASE WHEN missing THEN 'missing_schedule_content' END, CASE WHEN d.lang = 'fr' THEN 'heavy_ocr_correction' END, CASE WHEN NOT regexp_matches(text, 'Licensed|Released') THEN 'preamble_not_detected' END, CASE WHEN NOT contains(text, 'under the') THEN 'enactment_clause_not_detected' END) AS ml_risk_factors
+FROM f JOIN documents d USING (doc_id) LEFT JOIN k USING (doc_id) WHERE length(text) > 0""")
+def assessment_record(spark, sf):
+    """The whole assessment; one language is known to be heavily corrected."""
+    a = quality.assessment(table(spark, sf, "documents").where("length(text) > 0"), GENERIC, heavy_ocr=F.col("lang") == "fr")
+    q_, n = F.col("data_quality"), lambda x: F.size(x).cast("long")
+    return a.select("doc_id", q_["completeness"].alias("completeness"), n(q_["issues"]).alias("n_issues"), F.array_join(q_["risks"], ",").alias("risks"), q_["safe_for_ml_training"].alias("safe"), F.size(q_["known_limitations"]).alias("n_limitations"), F.array_join(q_["ml_risk_factors"], ",").alias("ml_risk_factors"))
+
+
 @query(f"WITH {_FLAGS} SELECT l.quality, NOT (missing OR enc OR ocr) AS safe_for_ml, count(*) AS n FROM f JOIN labels l USING (doc_id) GROUP BY ALL")
 def ml_safety_vs_labels(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
@@ -379,11 +400,6 @@ def body_fallback(spark, sf):
     return table(spark, sf, "pages").select("page_id", html.body_text(F.col("html")).alias("body"))
 
 
-@query(r"""SELECT page_id, concat_ws(', ', CASE WHEN regexp_matches(html, '(?i)class\s*=\s*["''][^"'']*(?:pagination|pager|next-page)') THEN 'pagination' END, CASE WHEN regexp_matches(html, '(?i)data-src|loading\s*=\s*["'']lazy|infinite-scroll') THEN 'lazy_load' END, CASE WHEN regexp_matches(html, '(?i)href\s*=\s*["''][^"'']*\.(?:pdf|docx?)["'']') THEN 'external_link' END, CASE WHEN regexp_matches(html, '(?i)display\s*:\s*none|\shidden[\s>]') THEN 'hidden_dom' END) AS risk FROM pages""")
-def extraction_risk(spark, sf):
-    return table(spark, sf, "pages").select("page_id", html.risks(F.col("html")).alias("risk"))
-
-
 @query("SELECT page_id, regexp_matches(html, '(?is)<h1') OR regexp_matches(html, '(?is)<article') OR length(html) >= 100 AND contains(html, 'the ') AS ready, CASE WHEN regexp_matches(html, '(?is)<h1') THEN 'title' WHEN regexp_matches(html, '(?is)<article') THEN 'dom_structure' WHEN length(html) >= 100 AND contains(html, 'the ') THEN 'content_threshold_with_signal' END AS signal_type FROM pages")
 def readiness_decision(spark, sf):
     h = F.col("html")

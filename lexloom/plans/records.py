@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.packs import GENERIC
+from ..functions.packs import GENERIC, GENERIC_PAGES
 from ..operators import acts, citations, contains, export, manifest, markers, quality, queueing, recovery, structure, sync
 from ..sources import files, scratch
 from ..streaming import capture
@@ -253,16 +253,18 @@ def migration_verified(spark, sf):
 
 
 def _acts(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("act_number"), F.col("lang").alias("title"), F.col("text").alias("content_raw"), F.concat(F.lit("u"), "doc_id").alias("url"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("volume_number"), F.when(F.col("doc_id") % 4 == 0, F.lit("<div class='pager'><table><tr></tr></table>")).alias("page"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("act_number"), F.col("lang").alias("title"), F.col("text").alias("content_raw"), F.concat(F.lit("u"), "doc_id").alias("url"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("volume_number"), F.when(F.col("doc_id") % 4 == 0, F.lit("<div class='pager'>page 1</div><div class='act-details'><table><tr></tr></table></div>")).alias("page"))
 
 
 @query(f"""WITH RECURSIVE {_CITED}, o AS (SELECT doc_id, position, citation_text, row_number() OVER (PARTITION BY doc_id ORDER BY position, length(citation_text) DESC) AS n FROM z),
 k AS (SELECT *, position + length(citation_text) AS e, TRUE AS kept FROM o WHERE n = 1 UNION ALL SELECT o.*, CASE WHEN o.position < k.e THEN k.e ELSE o.position + length(o.citation_text) END, o.position >= k.e FROM k JOIN o ON o.doc_id = k.doc_id AND o.n = k.n + 1), nc AS (SELECT doc_id, count(*) AS n FROM k WHERE kept GROUP BY doc_id), nm AS (SELECT doc_id, count(*) AS n FROM ({merged_sql(GENERIC.numeric)}) GROUP BY doc_id)
-SELECT CAST(doc_id AS VARCHAR) AS internal_id, CASE WHEN doc_id % 3 > 0 THEN source ELSE 'unknown' END AS volume_number, CASE WHEN contains(text, 'trash') THEN 'repealed' ELSE 'active' END AS legal_status, coalesce(nc.n, 0) AS n_references, coalesce(nm.n, 0) AS n_regions, {n_of('text', 'the ')} AS n_the, CASE WHEN length(text) > 0 THEN sha256(text) END AS content_raw_sha256, CASE WHEN doc_id % 4 = 0 THEN 'pagination' ELSE 'none' END AS risk, CASE WHEN doc_id % 4 = 0 THEN '<table><tr></tr></table>' END AS schedule_html, 'string_match_only' AS reference_semantics
+SELECT CAST(doc_id AS VARCHAR) AS internal_id, CASE WHEN doc_id % 3 > 0 THEN source ELSE 'unknown' END AS volume_number, CASE WHEN contains(text, 'trash') THEN 'repealed' ELSE 'active' END AS legal_status, coalesce(nc.n, 0) AS n_references, coalesce(nm.n, 0) AS n_regions, {n_of('text', 'the ')} AS n_the, CASE WHEN length(text) > 0 THEN sha256(text) END AS content_raw_sha256, CASE WHEN doc_id % 4 = 0 THEN 'pagination' ELSE 'none' END AS risk, CASE WHEN doc_id % 4 = 0 THEN '<table><tr></tr></table>' END AS schedule_html, 'string_match_only' AS reference_semantics,
+  'bdlaws_html_only' AS source_authority, CAST(6 AS INTEGER) AS n_must_not_trust, CASE WHEN length(text) > 0 THEN 5 ELSE 3 END AS n_limitations, 'element.textContent' AS extraction_api, CAST(0 AS INTEGER) AS n_logged
 FROM documents LEFT JOIN nc USING (doc_id) LEFT JOIN nm USING (doc_id)""")
 def act_export(spark, sf):
-    e = export.act(_acts(spark, sf), GENERIC, html="page")
-    return e.select("identifiers.internal_id", "volume_number", "legal_status", F.col("lexical_references.count").alias("n_references"), F.size("numeric_regions").cast("long").alias("n_regions"), F.col("marker_frequency")["the"]["count"].alias("n_the"), "content_raw_sha256", F.col("extraction_risk.reason").alias("risk"), F.col("schedules.html_content").alias("schedule_html"), "reference_semantics")
+    e = export.act(_acts(spark, sf), GENERIC, html="page", rules=GENERIC_PAGES)
+    more = ["source_authority", F.size("trust_boundary.must_not_trust").alias("n_must_not_trust"), F.size("data_quality.known_limitations").alias("n_limitations"), "capture_environment.extraction_api", F.size("transformation_log").alias("n_logged")]
+    return e.select("identifiers.internal_id", "volume_number", "legal_status", F.col("lexical_references.count").alias("n_references"), F.size("numeric_regions").cast("long").alias("n_regions"), F.col("marker_frequency")["the"]["count"].alias("n_the"), "content_raw_sha256", F.col("extraction_risk.reason").alias("risk"), F.col("schedules.html_content").alias("schedule_html"), "reference_semantics", *more)
 
 
 @query(f"SELECT doc_id, json_valid('{{}}') AS valid, lang AS title, CAST(doc_id AS VARCHAR) AS act_number, sha256(text) AS content_sha256, {n_of('text', 'licen')} AS n_licence FROM documents")
