@@ -165,27 +165,27 @@ def page_rows(spark, sf):
 
 
 def _risky_page(spark, sf):
-    """A page for each customer, in eight kinds that show less than all or only seem to."""
-    name, k = F.col("c_name"), F.col("c_custkey") % 8
+    """A page for each document, in eight kinds that show less than all or only seem to."""
+    name, k = F.concat(F.lit("part of "), "doc_id"), F.col("doc_id") % 8
     paged, late = F.concat(F.lit('<ul class="pagination"><li>'), name, F.lit(" of 9</li></ul>")), F.lit('<img data-src="x.png">')
-    kinds = [paged, F.lit('<div class="pager"> </div>'), late, F.lit('<a href="#schedule">Schedule I</a><a href="javascript:form()">f</a>'), F.concat(F.lit('<a href="/schedule/'), name, F.lit('"> the &amp; rest</a>')), F.concat(F.lit("<p hidden> "), F.repeat(name, F.lit(4)), F.lit("</p>")), F.concat(F.lit('<p style="display: none">'), name, F.lit("</p><div class='schedule'>a &lt; b</div>")), F.concat(paged, late, F.lit('<div class="collapse show">'), F.repeat(name, F.lit(4)), F.lit("</div>"))]
+    kinds = [paged, F.lit('<div class="pager"> </div>'), late, F.lit('<a href="#schedule">Schedule I</a><a href="javascript:form()">f</a>'), F.concat(F.lit('<a href="/schedule/'), name, F.lit('"> the &amp; rest</a>')), F.concat(F.lit("<p hidden> "), F.repeat(name, F.lit(9)), F.lit("</p>")), F.concat(F.lit('<p style="display: none">'), name, F.lit("</p><div class='schedule'>a &lt; b</div>")), F.concat(paged, late, F.lit('<div class="collapse show">'), F.repeat(name, F.lit(9)), F.lit("</div>"))]
     page = kinds[0]
     for i, x in enumerate(kinds[1:], 1):
         page = F.when(k == i, x).otherwise(page)
-    return table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("<body>"), page, F.lit("</body>")).alias("html"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("<body>"), page, F.lit("</body>")).alias("html"))
 
 
-@query("""SELECT c_custkey, c_custkey % 8 IN (0, 2, 4, 5, 7) AS possible_truncation, CASE c_custkey % 8 WHEN 0 THEN 'pagination' WHEN 2 THEN 'lazy_load' WHEN 4 THEN 'external_link' WHEN 5 THEN 'hidden_dom' WHEN 7 THEN 'pagination, lazy_load' ELSE 'none' END AS reason, CASE c_custkey % 8 WHEN 0 THEN 2 WHEN 2 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1 WHEN 7 THEN 3 ELSE 0 END AS n_risks,
-CASE c_custkey % 8 WHEN 0 THEN c_name || ' of 9' WHEN 4 THEN 'the & rest' WHEN 5 THEN c_name || c_name || c_name || c_name WHEN 7 THEN c_name || ' of 9' END AS sample FROM customer""")
+@query("""SELECT doc_id, doc_id % 8 IN (0, 2, 4, 5, 7) AS possible_truncation, CASE doc_id % 8 WHEN 0 THEN 'pagination' WHEN 2 THEN 'lazy_load' WHEN 4 THEN 'external_link' WHEN 5 THEN 'hidden_dom' WHEN 7 THEN 'pagination, lazy_load' ELSE 'none' END AS reason, CASE doc_id % 8 WHEN 0 THEN 2 WHEN 2 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1 WHEN 7 THEN 3 ELSE 0 END AS n_risks,
+CASE doc_id % 8 WHEN 0 THEN 'part of ' || doc_id || ' of 9' WHEN 4 THEN 'the & rest' WHEN 5 THEN left(repeat('part of ' || doc_id, 9), 100) WHEN 7 THEN 'part of ' || doc_id || ' of 9' END AS sample FROM documents""")
 def extraction_risk(spark, sf):
-    f = page_facts.parsed(_risky_page(spark, sf), GENERIC_PAGES, "c_custkey").select("c_custkey", page_facts.risk().alias("r"))
-    return f.select("c_custkey", "r.possible_truncation", "r.reason", F.size("r.detected_risks").alias("n_risks"), F.try_element_at("r.detected_risks", F.lit(1))["sample_text"].alias("sample"))
+    f = page_facts.parsed(_risky_page(spark, sf), GENERIC_PAGES, "doc_id").select("doc_id", page_facts.risk().alias("r"))
+    return f.select("doc_id", "r.possible_truncation", "r.reason", F.size("r.detected_risks").alias("n_risks"), F.try_element_at("r.detected_risks", F.lit(1))["sample_text"].alias("sample"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 8 = 6 THEN 1 ELSE 0 END AS schedule_count, c_custkey % 8 = 3 AS missing, CASE WHEN c_custkey % 8 = 6 THEN '<div class="schedule">a &lt; b</div>' END AS html_content FROM customer""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 8 = 6 THEN 1 ELSE 0 END AS schedule_count, doc_id % 8 = 3 AS missing, CASE WHEN doc_id % 8 = 6 THEN '<div class="schedule">a &lt; b</div>' END AS html_content FROM documents""")
 def schedule_capture(spark, sf):
-    f = page_facts.parsed(_risky_page(spark, sf), GENERIC_PAGES, "c_custkey").select("c_custkey", page_facts.schedule().alias("s"))
-    return f.select("c_custkey", "s.schedule_count", F.col("s.missing_schedule_flag").alias("missing"), "s.html_content")
+    f = page_facts.parsed(_risky_page(spark, sf), GENERIC_PAGES, "doc_id").select("doc_id", page_facts.schedule().alias("s"))
+    return f.select("doc_id", "s.schedule_count", F.col("s.missing_schedule_flag").alias("missing"), "s.html_content")
 
 
 @query(r"""SELECT page_id, TRUE AS has_title, regexp_matches(html, '(?is)<body.*under the') AS has_enactment, FALSE AS has_structure, length(html) > 0 AS has_page FROM pages""")

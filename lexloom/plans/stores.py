@@ -9,7 +9,7 @@ from ..functions.packs import GENERIC
 from ..operators import intervals, markers, structure, sync
 from ..sources import act_files, keyed, scratch
 from ..streaming import mirror, queue
-from .queries import _FAILED, _SPANS
+from .queries import _SPANS
 from .registry import found, merged_sql, query, table
 
 
@@ -23,28 +23,30 @@ def _staged(df, name):
 # ---- streams with state
 
 
-@query(f"""WITH f AS ({_FAILED}), c AS (SELECT *, CASE WHEN failure_reason NOT IN ('network_error', 'dom_timeout') THEN 'permanent' WHEN retry_count < 3 THEN 'transient' ELSE 'transient_exhausted' END AS status FROM f)
-SELECT CAST(user_id AS VARCHAR) AS act_id, status, retry_count, failure_reason, CASE WHEN status = 'transient' THEN CAST(5000 * pow(2, retry_count) AS BIGINT) END AS next_retry_delay_ms FROM c""")
+@query("""WITH t AS (SELECT conv_id, turn, CASE length(text) % 5 WHEN 1 THEN 'network_error' WHEN 2 THEN 'act_not_found' WHEN 3 THEN 'dom_timeout' WHEN 4 THEN 'other' END AS reason FROM conversations),
+d AS (SELECT conv_id, max(turn) FILTER (reason IS NULL) AS done FROM t GROUP BY conv_id), f AS (SELECT conv_id, count(t.turn) FILTER (reason IS NOT NULL AND turn > coalesce(done, -1)) AS n, arg_max(reason, turn) FILTER (turn > coalesce(done, -1)) AS failure_reason FROM t JOIN d USING (conv_id) GROUP BY conv_id),
+c AS (SELECT *, greatest(n - 1, 0) AS retry_count, CASE WHEN n = 0 THEN 'completed' WHEN failure_reason NOT IN ('network_error', 'dom_timeout') THEN 'permanent' WHEN n - 1 < 3 THEN 'transient' ELSE 'transient_exhausted' END AS status FROM f)
+SELECT CAST(conv_id AS VARCHAR) AS act_id, status, retry_count, failure_reason, CASE WHEN status = 'transient' THEN CAST(5000 * pow(2, retry_count) AS BIGINT) END AS next_retry_delay_ms FROM c""")
 def queue_stream(spark, sf):
-    """The errors arrive out of order in three parts, each taken by a stream that is started anew."""
-    top, v = scratch.folder(spark, "queue"), F.col("value")
-    reason = F.when(v < 20, "network_error").when(v < 40, "act_not_found").when(v < 60, "dom_timeout").otherwise("other")
-    errors = table(spark, sf, "events").where("event_type = 'error'").select("user_id", "ts", "event_id", reason.alias("reason"))
-    for i in range(3):
-        errors.where(F.col("event_id") % 3 == i).write.mode("append").parquet(f"{top}/in")
-        queue.run(spark, f"{top}/in", errors.schema, f"{top}/out", f"{top}/checkpoint", "user_id", "ts").awaitTermination()
+    """Each turn is an attempt. They arrive out of order in three parts, each taken by a stream that is started anew."""
+    top, k = scratch.folder(spark, "queue"), F.length("text") % 5
+    reason = F.when(k == 1, "network_error").when(k == 2, "act_not_found").when(k == 3, "dom_timeout").when(k == 4, "other")
+    attempts = table(spark, sf, "conversations").select("conv_id", F.timestamp_seconds("turn").alias("at"), F.col("turn").cast("long").alias("event_id"), reason.alias("reason"))
+    for i in (2, 0, 1):
+        attempts.where(F.col("event_id") % 3 == i).write.mode("append").parquet(f"{top}/in")
+        queue.run(spark, f"{top}/in", attempts.schema, f"{top}/out", f"{top}/checkpoint", "conv_id", "at").awaitTermination()
     return queue.states(spark, f"{top}/out").drop("due_at")
 
 
-@query("SELECT event_type, user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+@query("SELECT conv_id, turn, sha256(text) AS content_hash FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1")
 def mirror_buckets(spark, sf):
-    """The events arrive in four batches, not in the order of their times."""
+    """The last turn of each conversation. Turns arrive in four batches, not in the order of their numbers."""
     out = scratch.folder(spark, "mirror")
-    e = table(spark, sf, "events").select(F.concat_ws("/", "event_type", "user_id").alias("k"), F.sha2(F.col("event_id").cast("string"), 256).alias("h"), F.struct("ts", "event_id").alias("at"), "event_type", "user_id")
+    t = table(spark, sf, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("content_hash"))
     for n in range(4):
-        mirror.merge(spark, out, e.where((F.col("at.event_id") + 1) % 4 == n), n, "k", "h", "at", 16)
+        mirror.merge(spark, out, t.where((F.col("turn") + 1) % 4 == n), n, "conv_id", "content_hash", "turn", 16)
     mirror.vacuum(spark, out)
-    return mirror.current(spark, out, e.schema).select("event_type", "user_id", "at.event_id", "at.ts")
+    return mirror.current(spark, out, t.schema)
 
 
 # ---- joins of intervals
@@ -79,11 +81,10 @@ def interval_scope(spark, sf):
 # ---- keyed tables
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def keyed_lookup(spark, sf):
-    name = keyed.temporary(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), "o_orderkey")
-    wanted = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return keyed.lookup(spark, name, "o_orderkey", wanted)
+    name = keyed.temporary(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    return keyed.lookup(spark, name, "doc_id", table(spark, sf, "labels").where("toxic = 1"))
 
 
 @query("SELECT CASE WHEN lang = 'es' THEN 'new' WHEN lang = 'fr' THEN 'content_changed' ELSE 'unchanged' END AS sync_reason, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL")
