@@ -36,7 +36,7 @@ class Patterns:
         self.buckets: dict = defaultdict(lambda: defaultdict(dict))
         self.default = size - self.block + 1
 
-    def add(self, pattern: tuple[bytes, ...], item: int) -> None:
+    def add(self, pattern: tuple[bytes, ...], item: str) -> None:
         for end in range(self.block, self.size + 1):
             block = pattern[end - self.block : end]
             self.shift[block] = min(self.shift.get(block, self.default), self.size - end)
@@ -64,7 +64,7 @@ class Patterns:
             end += 1
 
 
-def compile_patterns(items: list[tuple[int, str]], width: int) -> dict[int, Patterns]:
+def compile_patterns(items: list[tuple[str, str]], width: int) -> dict[int, Patterns]:
     groups: dict[int, Patterns] = {}
     for item, text in items:
         ws = words(text)
@@ -74,7 +74,7 @@ def compile_patterns(items: list[tuple[int, str]], width: int) -> dict[int, Patt
     return {size: p.frozen() for size, p in groups.items()}
 
 
-def scan(text: str | None, groups: dict[int, Patterns]) -> tuple[int, list[int], set[int]]:
+def scan(text: str | None, groups: dict[int, Patterns]) -> tuple[int, list[int], set[str]]:
     """Number of words, the hit ranges as [start, end, start, end, ...] in order and apart, the items found."""
     ws = words(text)
     found, items = [], set()
@@ -100,25 +100,29 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = 13, keep:
 
     The benchmark is a bounded table; its texts are collected slice by slice, each slice of at most `pattern_words`
     words of patterns, and each slice is broadcast. Documents are never shuffled; for several slices, maps follow one
-    another, each adding its hits. Null and empty texts have no words and no hits. Benchmark rows without id or text
-    are left out. Repeated documents are judged one by one. Columns of docs named as one of the results are replaced.
+    another, each adding its hits. Null and empty texts have no words and no hits, whole texts of any length are searched,
+    and tables without rows give none. Benchmark rows without id or text are left out; ids may be of any type. Repeated documents are judged one by one. Columns of docs named as one of the results are replaced.
     """
     sc = docs.sparkSession.sparkContext
     names = ("n_words", "n_hit", "hits", "items")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    out = docs.select(*dict.fromkeys([*keep, "text"])).withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<long>"), "items": F.array().cast("array<long>")})
-    slices = list(_slices(benchmark, width, pattern_words))
-    for i, items in enumerate(slices):
-        schema = out.schema if i + 1 < len(slices) else out.select(*keep, "n_words", "hits", "items").schema
+    out = docs.select(*dict.fromkeys([*keep, "text"])).withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
+    slices = _slices(benchmark, width, pattern_words)
+    items, schema = next(slices), out.schema
+    while items is not None:  # the driver holds two slices at most, one of them compiled
+        after = next(slices, None)
+        if after is None:
+            schema = out.select(*keep, "n_words", "hits", "items").schema
         out = out.mapInArrow(_searcher(sc.broadcast(compile_patterns(items, width)), schema.names), schema)
+        items = after
     ends_less_starts = F.transform("hits", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
     n_hit = F.aggregate(ends_less_starts, F.lit(0).cast("long"), lambda n, x: n + x)
-    return out.select(*keep, "n_words", n_hit.alias("n_hit"), "hits", F.array_sort(F.transform("items", lambda x: x.cast("string"))).alias("items"))
+    return out.select(*keep, "n_words", n_hit.alias("n_hit"), "hits", F.array_sort("items").alias("items"))
 
 
 def _slices(benchmark: DataFrame, width: int, most: int):
     out, load = [], 0
-    for item, text in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").toLocalIterator():
+    for item, text in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").toLocalIterator():
         out.append((item, text))
         load += max(1, len(words(text))) * width
         if load >= most:
@@ -140,7 +144,7 @@ def _searcher(tables, names: list[str]):
                 n.append(count)
                 hits.append(ranges)
                 items.append(sorted(found.union(had)))
-            new = {"n_words": pa.array(n, pa.int64()), "hits": pa.array(hits, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.int64()))}
+            new = {"n_words": pa.array(n, pa.int64()), "hits": pa.array(hits, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new[name] if name in new else b.column(at[name]) for name in names], names=names)
 
     return run

@@ -215,7 +215,8 @@ def groups(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:
 
     Sets come from whole texts, words split at white space, A-Z in lower case. Null and wordless texts have an empty
     set and link with nothing. Rows with equal sets are one set. A row without doc_id gets a null component and links
-    with nothing. Of rows that share a doc_id, each is judged by its own text. Only doc_id and text are read.
+    with nothing. Of rows that share a doc_id, each is judged by its own text. A table without rows gives none. Only
+    doc_id and text are read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seed = 0
@@ -228,6 +229,7 @@ def groups(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:
         seed += 2  # two sets had one hash
     entries = named.select("node", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
+    shared = stage(shared, "shared")  # else the join takes over the sums' exchange, and a key of many sets can't be split
     lists = stage(entries.join(shared, "key").where("node <> hub").select("key", F.col("node").alias("a"), "hub").distinct(), "lists")
     pairs = lists.select("a", "hub").distinct()
     wanted = stage(lists.select(F.col("a").alias("node")).unionByName(lists.select(F.col("hub").alias("node"))).distinct(), "wanted")

@@ -12,20 +12,23 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import held_out, ship, stage
 
 #: Words and n-grams that the model holds at most, dealt evenly to the languages; the least count of a word in its
-#: language, the longest n-gram, the most languages.
-WORDS, GRAMS, LEAST, LONGEST, LANGUAGES = 120_000, 120_000, 3, 4, 256
+#: language, the longest n-gram.
+WORDS, GRAMS, LEAST, LONGEST = 120_000, 120_000, 3, 4
 UNKNOWN = "und"
-CACHE = 200_000
+#: Scores of a language and a word or n-gram that a table has at most; with many languages it has fewer words.
+SCORES = 40_000_000
+#: Words and scores that a task keeps of those that it worked out.
+CACHE, CACHED_SCORES = 200_000, 20_000_000
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -38,23 +41,26 @@ def words(text: str) -> list[str]:
 
 
 class Model:
-    def __init__(self, languages: list[str], word_counts: dict[str, list[int]], gram_counts: dict[str, list[int]]):
+    """words and grams: each key's row in the scores, which have a column for each language."""
+
+    def __init__(self, languages: list[str], words: tuple[list[str], np.ndarray], grams: tuple[list[str], np.ndarray]):
         self.languages = languages
-        self.words = {w: i for i, w in enumerate(word_counts)}
-        self.word_scores = _relative(list(word_counts.values()), len(languages))
-        self.grams = {g: i for i, g in enumerate(gram_counts)}
-        self.gram_scores = _relative(list(gram_counts.values()), len(languages), [len(g) for g in gram_counts])
+        self.words = {w: i for i, w in enumerate(words[0])}
+        self.word_scores = _relative(words[1])
+        self.grams = {g: i for i, g in enumerate(grams[0])}
+        self.gram_scores = _relative(grams[1], [len(g) for g in grams[0]])
 
 
-def _relative(counts: list[list[int]], languages: int, kinds: list[int] | None = None) -> np.ndarray:
+def _relative(counts: np.ndarray, kinds: list[int] | None = None) -> np.ndarray:
     """Log frequencies for each language, with one added to each count, less their mean over the languages."""
-    if not counts:
-        return np.zeros((0, languages), np.float32)
-    c = np.array(counts, dtype=np.float64) + 1
-    kind = np.zeros(len(c), int) if kinds is None else np.array(kinds)
-    total = np.stack([np.bincount(kind, c[:, k]) for k in range(languages)], 1)
-    scores = np.log(c) - np.log(total[kind])
-    return (scores - scores.mean(1, keepdims=True)).astype(np.float32)
+    kind = np.zeros(len(counts), int) if kinds is None else np.array(kinds, int)
+    scores = np.empty(counts.shape, np.float32)
+    for k in np.unique(kind):
+        total = np.log(counts[kind == k].sum(0) + (kind == k).sum())
+        for i in np.flatnonzero(kind == k):  # a row at a time, as the table may be large
+            row = np.log(counts[i] + 1) - total
+            scores[i] = row - row.mean()
+    return scores
 
 
 class _Known(dict):
@@ -63,14 +69,15 @@ class _Known(dict):
     def __init__(self, model: Model):
         super().__init__(model.words)
         self.model, self.first = model, len(model.words)
-        self.rows = np.concatenate([model.word_scores, np.zeros((CACHE, len(model.languages)), np.float32)])
+        self.cache = max(1, min(CACHE, CACHED_SCORES // max(1, len(model.languages))))
+        self.rows = np.concatenate([model.word_scores, np.zeros((self.cache, len(model.languages)), np.float32)])
         self.next = self.first
 
     def make_room(self, n: int) -> None:
         if self.next + n > len(self.rows):
             self.clear()
             self.update(self.model.words)
-            self.rows = np.concatenate([self.model.word_scores, np.zeros((max(CACHE, n), len(self.model.languages)), np.float32)])
+            self.rows = np.concatenate([self.model.word_scores, np.zeros((max(self.cache, n), len(self.model.languages)), np.float32)])
             self.next = self.first
 
     def __missing__(self, word: str) -> int:
@@ -104,37 +111,44 @@ def identify(text: str | None, known: _Known) -> tuple[str, float]:
 def learn(docs: DataFrame, words_kept: int = WORDS, grams_kept: int = GRAMS) -> Model:
     """Counts the words of all documents that have a language and text and are not held out.
 
-    Ties in frequency go to the word that sorts first. Without such documents the model knows no language. Repeated
-    rows count each; texts of any length are counted whole. Over LANGUAGES languages are an error, as a table shared by
-    so many would hold too few words of each. Only doc_id, text and lang are read.
+    Ties in frequency go to the word that sorts first. Without such documents, as in a table without rows, the model
+    knows no language. Repeated rows count each; texts of any length are counted whole. There may be any number of
+    languages; each has the same share of the table. Only doc_id, text and lang are read.
     """
     train = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     each = train.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     counts = stage(each.groupBy("word", "lang").agg(F.count("*").alias("n")), "words")
-    languages = sorted(r[0] for r in counts.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
+    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
     marked = F.concat(F.lit("<"), "word", F.lit(">"))
     size = F.length(marked)
     grams = F.flatten(F.array(*[F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), partial(_cut, marked, n))).otherwise(F.array().cast("array<string>")) for n in range(1, LONGEST + 1)]))
     pieces = counts.select(F.explode(grams).alias("gram"), "lang", "n").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     if not languages:
-        return Model([], {}, {})
-    known = _top(counts, "word", languages, [(F.lit(True), words_kept // len(languages))])
-    each = grams_kept // (len(languages) * LONGEST)
-    return Model(languages, known, _top(stage(pieces, "grams"), "gram", languages, [(F.length("gram") == n, each) for n in range(1, LONGEST + 1)]))
+        return Model([], ([], np.zeros((0, 0))), ([], np.zeros((0, 0))))
+    share = lambda kept, kinds: max(1, min(kept, SCORES // len(languages)) // (len(languages) * kinds))
+    known = _top(counts, "word", languages, F.lit(0), share(words_kept, 1))
+    return Model(languages, known, _top(stage(pieces, "grams"), "gram", languages, F.length("gram"), share(grams_kept, LONGEST)))
 
 
 def _cut(text: Column, n: int, at: Column) -> Column:
     return F.substring(text, at, F.lit(n))
 
 
-def _top(counts: DataFrame, key: str, languages: list[str], kinds: list[tuple[Column, int]]) -> dict[str, list[int]]:
-    """Counts by language of the most frequent keys of each language and kind, as many as the kind's number."""
-    own = [counts.where((F.col("lang") == x) & kind & (F.col("n") >= LEAST)).orderBy(F.desc("n"), key).limit(most).select(key) for x in languages for kind, most in kinds]
-    chosen = F.broadcast(reduce(DataFrame.unionByName, own).distinct())  # no more than the table holds
-    wide = counts.join(chosen, key, "left_semi").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
-    return {r[0]: [r[1].get(x, 0) for x in languages] for r in wide.orderBy(key).collect()}
+def _top(counts: DataFrame, key: str, languages: list[str], kind: Column, most: int) -> tuple[list[str], np.ndarray]:
+    """The `most` most frequent keys of each language and kind, in order, and their counts in all languages.
+
+    Tasks keep the first `most` rows of a language and kind before they are sorted together.
+    """
+    rank = F.row_number().over(Window.partitionBy("lang", "__kind").orderBy(F.desc("n"), key))
+    own = counts.where(F.col("n") >= LEAST).withColumn("__kind", kind).withColumn("__n", rank).where(F.col("__n") <= most)
+    chosen = F.broadcast(own.select(key).distinct())  # no more than the table holds
+    place = {x: i for i, x in enumerate(languages)}
+    rows: dict[str, int] = {}
+    entries = [(rows.setdefault(r[0], len(rows)), place[r[1]], r[2]) for r in counts.join(chosen, key, "left_semi").orderBy(key).select(key, "lang", "n").toLocalIterator()]
+    table = np.zeros((len(rows), len(languages)), np.float32 if len(languages) > 64 else np.float64)
+    for row, column, n in entries:
+        table[row, column] = n
+    return list(rows), table
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

@@ -168,6 +168,17 @@ def test_language_learns_nothing_from_held_out(spark):
     assert {r.lang_pred for r in language_id.predict(odd(spark), language_id.learn(d)).collect()} == {"und"}
 
 
+def test_any_number_of_languages(spark):
+    rng = random.Random(12)
+    vocabulary = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(8)] for k in range(300)}
+    rows = [(20 * k + i, " ".join(rng.choices(v, k=12)), lang) for k, (lang, v) in enumerate(vocabulary.items()) for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = language_id.learn(d)
+    assert len(m.languages) == 300 and m.word_scores.shape[1] == 300
+    got = language_id.predict(d.where(held_out(F.col("doc_id"))), m).collect()
+    assert len(got) > 500 and sum(r.lang_pred == r.lang for r in got) / len(got) > 0.95
+
+
 # ---- packing
 
 
@@ -615,6 +626,12 @@ def test_decontamination(spark, most):
         assert (r.n_words, r.n_hit, r["items"]) == brute_hits(texts[r.doc_id], items, 4)
 
 
+def test_decontamination_by_text_ids(spark):
+    b = spark.createDataFrame([("x10", "one two"), ("x9", "two three"), ("é,", "three one")], "item_id string, text string")
+    r = decontamination.find_overlaps(docs(spark, "one two three", "three two one", "three one two"), b, 2, ["doc_id"], 3).orderBy("doc_id").collect()
+    assert [x["items"] for x in r] == [["x10", "x9"], [], ["x10", "é,"]] and [x.n_hit for x in r] == [3, 0, 3]
+
+
 def test_decontamination_odd(spark):
     b = spark.createDataFrame([(1, "w1 w2 w3 w4"), (None, "one"), (2, None)], "item_id long, text string")
     d = odd(spark)
