@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.packs import GENERIC
-from ..operators import intervals, markers, structure, sync
+from ..operators import audit, intervals, markers, structure, sync
 from ..sources import act_files, keyed, scratch
-from ..streaming import mirror, queue
+from ..streaming import intents, mirror, queue
 from .queries import _SPANS
 from .registry import found, merged_sql, query, table
 
@@ -49,6 +49,40 @@ def mirror_buckets(spark, sf):
     return mirror.current(spark, out, t.schema)
 
 
+@query("SELECT conv_id, turn, CAST(row_number() OVER w AS INTEGER) AS version, lead(turn) OVER w AS archived_at, lead(turn) OVER w IS NULL AS is_current FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, sha256(text))")
+def history_batches(spark, sf):
+    """Each turn is a capture of its conversation. Batches come in another order than the turns, so that versions are split."""
+    out = scratch.folder(spark, "history")
+    t = table(spark, sf, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("content_hash"))
+    for n, part in enumerate((2, 0, 3, 1)):
+        mirror.merge_history(spark, out, t.where(F.col("turn") % 4 == part), n, "conv_id", "turn", "content_hash", 16)
+    return mirror.history_of(spark, out, t.schema, "turn").drop("content_hash")
+
+
+@query("""WITH e AS (SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN 'intent' WHEN length(text) % 7 = 0 THEN 'complete' END AS kind, length(text) % 2 = 0 AS pruned FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS act_id, CAST(max(turn) AS VARCHAR) AS entry_id FROM e WHERE kind = 'intent' AND NOT pruned AND conv_id NOT IN (SELECT conv_id FROM e WHERE kind = 'complete') GROUP BY conv_id""")
+def open_intents(spark, sf):
+    """Entries of a log arrive in two parts, completions before some intents, each taken by a stream that is started anew."""
+    top, n = scratch.folder(spark, "intents"), F.length("text")
+    kind = F.when(n % 3 == 0, "intent").when(n % 7 == 0, "complete")
+    e = table(spark, sf, "conversations").select(F.col("conv_id").alias("act_id"), kind.alias("entry_type"), F.timestamp_seconds("turn").alias("timestamp"), F.col("turn").cast("string").alias("entry_id"), (n % 2 == 0).alias("pruned"))
+    for part in (1, 0):
+        e.where(F.unix_seconds("timestamp") % 2 == part).write.mode("append").parquet(f"{top}/in")
+        intents.run(spark, f"{top}/in", e.schema, f"{top}/out", f"{top}/checkpoint").awaitTermination()
+    return intents.open_intents(spark, f"{top}/out").select("act_id", "entry_id")
+
+
+@query("""WITH e AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'write_attempt' WHEN 'view' THEN 'read_success' WHEN 'error' THEN '' WHEN 'signup' THEN 'sign_up' END AS operation, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT CASE WHEN coalesce(operation, '') = '' THEN 'rejected' WHEN operation = 'sign_up' THEN 'accepted_unknown' ELSE 'accepted' END AS verdict, count(*) AS n, count(*) FILTER (k = 7) AS n_seven, CAST(sum(k) AS BIGINT) AS total FROM e GROUP BY 1""")
+def audit_context(spark, sf):
+    """Entries with their contexts as VARIANT values, asked by path; unknown operations are taken with a warning, missing ones rejected."""
+    kind = F.col("event_type")
+    name = F.when(kind == "click", "write_attempt").when(kind == "view", "read_success").when(kind == "error", "").when(kind == "signup", "sign_up")
+    e = audit.typed(audit.checked(table(spark, sf, "events").select("event_id", name.alias("operation"), F.col("props").alias("context"))))
+    k = audit.value("$.k", "bigint")
+    return e.groupBy("verdict").agg(F.count("*").alias("n"), F.count(F.when(k == 7, 1)).alias("n_seven"), F.sum(k).alias("total"))
+
+
 # ---- joins of intervals
 
 

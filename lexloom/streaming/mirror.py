@@ -1,4 +1,5 @@
-"""A mirror that rewrites only what a batch changes: rows in hash buckets, a new version of a bucket for each change.
+"""A mirror and a version history that rewrite only what a batch changes: rows in hash buckets, a new version of a bucket
+for each change.
 
 out/data/v=<batch>/lx_bucket=<b> has the rows of a bucket as they were after a batch that changed it; out/manifest/v=<batch>
 says which version of each bucket is current, and counts once it is complete. A batch that is replayed writes what it
@@ -12,9 +13,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
-from ..operators import sync
+from ..operators import manifest, sync
 
 MANIFEST = "bucket int, version long, buckets int"
 BUCKET = "lx_bucket"
@@ -62,9 +63,8 @@ def merge(spark: SparkSession, out: str, batch: DataFrame, n: int, key: str = "a
     without key are logged as invalid_act and not kept. `at` may be a struct. The number of buckets is that of the first
     batch; the driver lists buckets, never rows. Only versions before n are read, so that a replay does the same again.
     """
-    before, first = _manifest(spark, out, n)
-    buckets = first or buckets
-    new = sync.latest(batch, key, F.desc(at)).withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    before, buckets = _before(spark, out, n, buckets)
+    new = sync.latest(batch, key, F.desc(at)).withColumn(BUCKET, _bucket(key, buckets))
     there = F.col(key).isNotNull()
     touched = [r[0] for r in new.where(there).select(BUCKET).distinct().collect()]
     old = _read(spark, out, batch.schema, {b: before[b] for b in touched if b in before})
@@ -75,14 +75,58 @@ def merge(spark: SparkSession, out: str, batch: DataFrame, n: int, key: str = "a
     found.write.mode("overwrite").parquet(f"{out}/log/v={n}")
     taken = spark.read.schema(found.schema).parquet(f"{out}/log/v={n}").where("taken")
     rewritten = sorted(r[0] for r in taken.select(BUCKET).distinct().collect())
+    rows = new.join(taken.select(key), key, "left_semi").select(*batch.columns)
+    return _rewrite(spark, out, n, key, batch.schema, before, buckets, rewritten, lambda old: sync.upsert(old, rows, key, at))
+
+
+def merge_history(spark: SparkSession, out: str, batch: DataFrame, n: int, key: str = "act_number", at: str = "captured_at", tie: str = "content_hash", buckets: int = 64) -> list[int]:
+    """Takes batch number n of captures into the version history below out and returns the buckets that it rewrote.
+
+    A late capture splits the version that it falls in: that one ends when the capture was made, and later ones get the
+    next number. history_of() has the captures with version, archived_at and is_current, as manifest.history() gives
+    them for all captures at once, whatever the order of the batches. Equal captures count once, those without key are
+    left out. Only the buckets of the batch's keys are read and written.
+    """
+    before, buckets = _before(spark, out, n, buckets)
+    new = batch.where(F.col(key).isNotNull())
+    rewritten = sorted(r[0] for r in new.select(_bucket(key, buckets).alias("b")).distinct().collect())
+    mine = new.select(key).distinct()
+
+    def split(old: DataFrame) -> DataFrame:
+        same = old.join(mine, key, "left_anti")  # other keys of the bucket stay as they are
+        captures = old.join(mine, key, "left_semi").select(*batch.columns).unionByName(new).distinct()
+        return same.unionByName(manifest.history(captures, key, at, tie))
+
+    return _rewrite(spark, out, n, key, _history_schema(batch.schema, at), before, buckets, rewritten, split)
+
+
+def _history_schema(captures: StructType, at: str) -> StructType:
+    return StructType([*captures.fields, StructField("version", IntegerType()), StructField("archived_at", captures[at].dataType), StructField("is_current", BooleanType())])
+
+
+def history_of(spark: SparkSession, out: str, captures: StructType | str, at: str = "captured_at") -> DataFrame:
+    """The versions of all keys after the last complete batch; captures: the schema of the batches."""
+    return current(spark, out, _history_schema(StructType.fromDDL(captures) if isinstance(captures, str) else captures, at))
+
+
+def _before(spark: SparkSession, out: str, n: int, buckets: int) -> tuple[dict[int, int], int]:
+    """The versions that batch n finds, and the number of buckets that counts."""
+    before, first = _manifest(spark, out, n)
+    return before, first or buckets
+
+
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _rewrite(spark: SparkSession, out: str, n: int, key: str, schema: StructType, before: dict[int, int], buckets: int, rewritten: list[int], change) -> list[int]:
+    """Writes version n of some buckets, from what change() makes of their rows, then the manifest of batch n."""
     if rewritten:
-        old = _read(spark, out, batch.schema, {b: before[b] for b in rewritten if b in before})
-        rows = new.join(taken.select(key), key, "left_semi").select(*batch.columns)
-        merged = sync.upsert(old, rows, key, at).withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        merged.repartition(len(rewritten), BUCKET).write.partitionBy(BUCKET).mode("overwrite").parquet(f"{out}/data/v={n}")
+        rows = change(_read(spark, out, schema, {b: before[b] for b in rewritten if b in before})).withColumn(BUCKET, _bucket(key, buckets))
+        rows.repartition(len(rewritten), BUCKET).write.partitionBy(BUCKET).mode("overwrite").parquet(f"{out}/data/v={n}")
     now = before | dict.fromkeys(rewritten, n)
-    rows = [(b, v, buckets) for b, v in sorted(now.items())] or [(None, None, buckets)]
-    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{out}/manifest/v={n}")
+    listed = [(b, v, buckets) for b, v in sorted(now.items())] or [(None, None, buckets)]
+    spark.createDataFrame(listed, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{out}/manifest/v={n}")
     return rewritten
 
 

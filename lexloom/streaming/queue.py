@@ -123,12 +123,13 @@ def run(
         added.write.mode("overwrite").parquet(f"{out}/ledger/n={n}")
 
     writer = states.writeStream.outputMode("update").foreachBatch(flush).option("checkpointLocation", checkpoint)
-    with _settings(spark, STORE if every else STORE | NO_EMPTY):  # a stream keeps the settings that it started with
+    with settings(spark, STORE if every else STORE | NO_EMPTY):  # a stream keeps the settings that it started with
         return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 @contextmanager
-def _settings(spark: SparkSession, wanted: dict[str, str]):
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Settings of the session for as long as it lasts."""
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)

@@ -195,3 +195,49 @@ def test_a_failed_job_leaves_no_file(spark, tmp_path):
     assert all(p.name.startswith("_") for p in seen)  # a task that was still running may have left its folder
     act_files.clean(f"{tmp_path}/acts")
     assert not [*(tmp_path / "acts").glob("*")]
+
+
+def test_history_in_any_order(spark, tmp_path):
+    from lexloom.operators import manifest
+
+    rng, out = random.Random(6), str(tmp_path)
+    rows = [(rng.choice([f"a{rng.randrange(9)}", f"a{rng.randrange(9)}", None]), f"h{i % 50}", rng.randrange(40), "") for i in range(120)]
+    for n in range(4):
+        part = spark.createDataFrame(rows[30 * n : 30 * n + 30] + rows[:3], ACTS)  # captures that came before come again
+        done = mirror.merge_history(spark, out, part, n, buckets=8)
+        assert done == mirror.merge_history(spark, out, part, n, buckets=8) and len(done) <= 8
+    want = manifest.history(spark.createDataFrame(rows, ACTS).where("act_number is not null").distinct(), "act_number", "captured_at", "content_hash")
+    got = mirror.history_of(spark, out, ACTS)
+    plain = lambda df: sorted(map(str, df.select("act_number", "content_hash", "captured_at", "archived_at", "is_current").collect()))
+    assert plain(got) == plain(want) and got.count() == got.select("act_number", "version").distinct().count()
+    touched = mirror.merge_history(spark, out, spark.createDataFrame([("a1", "late", 5, "")], ACTS), 4, buckets=8)
+    assert len(touched) == 1 and mirror.history_of(spark, out, ACTS).count() == got.count() + 1
+
+
+def test_intents_in_any_order(spark, tmp_path):
+    from lexloom.operators import recovery
+    from lexloom.streaming import intents
+
+    schema = "entry_id string, act_id string, entry_type string, timestamp timestamp, pruned boolean"
+    rng = random.Random(9)
+    rows = [(f"e{i:03}", rng.choice([f"a{rng.randrange(25)}", f"a{rng.randrange(25)}", None]), rng.choice(["intent", "intent", "intent", "complete", "other"]), START + timedelta(seconds=rng.randrange(30)), rng.choice([True, False, None])) for i in range(70)]
+    for part in (rows[:25], rows[25:60], rows[60:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        intents.run(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = {(r.act_id, r.timestamp, r.entry_id) for r in intents.open_intents(spark, f"{tmp_path}/out").collect()}
+    want = {(r.act_id, r.timestamp, r.entry_id) for r in recovery.incomplete(spark.createDataFrame(rows, schema), tie="entry_id").collect() if r.act_id is not None}
+    assert got == want and got
+
+
+def test_audit_contexts(spark):
+    from lexloom.operators import audit
+
+    rows = [("write_attempt", '{"a": {"b": 7}, "s": "x"}'), ("odd", '{"a": {"b": "7"}}'), ("", "{}"), (None, None), ("read_success", "no json"), ("read_success", '{"a": [1, 2], "ok": true}')]
+    log = audit.typed(spark.createDataFrame(rows, "operation string, context string"))
+    good, bad = audit.split(log)
+    assert [r.verdict for r in audit.checked(log).collect()] == ["accepted", "accepted_unknown", "rejected", "rejected", "accepted", "accepted"]
+    assert (good.count(), bad.count()) == (4, 2)
+    assert [r.operation for r in audit.where(log, {"$.a.b": 7, "$.s": "x"}).collect()] == ["write_attempt"]
+    assert audit.where(log, {"$.ok": True}).count() == 1 and log.select(audit.value("$.a[1]", "int").alias("v")).where("v = 2").count() == 1
+    typed = audit.typed(spark.createDataFrame([({"k": "v"},), (None,)], "context map<string,string>"))
+    assert audit.where(typed, {"$.k": "v"}).count() == 1
