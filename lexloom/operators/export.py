@@ -156,29 +156,74 @@ def file_name(kind: str, key: Column, at: Column, prefix: str = "corpus") -> Col
     return F.concat(F.lit(f"{prefix}_{kind}_"), safe, F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(".json"))
 
 
-def documents(stats: DataFrame, title: str) -> DataFrame:
-    """README and citation texts from the one row of manifest.stats()."""
-    n, v, c = F.col("total_acts"), F.col("total_volumes"), F.col("total_characters")
-    readme = F.format_string(f"# {title}\n\nActs: %d\nVolumes: %d\nCharacters: %d\n", n, v, c)
-    cff = F.format_string(f"cff-version: 1.2.0\ntitle: {title}\ntype: dataset\nabstract: %d acts in %d volumes\n", n, v)
+#: How a corpus is made and what it can't say, for its README.
+METHOD = (
+    "Pages are opened one at a time, at a bounded rate, and read once their text is there.",
+    "Text is what the browser shows; each act has it as captured, in canonical composition, and corrected.",
+    "A hash of the captured text goes with each act and is checked when it is read back.",
+    "References, regions and markers are matches of patterns, with their places in the captured text.",
+)
+LIMITS = (
+    "Acts, schedules and footnotes may be missing or incomplete on the pages themselves.",
+    "Nothing is compared with printed sources, and no legal force is implied.",
+    "Places of sections depend on how a page is laid out.",
+)
+
+
+def documents(stats: DataFrame, title: str, version: str = "1.0", url: str = "", licence: str = "", authors: tuple[str, ...] = (), keywords: tuple[str, ...] = (), coverage: DataFrame | None = None) -> DataFrame:
+    """name and content of README.md and CITATION.cff, from the one row of manifest.stats() and, if given, that of manifest.coverage().
+
+    With capture times in stats both say the period, and the citation has the day of the last capture.
+    """
+    n, v, c = (F.col(x).cast("string") for x in ("total_acts", "total_volumes", "total_characters"))
+    day = lambda x: F.coalesce(F.date_format(x, "yyyy-MM-dd"), F.lit("unknown")) if x in stats.columns else F.lit("unknown")
+    first, last = day("first_capture"), day("last_capture")
+    k = coverage.first() if coverage is not None else None
+    covered = "Not computed." if k is None else f"{k.in_corpus} of {k.referenced} referenced acts are in the corpus ({k.coverage_percent} %)."
+    listed = lambda xs: "".join(f"- {x}\n" for x in xs)
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    readme = text(
+        f"# {title}\n\n| | |\n|---|---|\n| Acts | ", n, " |\n| Volumes | ", v, " |\n| Characters | ", c, " |\n| Captured | ", first, " to ", last, " |\n\n## Method\n\n", listed(METHOD), "\n## Coverage\n\n", covered, "\n\n## Known limits\n\n", listed(LIMITS),
+        f"\n## Licence and citation\n\n{licence or 'See the source.'} Version {version}; cite it by CITATION.cff.\n",
+    )
+    quoted = lambda x: '"' + x.replace("\\", "\\\\").replace('"', '\\"') + '"'
+    cff = text(
+        f"cff-version: 1.2.0\ntype: dataset\ntitle: {quoted(title)}\nversion: {quoted(version)}\ndate-released: ", last, "\n", f"url: {quoted(url)}\n" if url else "", f"license: {quoted(licence)}\n" if licence else "",
+        "abstract: ", n, " acts in ", v, " volumes, ", c, " characters\n", "keywords:\n" + listed(map(quoted, keywords)) if keywords else "", "authors:\n" + listed(f"name: {quoted(a)}" for a in authors) if authors else "",
+    )
     return stats.select(F.explode(F.create_map(F.lit("README.md"), readme, F.lit("CITATION.cff"), cff)).alias("name", "content"))
 
 
-def data_dictionary(df: DataFrame) -> list[tuple[str, str, bool]]:
-    """Name, type and whether it may be null of each field, those of structs by their path."""
-    out = []
+#: What the fields of an exported act mean.
+DESCRIPTIONS = {
+    "identifiers.internal_id": "Number of the act in its source; not a citation", "title_raw": "Title as captured", "title_normalized": "Title in canonical composition", "content_raw": "Text as captured; hashes and offsets are of it",
+    "content_normalized": "Text in canonical composition", "content_corrected": "Text after logged repairs, for display", "content_raw_sha256": "SHA-256 of content_raw; null for empty text", "volume_number": "Volume, or unknown", "legal_status": "What words of the text say; no legal force",
+    "lexical_references.references": "Matches of citation patterns with their places", "numeric_regions": "Places whose numbers must not be changed", "protected_sections": "Kinds of sections that aren't corrected", "schedules.html_content": "Markup of the schedules as it is",
+    "data_quality.flags": "What is wrong with the text", "extraction_risk.detected_risks": "Signs that the page shows less than all", "transformation_log": "What was changed or only flagged, and its risk",
+}
+
+
+def data_dictionary(df: DataFrame, descriptions: dict[str, str] | None = None) -> DataFrame:
+    """field, type, description, n_rows and n_filled of each field of df's rows, those of structs by their path.
+
+    Filled are values that aren't null, and lists and maps that aren't empty; one pass with partial counts. Fields
+    within lists are described by the type of the list. A table without rows has zeros.
+    """
+    said = DESCRIPTIONS if descriptions is None else descriptions
+    found: list[tuple[str, str, str]] = []
 
-    def walk(fields, path):
+    def walk(fields, path, quoted):
         for f in fields:
-            kind = f.dataType
-            while hasattr(kind, "elementType"):
-                kind = kind.elementType
-            out.append((path + f.name, f.dataType.simpleString(), f.nullable))
-            if hasattr(kind, "fields"):
-                walk(kind.fields, f"{path}{f.name}.")
-
-    walk(df.schema.fields, "")
-    return out
+            at = f"{quoted}`{f.name}`"
+            found.append((path + f.name, f.dataType.simpleString(), at))
+            if hasattr(f.dataType, "fields"):
+                walk(f.dataType.fields, f"{path}{f.name}.", f"{at}.")
+
+    walk(df.schema.fields, "", "")
+    filled = lambda kind, at: (F.size(at) > 0) if kind.startswith(("array", "map")) else F.col(at).isNotNull()
+    counts = df.agg(F.count("*").alias("n"), *[F.count(F.when(filled(kind, at), 1)).alias(f"c{i}") for i, (_, kind, at) in enumerate(found)])
+    each = [F.struct(F.lit(name).alias("field"), F.lit(kind).alias("type"), F.lit(said.get(name, "")).alias("description"), F.col("n").alias("n_rows"), F.col(f"c{i}").alias("n_filled")) for i, (name, kind, _) in enumerate(found)]
+    return counts.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
 
 #: What a provenance record must say.

@@ -67,6 +67,17 @@ def alphabetical(rows: DataFrame, title: str = "title") -> DataFrame:
     return rows.orderBy(F.collate(title, "bn"))
 
 
+def placed(rows: DataFrame, volume: str, year: str = "year", key: str = "act_number", title: str = "title", source: str | None = None) -> DataFrame:
+    """rows with by_year and by_title: their places, from 1, in the lists of their volume as chronological() and alphabetical() order them.
+
+    source: a name for what the list was taken from, as a column of its own. A volume's list is one sort group.
+    """
+    by_year = Window.partitionBy(volume).orderBy(F.coalesce(F.expr(f"try_cast({year} as int)"), F.lit(0)).desc(), F.expr(f"try_cast({key} as bigint)"))
+    by_title = Window.partitionBy(volume).orderBy(F.collate(title, "bn"), key)
+    out = rows.withColumns({"by_year": F.row_number().over(by_year), "by_title": F.row_number().over(by_title)})
+    return out if source is None else out.withColumn("source", F.lit(source))
+
+
 def noise_free(c: Column, noise=LEGAL_PAGES.noise) -> Column:
     """Without what the patterns match, in their order, then trimmed."""
     for p in noise:

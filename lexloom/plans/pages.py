@@ -138,10 +138,11 @@ def noise_filter(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2(html.noise_free(T.trim(c), ("(?m)^Top$", "the [a-z]+")), 256).alias("said_sha256"))
 
 
-@query(f"SELECT page_id, {n_of('html', '[Ll]icense')} + {n_of('html', '[Vv]ersion')} AS schedule_references, {n_of('html', '<article>')} AS schedule_tables, FALSE AS missing_schedule FROM pages WHERE {n_of('html', '[Ll]icense')} + {n_of('html', '[Vv]ersion')} = 0")
+@query(f"SELECT page_id, {n_of('html', '[Ll]icense')} + {n_of('html', '[Vv]ersion')} AS schedule_references, CASE WHEN page_id % 2 = 0 THEN 0 ELSE {n_of('html', '<article>')} END AS schedule_tables, {n_of('html', '[Ll]icense')} + {n_of('html', '[Vv]ersion')} > 0 AND (page_id % 2 = 0 OR {n_of('html', '<article>')} = 0) AS missing_schedule FROM pages")
 def schedule_distinction(spark, sf):
-    rows = table(spark, sf, "pages").withColumns(markers.schedule_distinction(F.col("html"), F.regexp_replace("html", "<article>", "<table>"), GENERIC))
-    return rows.where("schedule_references = 0").select("page_id", "schedule_references", "schedule_tables", "missing_schedule")
+    """Every other page has tables in the place of its articles."""
+    page = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.regexp_replace("html", "<article>", "<table>"))
+    return table(spark, sf, "pages").withColumns(markers.schedule_distinction(F.col("html"), page, GENERIC)).select("page_id", "schedule_references", "schedule_tables", "missing_schedule")
 
 
 @query(f"""WITH l AS ({_LI}), d AS (SELECT page_id, p_brand, min(n) AS n FROM l WHERE n % 3 = 0 GROUP BY ALL)
@@ -188,12 +189,26 @@ def schedule_capture(spark, sf):
     return f.select("doc_id", "s.schedule_count", F.col("s.missing_schedule_flag").alias("missing"), "s.html_content")
 
 
-@query(r"""SELECT page_id, TRUE AS has_title, regexp_matches(html, '(?is)<body.*under the') AS has_enactment, FALSE AS has_structure, length(html) > 0 AS has_page FROM pages""")
+@query(r"""WITH p AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '<p class="lineremoves">' ELSE '' END || CASE WHEN page_id % 3 = 0 THEN regexp_replace(regexp_replace(html, '(?is)<title[^>]*>.*?</title>', '', 'g'), '(?is)<h1[^>]*>.*?</h1>', '', 'g') ELSE html END AS html FROM pages)
+SELECT page_id, page_id % 3 > 0 AS has_title, regexp_matches(html, '(?is)<body.*under the') AS has_enactment, page_id % 4 = 0 AS has_structure, length(html) > 0 AS has_page FROM p""")
 def readiness_snapshot(spark, sf):
-    s = acts.snapshot(table(spark, sf, "pages"), GENERIC)
+    """Every third page is without titles, every fourth has a row of an act."""
+    k, h = F.col("page_id"), F.col("html")
+    bare = F.regexp_replace(F.regexp_replace(h, "(?is)<title[^>]*>.*?</title>", ""), "(?is)<h1[^>]*>.*?</h1>", "")
+    p = table(spark, sf, "pages").withColumn("html", F.concat(F.when(k % 4 == 0, '<p class="lineremoves">').otherwise(""), F.when(k % 3 == 0, bare).otherwise(h)))
+    s = acts.snapshot(p, GENERIC)
     return s.select("page_id", "has_title", "has_enactment", "has_structure", (F.col("content_length") > 0).alias("has_page"))
 
 
+@query("""WITH c AS (SELECT c_nationkey AS volume, c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE CAST(1950 + c_custkey % 7 AS VARCHAR) END AS year, 'Act ' || c_mktsegment || ' ' || c_name AS title FROM customer)
+SELECT volume, id, CAST(row_number() OVER (PARTITION BY volume ORDER BY coalesce(try_cast(year AS INTEGER), 0) DESC, id) AS INTEGER) AS by_year, CAST(row_number() OVER (PARTITION BY volume ORDER BY title) AS INTEGER) AS by_title FROM c""")
+def index_order(spark, sf):
+    """The places of the acts in the lists of their volume, by year and by title."""
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("volume"), F.col("c_custkey").alias("act_number"), F.when(F.col("c_custkey") % 5 == 0, "").otherwise((1950 + F.col("c_custkey") % 7).cast("string")).alias("year"), F.concat_ws(" ", F.lit("Act"), "c_mktsegment", "c_name").alias("title"))
+    placed = html.placed(c, "volume")
+    return placed.select("volume", F.col("act_number").alias("id"), "by_year", "by_title")
+
+
 @query("SELECT page_id, CASE WHEN NOT contains(html, '<article') THEN 'not_ready' WHEN page_id % 5 = 0 THEN 'not_ready' WHEN length(html) < 1000 THEN 'uncertain' ELSE 'ready' END AS dom_state FROM pages")
 def dom_state(spark, sf):
     h = F.col("html")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.packs import GENERIC
-from ..operators import citations, export, html, manifest, markers, quality, queueing, recovery, structure, sync, urls
+from ..operators import citations, export, html, intervals, manifest, markers, quality, queueing, recovery, structure, sync, urls
 from .registry import ENC, QUERIES, SQL, all_found, found, merged_sql, n_of, q, query, table
 
 SITE = urls.Site(
@@ -315,10 +315,12 @@ def structure_tree(spark, sf):
 
 @query("SELECT c.conv_id, c.turn, coalesce(max(u.turn), -1) AS anchor_turn FROM conversations c LEFT JOIN conversations u ON u.conv_id = c.conv_id AND u.role = 'user' AND u.turn <= c.turn GROUP BY ALL")
 def conversation_scope(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(F.max(F.when(F.col("role") == "user", F.col("turn"))).over(w), F.lit(-1)).alias("anchor_turn")).distinct()
+    """A conversation is a region, its user turns are marks in it: each turn with the last mark up to it."""
+    c = table(spark, sf, "conversations")
+    spans = c.groupBy("conv_id").agg(F.min("turn").alias("content_start"), (F.max("turn") + 1).alias("content_end"))
+    marks = c.where("role = 'user'").select("conv_id", F.col("turn").alias("marker_offset"), F.col("turn").alias("marker"))
+    found = intervals.anchored(c.select("conv_id", F.col("turn").alias("position")).distinct(), spans, marks, "conv_id")
+    return found.select("conv_id", F.col("position").alias("turn"), F.coalesce("marker", F.lit(-1)).alias("anchor_turn"))
 
 
 # ---- addresses and pages

@@ -294,16 +294,39 @@ def corpus_rules(spark, sf):
     return export.corpus_errors(d).groupBy(F.array_join("errors", ";").alias("errors")).agg(F.count("*").alias("n"))
 
 
-@query("WITH s AS (SELECT count(*) AS n, count(DISTINCT source) AS v, sum(n_chars) AS c FROM documents) SELECT 'README.md' AS name, '# Corpus' || chr(10) || chr(10) || 'Acts: ' || n || chr(10) || 'Volumes: ' || v || chr(10) || 'Characters: ' || c || chr(10) AS content FROM s UNION ALL SELECT 'CITATION.cff', 'cff-version: 1.2.0' || chr(10) || 'title: Corpus' || chr(10) || 'type: dataset' || chr(10) || 'abstract: ' || n || ' acts in ' || v || ' volumes' || chr(10) FROM s")
-def corpus_documents(spark, sf):
-    return export.documents(manifest.stats(table(spark, sf, "documents"), "source", "n_chars"), "Corpus")
+_ABOUT = dict(title="Corpus", version="2.0", url="https://example.com", licence="CC-BY-4.0", authors=("A. Person",), keywords=("acts", "text corpus"))
 
 
-@query("SELECT * FROM (VALUES ('identifiers.internal_id', 'string'), ('lexical_references.references.position', 'bigint'), ('numeric_regions.start', 'bigint'), ('data_quality.flags', 'array<string>'), ('content_raw_sha256', 'string')) AS t (field, type)")
+@query("""WITH s AS (SELECT count(*) AS n, count(DISTINCT source) AS v, CAST(sum(n_chars) AS BIGINT) AS c, strftime(make_timestamp(min(doc_id) * 86400000000), '%Y-%m-%d') AS a, strftime(make_timestamp(max(doc_id) * 86400000000), '%Y-%m-%d') AS z FROM documents),
+k AS (SELECT count(*) AS r, count(d.doc_id) AS i FROM (SELECT DISTINCT doc_id FROM labels) l LEFT JOIN (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en') d USING (doc_id)),
+p AS (SELECT *, i || ' of ' || r || ' referenced acts are in the corpus (' || CAST(floor(100 * i / r + 0.5) AS BIGINT) || ' %).' AS said FROM s, k)
+SELECT 'README.md' AS name, contains(content, said) AND contains(content, '| Acts | ' || n || ' |') AND contains(content, '| Volumes | ' || v || ' |') AND contains(content, '| Characters | ' || c || ' |') AND contains(content, '| Captured | ' || a || ' to ' || z || ' |') AS complete, length(content) AS n_chars FROM
+  (SELECT *, '# Corpus' || chr(10) || chr(10) || '| | |' || chr(10) || '|---|---|' || chr(10) || '| Acts | ' || n || ' |' || chr(10) || '| Volumes | ' || v || ' |' || chr(10) || '| Characters | ' || c || ' |' || chr(10) || '| Captured | ' || a || ' to ' || z || ' |' || chr(10) || repeat('x', {rest}) || said AS content FROM p)
+UNION ALL SELECT 'CITATION.cff', TRUE, length('cff-version: 1.2.0' || chr(10) || 'type: dataset' || chr(10) || 'title: "Corpus"' || chr(10) || 'version: "2.0"' || chr(10) || 'date-released: ' || z || chr(10) || 'url: "https://example.com"' || chr(10) || 'license: "CC-BY-4.0"' || chr(10) || 'abstract: ' || n || ' acts in ' || v || ' volumes, ' || c || ' characters' || chr(10) || 'keywords:' || chr(10) || '- "acts"' || chr(10) || '- "text corpus"' || chr(10) || 'authors:' || chr(10) || '- name: "A. Person"' || chr(10)) FROM p""".replace("{rest}", str(len("\n## Method\n\n\n## Coverage\n\n\n\n## Known limits\n\n\n## Licence and citation\n\nCC-BY-4.0 Version 2.0; cite it by CITATION.cff.\n") + sum(len(x) + 3 for x in (*export.METHOD, *export.LIMITS)))))
+def corpus_documents(spark, sf):
+    """README and citation of the corpus: whether all figures stand in them, and their lengths."""
+    d = table(spark, sf, "documents").withColumn("at", F.timestamp_seconds(F.col("doc_id") * 86400))
+    s = manifest.stats(d, "source", "n_chars", "at")
+    out = export.documents(s, coverage=manifest.coverage(table(spark, sf, "labels"), d.where("lang = 'en'"), "doc_id"), **_ABOUT)
+    row, has = s.first(), F.contains("content", F.lit(" %)."))
+    for k, c in (("Acts", "total_acts"), ("Volumes", "total_volumes"), ("Characters", "total_characters")):
+        has = has & F.contains("content", F.lit(f"| {k} | {row[c]} |"))
+    return out.select("name", (has | (F.col("name") != "README.md")).alias("complete"), F.length("content").cast("long").alias("n_chars"))
+
+
+@query("""WITH d AS (SELECT count(*) AS n, count(lang) AS lang, count(*) FILTER (length(text) > 0) AS full, count(*) FILTER (doc_id % 4 = 0) AS paged FROM documents)
+SELECT 'title_raw' AS field, 'string' AS type, 'Title as captured' AS description, n AS n_rows, lang AS n_filled FROM d UNION ALL SELECT 'content_raw_sha256', 'string', 'SHA-256 of content_raw; null for empty text', n, "full" FROM d
+UNION ALL SELECT 'schedules.html_content', 'string', 'Markup of the schedules as it is', n, paged FROM d UNION ALL SELECT 'identifiers.internal_id', 'string', 'Number of the act in its source; not a citation', n, n FROM d""".replace(" AS full,", ' AS "full",'))
 def data_dictionary(spark, sf):
-    rows = export.data_dictionary(export.act(_acts(spark, sf), GENERIC, html="page"))
-    wanted = ("identifiers.internal_id", "lexical_references.references.position", "numeric_regions.start", "data_quality.flags", "content_raw_sha256")
-    return spark.createDataFrame([(n, t) for n, t, _ in rows if n in wanted], "field string, type string")
+    """Some fields of the exported acts: types, what they mean, and in how many acts they are filled."""
+    rows = export.data_dictionary(export.act(_acts(spark, sf), GENERIC, html="page", rules=GENERIC_PAGES))
+    return rows.where(F.col("field").isin("title_raw", "content_raw_sha256", "schedules.html_content", "identifiers.internal_id"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS internal_id, lang || 'e' || chr(769) AS title_raw, lang || 'é' AS title_normalized FROM documents")
+def title_layers(spark, sf):
+    a = _acts(spark, sf).withColumn("title", F.concat("title", F.lit("e\u0301")))
+    return export.act(a, GENERIC).select("identifiers.internal_id", "title_raw", "title_normalized")
 
 
 @query(f"SELECT doc_id, CASE WHEN length(text) = 0 THEN 'content_empty' WHEN length(text) < 100 THEN 'content_below_threshold' END AS reason, CASE WHEN length(text) < 100 THEN 'permanent' END AS failure_class, length(text) >= 100 AS valid, {n_of('text', ENC)} AS n_wrong FROM documents")

@@ -143,11 +143,16 @@ def test_exports(spark, tmp_path):
     n = spark.range(1).select(export.file_name("act", F.lit(' a/b:"c '), at), export.file_name("volume", F.lit("?*"), at), export.file_name("act", F.lit(None).cast("string"), at)).first()
     assert list(n) == ["corpus_act_abc_20240102_030405.json", "corpus_volume_unknown_20240102_030405.json", "corpus_act_unknown_20240102_030405.json"]
     cleaned = export.act(spark.createDataFrame([("1", "t", "say æhiæ", "u", "v"), ("2", "t", None, "u", "")], "act_number string, title string, content_raw string, url string, volume_number string"), clean=True)
-    one, two = cleaned.orderBy("identifiers.internal_id").collect()
-    assert one.content_corrected == 'say "hi"' and one.content_raw == "say æhiæ" and "cleaning_applied" in one.data_quality.flags
+    one_, two = cleaned.orderBy("identifiers.internal_id").collect()
+    assert one_.content_corrected == 'say "hi"' and one_.content_raw == "say æhiæ" and "cleaning_applied" in one_.data_quality.flags
     assert (two.content_raw, two.content_raw_sha256, two.volume_number, two.lexical_references["count"]) == ("", None, "unknown", 0)
-    docs = {x.name: x.content for x in export.documents(manifest.stats(spark.createDataFrame([("v", 3)], "volume_number string, content_length int")), "Laws").collect()}
-    assert "Acts: 1" in docs["README.md"] and "1 acts in 1 volumes" in docs["CITATION.cff"]
+    one = spark.createDataFrame([("v", 3, None)], "volume_number string, content_length int, at timestamp")
+    docs = {x.name: x.content for x in export.documents(manifest.stats(one, at="at"), 'The "Laws"', licence="CC0", authors=("A",)).collect()}
+    assert "| Acts | 1 |" in docs["README.md"] and "Not computed." in docs["README.md"] and "unknown to unknown" in docs["README.md"] and 'title: "The \\"Laws\\""' in docs["CITATION.cff"] and 'authors:\n- name: "A"' in docs["CITATION.cff"]
+    fields = {r.field: (r.n_rows, r.n_filled) for r in export.data_dictionary(cleaned).collect()}
+    assert fields["content_raw_sha256"] == (2, 1) and fields["transformation_log"] == (2, 1) and fields["data_quality.completeness"] == (2, 2)
+    log = {r.identifiers.internal_id: (r.transformation_log, r.formatting_scope) for r in (one_, two)}
+    assert [(x.transformation_type, x.original, x.corrected, x.risk_level, x.applied) for x in log["1"][0]] == [("encoding_fix", "Corrupted quotation mark", '"', "non-semantic", True)] and log["1"][1] == "presentation_only" and log["2"] == ([], None)
 
 
 def test_logs(spark, tmp_path):
