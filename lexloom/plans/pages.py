@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.packs import GENERIC, GENERIC_PAGES
 from ..operators import acts, export, html, markers, page_facts, queueing, urls
+from ..streaming import queue
 from .queries import SITE, _A, _ARTICLE, _HOST, _LINKS, _PATH, _plain_sql, _text_sql
 from .registry import n_of, query, table
 
@@ -227,6 +228,15 @@ def broader_content(spark, sf):
     return acts.act_content(table(spark, sf, "pages"), GENERIC_PAGES, GENERIC, broader=True).select("page_id", "title", "method")
 
 
+@query(f"WITH x AS (SELECT page_id, {_text_sql(_ARTICLE)} AS c FROM pages WHERE page_id % 3 < 2) SELECT page_id, CAST(2 + page_id % 3 AS INTEGER) AS attempt, CASE WHEN length(c) = 0 THEN 'container_not_found' WHEN length(c) < 900 THEN 'content_below_threshold' END AS reason, CASE WHEN length(c) >= 900 THEN sha256(c) END AS content_sha256, length(c) >= 900 AS recovered_via_retry FROM x")
+def retry_pass(spark, sf):
+    """Two of three pages are due for their second or third attempt; short ones fail again."""
+    pages = table(spark, sf, "pages")
+    orders = pages.where("page_id % 3 < 2").select(F.col("page_id").cast("string").alias("act_id"), (2 + F.col("page_id") % 3).cast("int").alias("attempt"))
+    r = queue.retry_pass(orders, pages, rules=GENERIC_PAGES, pack=GENERIC, threshold=900)
+    return r.select("page_id", "attempt", "reason", F.sha2("content", 256).alias("content_sha256"), "recovered_via_retry")
+
+
 @query(f"WITH x AS (SELECT page_id, {_text_sql(_ARTICLE)} AS c FROM pages) SELECT page_id, {n_of('c', 'the ')} AS n_the, regexp_matches(c, 'Licensed|Released') AS has_preamble, contains(c, 'under the') AS has_enactment, sha256(c) AS content_sha256 FROM x")
 def marked_content(spark, sf):
     m = acts.marked_content(table(spark, sf, "pages"), GENERIC_PAGES, GENERIC)

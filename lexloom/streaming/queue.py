@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..functions.packs import LEGAL, LEGAL_PAGES, Pack, Pages
 from ..functions.shipping import ship
-from ..operators import manifest, queueing
+from ..operators import acts, manifest, queueing
 
 #: State with timers needs this store.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -157,6 +158,22 @@ def due(spark: SparkSession, out: str) -> DataFrame:
     return _rows(spark, out).where("kind = 'retry'").select("act_id", "attempt", "due_at", F.lit("broader_selectors").alias("selector_strategy"), "n")
 
 
+def retry_pass(orders: DataFrame, pages: DataFrame, key: str = "page_id", html: str = "html", rules: Pages = LEGAL_PAGES, pack: Pack = LEGAL, threshold: int = 100) -> DataFrame:
+    """The pages of the attempts that are due, read with the broader selectors and validated: their rows are new attempts for run().
+
+    orders: from due(), once for each act and attempt. The columns: key, attempt, title, content, reason (null for a
+    success), selector_strategy_used and recovered_via_retry. Content that isn't valid is not kept; nothing is inferred
+    where a page has none. Orders without a page give no row.
+    """
+    wanted = orders.select("act_id", "attempt").distinct()
+    rows = pages.join(wanted, F.col(key).cast("string") == F.col("act_id")).drop("act_id")
+    read = acts.act_content(rows, rules, pack, html, broader=True)
+    reason = queueing.validation(F.lit(True), F.lit(None).cast("string"), F.length("content") > 0, F.col("content"), threshold)
+    read = read.withColumn("reason", reason)
+    good = F.col("reason").isNull()
+    return read.select(key, "attempt", "title", F.when(good, F.col("content")).alias("content"), "reason", F.lit(acts.strategy(True)).alias("selector_strategy_used"), good.alias("recovered_via_retry"))
+
+
 def _rows(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(STATE + ", n long").parquet(f"{out}/rows")
 
