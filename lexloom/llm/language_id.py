@@ -27,6 +27,8 @@ WORDS, GRAMS, LEAST, LONGEST = 120_000, 120_000, 3, 4
 UNKNOWN = "und"
 #: Scores of a language and a word or n-gram that a table has at most; with many languages it has fewer words.
 SCORES = 40_000_000
+#: Parts in which equally frequent keys of a language are ranked before they are ranked together.
+PARTS = 64
 #: Words and scores that a task keeps of those that it worked out.
 CACHE, CACHED_SCORES = 200_000, 20_000_000
 _RUN = re.compile(r"[^\W\d_]+")
@@ -134,14 +136,27 @@ def _cut(text: Column, n: int, at: Column) -> Column:
     return F.substring(text, at, F.lit(n))
 
 
-def _top(counts: DataFrame, key: str, languages: list[str], kind: Column, most: int) -> tuple[list[str], np.ndarray]:
-    """The `most` most frequent keys of each language and kind, in order, and their counts in all languages.
+def _most_frequent(counts: DataFrame, key: str, kind: Column, most: int) -> DataFrame:
+    """The keys that are among the `most` most frequent ones of a language and kind; of equally frequent ones those that sort first.
 
-    Tasks keep the first `most` rows of a language and kind before they are sorted together.
+    A histogram of the counts says from which count on all keys are taken, and how many are missing then. Only keys
+    with just that count are ranked, first in parts of each language and kind, so that no task has all of a language.
     """
-    rank = F.row_number().over(Window.partitionBy("lang", "__kind").orderBy(F.desc("n"), key))
-    own = counts.where(F.col("n") >= LEAST).withColumn("__kind", kind).withColumn("__n", rank).where(F.col("__n") <= most)
-    chosen = F.broadcast(own.select(key).distinct())  # no more than the table holds
+    rows = counts.where(F.col("n") >= LEAST).withColumn("__kind", kind)
+    group = ["lang", "__kind"]
+    above = F.sum("__rows").over(Window.partitionBy(*group).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
+    histogram = rows.groupBy(*group, "n").agg(F.count("*").alias("__rows")).withColumn("__above", above).where(F.col("__above") > most)
+    last = histogram.groupBy(*group).agg(F.max(F.struct("n", (most - F.col("__above") + F.col("__rows")).alias("need"))).alias("last"))
+    found = rows.join(F.broadcast(last.select(*group, F.col("last.n").alias("__last"), F.col("last.need").alias("__need"))), group, "left")  # a row for each language and kind
+    ties = found.where((F.col("n") == F.col("__last")) & (F.col("__need") > 0)).withColumn("__part", F.pmod(F.xxhash64(key), F.lit(PARTS)))
+    for by in ([*group, "__part"], group):
+        ties = ties.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(key))).where((F.col("__n") <= most) & (F.col("__n") <= F.col("__need")))
+    return found.where(F.col("__last").isNull() | (F.col("n") > F.col("__last"))).select(key).unionByName(ties.select(key)).distinct()
+
+
+def _top(counts: DataFrame, key: str, languages: list[str], kind: Column, most: int) -> tuple[list[str], np.ndarray]:
+    """The `most` most frequent keys of each language and kind, in order, and their counts in all languages."""
+    chosen = F.broadcast(_most_frequent(counts, key, kind, most))  # no more than the table holds
     place = {x: i for i, x in enumerate(languages)}
     rows: dict[str, int] = {}
     entries = [(rows.setdefault(r[0], len(rows)), place[r[1]], r[2]) for r in counts.join(chosen, key, "left_semi").orderBy(key).select(key, "lang", "n").toLocalIterator()]

@@ -93,7 +93,8 @@ def encode(text: str | None, known: _Encoded) -> bytes:
 def tokenized(docs: DataFrame, capacity: int = CAPACITY, end: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids of the pieces of each document.
 
-    A document is the ids of its text, then the id `end`; null text counts as empty. It is cut every `capacity` ids.
+    A document is the ids of its text, then the id `end`; null text counts as empty. It is cut every `capacity` ids,
+    however long it is. Repeated rows are documents each; a table without rows gives none.
     """
     path = path or tokenizer_path()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")

@@ -114,7 +114,8 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
     host_score and path_score are of the other documents there: a document's own label or probability is in neither.
 
-    Null hosts are a host of their own, null paths a path of their own. Null and empty texts are scored by the bias.
+    Null hosts are a host of their own, null paths a path of their own. Null and empty texts are scored by the bias,
+    and texts of any length as a whole.
     Without labels doc_score is a half. Repeated rows count each. A table without rows gives none. Only doc_id, text, host and path are read.
     """
     model, known = learn(docs, labels, label, sample)

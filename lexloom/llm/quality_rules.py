@@ -82,7 +82,8 @@ def without_frequent_lines(docs: DataFrame, host: str = "source", min_docs: int
 
     Lines that stay are joined as they were, blank ones included. Null text stays null, and counts as empty. Columns of
     docs that are named as one of the counts are replaced. Rows that share a doc_id and host are one document for the
-    counts of lines, a row without doc_id is one of its own. Needs doc_id, text and host.
+    counts of lines, a row without doc_id is one of its own. Texts of any length are read whole; a table without rows
+    gives none. Needs doc_id, text and host.
     """
     bad = stage(frequent_lines(docs, host, min_docs, min_share), "frequent")
     small = bad.count() <= broadcast_lines

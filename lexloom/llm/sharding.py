@@ -22,7 +22,7 @@ import math
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,6 +36,11 @@ class Conflict(RuntimeError):
     """Another writer committed this version first."""
 
 
+def file_name(stored: DataFrame) -> Column:
+    """The file that a row was read from, also where the rows have a column named _metadata."""
+    return stored.metadataColumn("_metadata")["file_name"]
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, target: int = TARGET, fan_in: int = FAN_IN):
         self.spark, self.path, self.target, self.fan_in = spark, path.rstrip("/"), target, fan_in
@@ -113,7 +118,8 @@ class Store:
         df.write.option("compression", "zstd").parquet(folder)
         fs, p = hadoop(self.spark, folder)
         found = {s.getPath().getName(): (s.getPath().toString(), int(s.getLen())) for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")}
-        rows = dict(self.spark.read.schema(df.schema).parquet(folder).groupBy(F.col("_metadata.file_name").alias("f")).count().collect())  # from the files' footers
+        stored = self.spark.read.schema(df.schema).parquet(folder)
+        rows = dict(stored.groupBy(file_name(stored).alias("f")).count().collect())  # from the files' footers
         return [{"file": f, "bytes": n, "rows": rows[name]} for name, (f, n) in sorted(found.items()) if rows.get(name)]
 
     def append(self, df: DataFrame) -> int:
@@ -197,5 +203,5 @@ def placed(store: Store) -> DataFrame:
     files = [f"{store.path}/manifests/{x['name']}" for x in now["lists"]]
     shards = store.spark.read.schema("file string").json(files).select(F.substring_index("file", "/", -1).alias("name"))
     number = shards.select("name", F.row_number().over(Window.orderBy("name")).cast("long").alias("shard_id"))  # names of files only
-    rows = rows.select(F.struct(*kept).alias("row"), F.col("_metadata.file_name").alias("name"))
+    rows = rows.select(F.struct(*kept).alias("row"), file_name(rows).alias("name"))
     return rows.join(number, "name", "left").select("row.*", "shard_id")

@@ -238,7 +238,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     """The columns `keep` of docs (all) and score, from 0 to 1, of each whole text, however long.
 
     Null, empty and wordless texts get the bias's score. Repeated rows get one score each, the same. A column of docs
-    named score is replaced.
+    named score is replaced. A table without rows gives none.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     source = docs.select(*dict.fromkeys([*keep, "text"]))

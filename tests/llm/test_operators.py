@@ -168,6 +168,19 @@ def test_language_learns_nothing_from_held_out(spark):
     assert {r.lang_pred for r in language_id.predict(odd(spark), language_id.learn(d)).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("most", [1, 7, 40, 1000])
+def test_most_frequent_keys(spark, most):
+    rng = random.Random(most)
+    rows = [(f"w{i}", lang, rng.choice([1, 2, 3, 3, 3, 4, 9, i])) for i in range(200) for lang in rng.sample(["a", "b", "c"], 2)]
+    got = language_id._most_frequent(spark.createDataFrame(rows, "word string, lang string, n long").repartition(3), "word", F.length("word"), most)
+    want = set()
+    for lang in "abc":
+        for size in (2, 3, 4):
+            mine = sorted((-n, w) for w, x, n in rows if x == lang and len(w) == size and n >= 3)
+            want |= {w for _, w in mine[:most]}
+    assert sorted(r.word for r in got.collect()) == sorted(want)
+
+
 def test_any_number_of_languages(spark):
     rng = random.Random(12)
     vocabulary = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(8)] for k in range(300)}
@@ -449,6 +462,16 @@ def test_store_of_nothing(spark, tmp_path):
     assert s.read().count() == 0 and s.compact() == 1 and sharding.placed(s).count() == 0
 
 
+def test_stored_columns_named_as_sparks_own(spark):
+    store = sharding.Store(spark, f"{shared_dir(spark)}/store-{random.random()}")
+    d = docs(spark, "a", "b", "c").withColumns({"_metadata": F.lit("mine"), "name": F.lit("clash")})
+    store.append(d)
+    store.append(d.limit(1))
+    store.compact()
+    got = sharding.placed(store).collect()
+    assert len(got) == 4 and {(r["_metadata"], r["name"]) for r in got} == {("mine", "clash")} and all(r.shard_id for r in got)
+
+
 # ---- Jaccard join
 
 
