@@ -124,6 +124,7 @@ def act_content(pages: DataFrame, rules: Pages = LEGAL_PAGES, pack: Pack = LEGAL
         names = [x.split()[0] for x in READ.split(", ")]
         return pd.DataFrame([read_page(p, rules, broader) for p in s], columns=names)
 
+    run = run.asNondeterministic()  # else each use of a field reads the page, and makes it, once more
     kept = [c for c in pages.columns if c not in {x.split()[0] for x in READ.split(", ")}]
     out = pages.select(*kept, run(html_column).alias("__x")).select(*kept, "__x.*")
     sections = F.transform("sections", lambda x: x.withField("section_body", html.noise_free(x["section_body"], rules.noise)))
@@ -193,8 +194,8 @@ def with_scope(read: DataFrame, pack: Pack = LEGAL, number: str = structure.SECT
     # each list is bound to the argument of a lambda, so that it is worked out once a row
     bound = F.array(F.coalesce(F.transform("sections", section), F.array()))
     refs = F.transform(bound, lambda s: F.struct(s.alias("sections"), listed(F.col("links"), s).alias("refs")))
-    both = F.transform(refs, lambda x: F.struct(x["sections"].alias("sections"), all_scoped(x).alias("refs")))
-    return read.withColumn("__x", F.get(both, 0)).withColumns({"section_list": F.col("__x.sections"), "reference_list": F.col("__x.refs")}).drop("__x")
+    both = F.transform(refs, lambda x: F.struct(x["sections"].alias("section_list"), all_scoped(x).alias("reference_list")))
+    return read.select("*", F.inline(both))  # a row for each, so that later columns name results and not the work anew
 
 
 def dom_sections(read: DataFrame, key: str, *rules) -> DataFrame:

@@ -211,6 +211,15 @@ def test_references_of_a_page(spark):
     assert m.has_preamble and not m.has_enactment and m.marker_frequency["ধারা"]["count"] == 1 and m.schedule_tables == 1
 
 
+def test_a_page_is_read_once(spark):
+    """Every field of a page that is made by a grouping comes from one call of the page's reader."""
+    parts = spark.createDataFrame([(1, LAW[:40]), (1, LAW[40:])], "page_id int, part string")
+    made = parts.groupBy("page_id").agg(F.array_join(F.collect_list("part"), "").alias("html"))
+    few = acts.derived(acts.act_content(made)).select("page_id", "structure.total_sections", F.size("cross_references"), "unchanged")
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1 and plan.count("run(") == 1
+
+
 def test_years_and_order(spark):
     t = spark.createDataFrame([("10", "Act, 1950 (২০০১)"), ("9", "আইন ১৯৭৩"), ("x", "Act 3000"), ("2", "Act 1899 of 2020")], "act_number string, title string")
     r = html.by_number(t.withColumn("year", html.year_of(F.col("title")))).collect()
