@@ -83,7 +83,7 @@ def _links(root: dom.Node, rules: Pages) -> list[dict]:
 def read_page(page: str | None, rules: Pages, broader: bool = False) -> dict:
     """What one page holds. Section rows come first, then the content selectors, the fallback, the page's head matter,
     and the body without what is excluded; schedules that the text doesn't hold are added to it."""
-    root = dom.parse(page)
+    root = dom.parse(page, rules.closed_references)
     title, attempts = _title(root, rules), []
     before, metadata, sections, tables = _rows(root, rules)
     links, schedules = _links(root, rules), list(dict.fromkeys(n.html() for sel in rules.schedule for n in dom.select(root, sel)))

@@ -68,7 +68,7 @@ def _risks(root: dom.Node, rules: Pages) -> list[dict]:
 
 def read(page: str | None, rules: Pages) -> tuple:
     """The facts of one page, in the order of FACTS; null and empty pages have none."""
-    root = dom.parse(page)
+    root = dom.parse(page, rules.closed_references)
     text = lambda n, sel: "\n".join(x.text().strip() for x in dom.select(n, sel))
     rows = dom.select(root, rules.rows)
     sections = [{"title": text(n, rules.row_title), "body": text(n, rules.row_body), "html": n.html(), "has_table": dom.first(n, "table") is not None} for n in rows]
