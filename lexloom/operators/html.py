@@ -30,16 +30,20 @@ def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     return rows.select(key, "link_at", F.regexp_extract("a", ANCHOR, 1).alias("href"), T.trim(plain(F.regexp_extract("a", ANCHOR, 2))).alias("title"))
 
 
-def volume_links(found: DataFrame, site: urls.Site) -> DataFrame:
-    """The links to acts: id, title, year, absolute url of the details page."""
+def volume_links(found: DataFrame, site: urls.Site, whole: bool = False) -> DataFrame:
+    """The links to acts: id, title, year (see year_of()), absolute url of the details page."""
     rows = found.withColumn("act_number", urls.number(F.col("href"), r"act-(?:details-)?(\d+)\.html")).where("act_number is not null")
     url = F.regexp_replace(urls.absolute(F.col("href"), site.base), r"act-(\d+)\.html", "act-details-$1.html")
-    return rows.withColumns({"url": url, "year": year_of(F.col("title"))})
+    return rows.withColumns({"url": url, "year": year_of(F.col("title"), whole)})
 
 
-def year_of(title: Column) -> Column:
-    """The first year of the 20th or 21st century in Latin digits, else in Bengali ones, else empty."""
-    latin, bengali = (F.regexp_extract(title, p, 1) for p in ("(20[0-9]{2}|19[0-9]{2})", "(২০[০-৯]{2}|১৯[০-৯]{2})"))
+def year_of(title: Column, whole: bool = False) -> Column:
+    """The first year of the 20th or 21st century in Latin digits, else in Bengali ones, else empty.
+
+    whole: digits within a longer number are no year; else they are, as on the statute site.
+    """
+    before, after = ("(?<![0-9০-৯])", "(?![0-9০-৯])") if whole else ("", "")
+    latin, bengali = (F.regexp_extract(title, f"{before}{p}{after}", 1) for p in ("(20[0-9]{2}|19[0-9]{2})", "(২০[০-৯]{2}|১৯[০-৯]{2})"))
     return F.when(latin != "", latin).otherwise(F.coalesce(bengali, F.lit("")))
 
 

@@ -228,6 +228,12 @@ def test_years_and_order(spark):
     assert len(html.alphabetical(t).collect()) == 4
 
 
+def test_years_within_numbers(spark):
+    t = spark.createDataFrame([(1, "Act 120190 (1999)"), (2, "Act 000001900"), (3, "আইন ১২০১৯০"), (4, "2001")], "k int, title string")
+    years = lambda whole: [x.year for x in t.select("k", html.year_of(F.col("title"), whole).alias("year")).orderBy("k").collect()]
+    assert years(True) == ["1999", "", "", "2001"] and years(False) == ["2019", "1900", "২০১৯", "2001"]
+
+
 def test_noise_goes(spark):
     text = "Top\nপ্রিন্ট ভিউআইন Top\nCopyright © 2024 x Legislative and Parliamentary Affairs Division\n \t"
     assert spark.range(1).select(html.noise_free(F.lit(text)).alias("t")).first().t == "আইন Top\n x"
