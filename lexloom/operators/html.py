@@ -103,11 +103,12 @@ def body_text(html: Column, excluded=("script", "style", "nav", "header", "foote
     return T.trim(F.regexp_replace(plain(F.regexp_replace(out, r"(?i)</(?:p|div|h[1-6]|li|tr)>|<br\s*/?>", " ")), f"[{T.WS}]+", " "))
 
 
-def extract(pages: DataFrame, selectors: list[str], fallback: list[str], excluded: list[str], html: str = "html", signal=None) -> DataFrame:
+def extract(pages: DataFrame, selectors: list[str], fallback: list[str], excluded: list[str], html: str = "html", signal=None, closed_references: bool = False) -> DataFrame:
     """pages with content, method, selector, attempts, extraction_success.
 
     The selectors are tried in order, then the fallback, then the body without what is excluded; the first with text
     wins, its matches joined by blank lines. The body counts only with a signal in its text (signal: a column test).
+    closed_references: see dom.parse().
     """
     schema = "content string, method string, selector string, attempts array<struct<selector_order:int,selector:string,matched:boolean,element_count:int>>"
 
@@ -115,7 +116,7 @@ def extract(pages: DataFrame, selectors: list[str], fallback: list[str], exclude
     def run(s: pd.Series) -> pd.DataFrame:
         out = []
         for page in s:
-            root, tries, hit = dom.parse(page), [], None
+            root, tries, hit = dom.parse(page, closed_references), [], None
             for method, group in (("primary", selectors), ("fallback", fallback)):
                 for sel in group:
                     nodes = dom.select(root, sel)
