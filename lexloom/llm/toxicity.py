@@ -13,12 +13,15 @@ the folds' models, which are linear in the same rows, is the model, so that no s
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,20 +117,23 @@ def packed(used: np.ndarray, share: np.ndarray, rows: int = ROWS) -> tuple[bytes
     return b"", dense.tobytes()
 
 
-def unpacked(at: bytes, share: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(at: bytes | pa.Buffer, share: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
     s = np.frombuffer(share, np.float16).astype(np.float32)
     used = np.frombuffer(at, np.uint16).astype(np.int32) if at else np.flatnonzero(s).astype(np.int32)
     s = s if at else s[used]
     return used, s / max(float(s.sum()), 1e-30)
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
-    """Row weights and bias that minimise the cross-entropy, both labels weighing the same, by Adam."""
+def fit(bags: list[tuple[bytes, bytes]], labels: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
+    """Row weights and bias that minimise the cross-entropy, both labels weighing the same, by Adam.
+
+    bags: as packed() makes them; those of one batch at a time are unpacked.
+    """
     rng, n = np.random.default_rng(seed), len(bags)
-    size = np.array([len(b[0]) for b in bags])
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * n
     seen, mass = np.zeros(ROWS, np.int64), np.zeros((2, ROWS))
-    for (used, share), y in zip(bags, labels):
+    for bag_, y in zip(bags, labels):
+        used, share = unpacked(*bag_)
         seen[used] += 1
         mass[y, used] += share
     mass /= np.maximum(np.bincount(labels, minlength=2), 1)[:, None]
@@ -143,9 +149,10 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
             chosen = order[at : at + BATCH]
-            rows = np.concatenate([bags[i][0] for i in chosen])
-            share = np.concatenate([bags[i][1] for i in chosen]) * np.float32(SCALE)
-            doc = np.repeat(np.arange(len(chosen)), size[chosen])
+            batch = [unpacked(*bags[i]) for i in chosen]
+            rows = np.concatenate([used for used, _ in batch])
+            share = np.concatenate([s for _, s in batch]) * np.float32(SCALE)
+            doc = np.repeat(np.arange(len(chosen)), [len(used) for used, _ in batch])
             mean = np.stack([np.bincount(doc, share * table[rows, d], len(chosen)) for d in range(DIM)], 1)
             logits = mean @ heads + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
@@ -165,7 +172,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
 
 
 def logits_of(bags, weights: np.ndarray, bias: float) -> np.ndarray:
-    return np.array([bias + float(share @ weights[used]) for used, share in bags])
+    return np.array([bias + float(share @ weights[used]) for used, share in (unpacked(*b) for b in bags)])
 
 
 def calibrated(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -219,13 +226,24 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     each = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(take[y]) for y in (0, 1)]
     chosen = F.broadcast(each[0].unionByName(each[1]))  # at most `sample` rows of two numbers
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id").mapInArrow(_bags, "doc_id long, y int, rows binary, shares binary").toArrow()
-    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "y", "rows", "shares"))))
-    if len({r[1] for r in rows}) < 2:
+    columns = "doc_id", "y", "rows", "shares"
+    order = pc.sort_indices(found, [(c, "ascending") for c in columns]).to_pylist()
+    bags = [(found["rows"][i].as_buffer(), found["shares"][i].as_buffer()) for i in order]  # no copies
+    ids, y = (np.array(found[c].to_pylist(), np.int64)[order] for c in columns[:2])
+    if len(np.unique(y)) < 2:
         return alone
-    ids = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     with np.errstate(over="ignore"):
-        folds = ((ids * _ODD) >> np.uint64(40)) % np.uint64(FOLDS)  # rows of one document share a fold
-    return fit_calibrated([unpacked(r[2], r[3]) for r in rows], np.array([r[1] for r in rows]), folds.astype(int), prior)
+        folds = ((ids.view(np.uint64) * _ODD) >> np.uint64(40)) % np.uint64(FOLDS)  # rows of one document share a fold
+    model = fit_calibrated(bags, y, folds.astype(int), prior)
+    del found, bags
+    _give_back()
+    return model
+
+
+def _give_back() -> None:
+    """Return freed memory to the system; glibc keeps what the fit took, for as long as the driver lives."""
+    with contextlib.suppress(OSError, AttributeError, TypeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _bags(batches):

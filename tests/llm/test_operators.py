@@ -612,6 +612,21 @@ def test_toxicity_scores_are_the_means_of_words():
     assert np.allclose(toxicity.unpacked(*toxicity.packed(np.arange(toxicity.ROWS), dense))[1], dense, rtol=2e-3)
 
 
+def test_toxicity_fits_on_packed_bags(spark, monkeypatch):
+    """The driver holds four bytes for each row of a bag at most; the model is that of bags that are unpacked first."""
+    seen, real = {}, toxicity.fit_calibrated
+
+    def spy(bags, *rest):
+        seen["bytes"] = sum(memoryview(x).nbytes for b in bags for x in b)
+        seen["rows"] = sum(len(toxicity.unpacked(*b)[0]) for b in bags)
+        return real(bags, *rest)
+
+    monkeypatch.setattr(toxicity, "fit_calibrated", spy)
+    sf = "/root/testdata/sf0.001"
+    m = toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert 0 < seen["bytes"] <= 4 * seen["rows"] and len(m.weights) == toxicity.ROWS
+
+
 def test_toxicity_odd(spark):
     m = toxicity.learn(odd(spark), labels(spark))
     r = toxicity.score(odd(spark), m).collect()
